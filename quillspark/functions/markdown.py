@@ -5,7 +5,9 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..schema import EDIT
 from .base import ColumnOrName, col, let, strip
 from .text import slug
 
@@ -66,7 +68,7 @@ def yaml_list(block: ColumnOrName, key: str) -> Column:
     return F.filter(F.transform(parts, lambda p: _unquote(strip(p))), lambda p: p != "")
 
 
-@F.pandas_udf(EDITS_TYPE)
+@F.pandas_udf(T.ArrayType(EDIT))
 def _nested_edits(blocks: pd.Series) -> pd.Series:
     def one(block: str | None):
         if not block or yaml is None:

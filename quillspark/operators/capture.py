@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
-from ..functions.base import cut, strip
+from ..functions.base import strip
 from ..functions.redact import redact_secrets
 
 MIN_MESSAGES = 6
@@ -129,7 +129,7 @@ def topics(lines: DataFrame) -> DataFrame:
         lines.where((F.col("type") == "user") & F.col("said").isNotNull())
         .select("session_id", F.struct(F.col("pos")).alias("at"), clean.alias("t"))
         .where((F.length("t") > 10) & ~F.rlike("t", F.lit(r"\A(?i)[a-f0-9-]{20,}\z")))
-        .withColumn("t", cut("t", 100))
+        .withColumn("t", text.cut("t", 100))
     )
     return _first_n(rows, "t", MAX_TOPICS, "topics")
 
@@ -152,7 +152,7 @@ def commands(calls: DataFrame) -> DataFrame:
         looks = looks | F.startswith(head, F.lit(prefix))
     rows = (
         calls.where((F.col("name") == "Bash") & (F.coalesce("command", F.lit("")) != "") & ~looks)
-        .withColumn("c", cut("command", 100))
+        .withColumn("c", text.cut("command", 100))
         .groupBy("session_id", "c")
         .agg(F.min(F.struct("pos", "ix")).alias("at"))
     )

@@ -56,7 +56,7 @@ def hash_embedder(dim: int = DIM) -> Embedder:
         out = []
         for t in texts:
             v = np.zeros(dim)
-            for w in (t or "").split():
+            for w in filter(None, (t or "").split(" ")):
                 if w not in seen:
                     seen[w] = slot(w)
                 i, sign = seen[w]
