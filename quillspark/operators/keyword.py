@@ -48,13 +48,19 @@ DEFAULT = KeywordParams()
 @dataclass(frozen=True)
 class KeywordIndex:
     """``postings``: one row per (term, field, path) with its count, field length and note facts.
+    ``dictionary``: one row per term with the number of notes per field.
     ``field_stats``: one row per field: notes in the corpus, mean field length."""
 
     postings: DataFrame
+    dictionary: DataFrame
     field_stats: DataFrame
 
     def tables(self) -> dict[str, DataFrame]:
-        return {"postings": self.postings, "field_stats": self.field_stats}
+        return {
+            "postings": self.postings,
+            "dictionary": self.dictionary,
+            "field_stats": self.field_stats,
+        }
 
 
 # --- building ---------------------------------------------------------------------------
@@ -80,13 +86,10 @@ def _fields(notes: DataFrame) -> DataFrame:
 
 
 def _token_rows(notes: DataFrame) -> DataFrame:
-    return _fields(notes).select(
-        "path",
-        "created_at",
-        "tags",
-        "field",
-        F.size(F.array_distinct("tokens")).alias("field_len"),
-        F.explode("tokens").alias("term"),
+    # The length is a column of its own before the explode, or it is computed once per token.
+    sized = _fields(notes).withColumn("field_len", F.size(F.array_distinct("tokens")))
+    return sized.select(
+        "path", "created_at", "tags", "field", "field_len", F.explode("tokens").alias("term")
     )
 
 
@@ -112,31 +115,52 @@ def field_stats(notes: DataFrame) -> DataFrame:
     )
 
 
+def dictionary(notes: DataFrame, only_terms: DataFrame | None = None) -> DataFrame:
+    """(term, df_title, df_tags, df_content). Words are made unique inside each note, so this is
+    one count per term that combines before the shuffle; postings are not needed."""
+    rows = _fields(notes).select("field", F.explode(F.array_distinct("tokens")).alias("term"))
+    if only_terms is not None:
+        rows = rows.join(only_terms, "term", "left_semi")
+    return rows.groupBy("term").agg(
+        *[F.count_if(F.col("field") == f).alias(f"df_{f}") for f in FIELD_BOOSTS]
+    )
+
+
 def build_index(notes: DataFrame, only_terms: DataFrame | None = None) -> KeywordIndex:
     """Build the inverted index. ``only_terms`` (term) restricts it to a query vocabulary:
     tokens outside it are dropped before anything is shuffled."""
     rows = _token_rows(notes)
     if only_terms is not None:
         rows = rows.join(only_terms, "term", "left_semi")
-    return KeywordIndex(_count_postings(rows), field_stats(notes))
-
-
-def dictionary(postings: DataFrame) -> DataFrame:
-    """(term, df): the number of notes per field as a map, one row per term."""
-    per_field = postings.groupBy("term").agg(
-        *[F.count_if(F.col("field") == f).alias(f"df_{f}") for f in FIELD_BOOSTS]
+    return KeywordIndex(
+        _count_postings(rows), dictionary(notes, only_terms), field_stats(notes)
     )
-    return per_field
 
 
 def update_index(
     index: KeywordIndex, changed: DataFrame, removed_paths: DataFrame, all_notes: DataFrame
 ) -> KeywordIndex:
-    """Replace the postings of changed notes and drop those of removed ones."""
+    """Replace the postings of changed notes and drop those of removed ones.
+
+    Term counts move by the difference: old postings of touched notes are taken off, new ones added.
+    """
     gone = changed.select("path").unionByName(removed_paths.select("path")).distinct()
+    old = index.postings.join(gone, "path", "left_semi")
     kept = index.postings.join(gone, "path", "left_anti")
     fresh = _count_postings(_token_rows(changed))
-    return KeywordIndex(kept.unionByName(fresh), field_stats(all_notes))
+
+    def counts(postings: DataFrame, sign: int) -> DataFrame:
+        return postings.groupBy("term").agg(
+            *[
+                (F.count_if(F.col("field") == f) * sign).alias(f"df_{f}")
+                for f in FIELD_BOOSTS
+            ]
+        )
+
+    moved = index.dictionary.unionByName(counts(old, -1)).unionByName(counts(fresh, 1))
+    total = moved.groupBy("term").agg(*[F.sum(f"df_{f}").alias(f"df_{f}") for f in FIELD_BOOSTS])
+    alive = sum((F.col(f"df_{f}") for f in FIELD_BOOSTS), F.lit(0)) > 0
+    return KeywordIndex(kept.unionByName(fresh), total.where(alive), field_stats(all_notes))
 
 
 def snapshot_diff(known: DataFrame, on_disk: DataFrame) -> DataFrame:
@@ -334,26 +358,23 @@ def document_boost(
     return age * F.coalesce(session, F.lit(1.0)) * F.coalesce(digest, F.lit(1.0))
 
 
-def _lookup(stats: DataFrame, value: str) -> Column:
-    """The three-row field table as a scalar map, evaluated once."""
-    return stats.agg(
-        F.map_from_entries(F.collect_list(F.struct("field", value))).alias("m")
-    ).scalar()
+def _lookup(stats: DataFrame) -> Column:
+    """The field table, three rows, as one scalar map: field to (n_notes, avg_len)."""
+    entry = F.struct("field", F.struct("n_notes", "avg_len").alias("v"))
+    return stats.agg(F.map_from_entries(F.collect_list(entry)).alias("m")).scalar()
 
 
 def score_notes(
     index: KeywordIndex, expanded: DataFrame, p: KeywordParams = DEFAULT
 ) -> DataFrame:
     """(query_id, path, raw_score, created_at, tags): every note that matches a term."""
-    wanted = expanded.select("term").distinct()
-    dict_rows = dictionary(index.postings.join(wanted, "term", "left_semi"))
-    q = expanded.join(dict_rows, "term").withColumn(
+    q = expanded.join(index.dictionary, "term").withColumn(
         "salt", F.explode(F.sequence(F.lit(0), F.lit(p.salts - 1)))
     )
     # A word that occurs in a third of all notes is spread over ``salts`` join keys.
     posts = index.postings.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(p.salts)).cast("int"))
-    n_notes = F.element_at(_lookup(index.field_stats, "n_notes"), F.col("field")).cast("double")
-    avg_len = F.element_at(_lookup(index.field_stats, "avg_len"), F.col("field"))
+    stats = F.element_at(_lookup(index.field_stats), F.col("field"))
+    n_notes, avg_len = stats["n_notes"].cast("double"), stats["avg_len"]
     df = F.lit(0)
     boost = F.lit(0.0)
     for name, value in p.boosts.items():
@@ -399,7 +420,7 @@ def search(
     """
     terms = query_terms(queries)
     if expand:
-        expanded = expand_terms(terms, index.postings.select("term").distinct(), params)
+        expanded = expand_terms(terms, index.dictionary.select("term"), params)
     else:
         expanded = exact_terms(terms)
     scored = score_notes(index, expanded, params)

@@ -186,12 +186,12 @@ def _block_join(queries: DataFrame, items: DataFrame, k: int, schema: str) -> Da
     c_blocks = max(1, -(-items.count() // CHUNK_BLOCK))
     q = queries.select(
         F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).alias("qb"),
-        F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))).cast("long").alias("cb"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(c_blocks - 1).cast("long"))).alias("cb"),
         "query_id",
         "vector",
     )
     c = items.select(
-        F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).cast("long").alias("qb"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))).alias("qb"),
         F.pmod(F.xxhash64("item_id"), F.lit(c_blocks)).alias("cb"),
         "item_id",
         "vector",

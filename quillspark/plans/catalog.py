@@ -228,7 +228,7 @@ def index_build(c: Corpus) -> DataFrame:
 @register(
     "index_incremental",
     S.with_(S.NOTES, S.POSTINGS)
-    + "SELECT field, count(*) AS n_postings, CAST(sum(tf) AS BIGINT) AS n_tokens FROM postings GROUP BY 1",
+    + "SELECT field, count(*) AS n_postings, CAST(sum(tf) AS BIGINT) AS n_tokens, count(DISTINCT term) AS n_terms FROM postings GROUP BY 1",
 )
 def index_incremental(c: Corpus) -> DataFrame:
     """Build on an older state, then bring it up to date: must equal a full build."""
@@ -238,9 +238,13 @@ def index_incremental(c: Corpus) -> DataFrame:
     old_ix = keyword.build_index(older)
     removed = c.notes.select("path").limit(0)
     new_ix = keyword.update_index(old_ix, c.notes, removed, c.notes)
-    return new_ix.postings.groupBy("field").agg(
+    sums = new_ix.postings.groupBy("field").agg(
         F.count(F.lit(1)).alias("n_postings"), F.sum("tf").alias("n_tokens")
     )
+    words = new_ix.dictionary.agg(
+        *[F.count_if(F.col(f"df_{f}") > 0).alias(f) for f in keyword.FIELD_BOOSTS]
+    ).select(F.explode(F.create_map(*[x for f in keyword.FIELD_BOOSTS for x in (F.lit(f), F.col(f))])).alias("field", "n_terms"))
+    return sums.join(words, "field")
 
 
 EXACT = (S.NOTES, S.QUERIES, S.POSTINGS, S.terms("qt", "queries", "query"))
@@ -274,13 +278,13 @@ def keyword_topk_textbook(c: Corpus) -> DataFrame:
 )
 def prefix_expand(c: Corpus) -> DataFrame:
     words = keyword.query_terms(c.queries).select("source_term").distinct()
-    return keyword.prefix_matches(words, c.full_index.postings.select("term").distinct())
+    return keyword.prefix_matches(words, c.full_index.dictionary.select("term"))
 
 
 @register(
     "fuzzy_expand",
     S.with_(S.NOTES, S.QUERIES, S.POSTINGS)
-    + f"""SELECT * FROM (SELECT s.source_term, v.term, CAST(levenshtein(v.term, s.source_term) AS INTEGER) AS distance
+    + f"""SELECT * FROM (SELECT s.source_term, v.term, CAST({S.edits("v.term", "s.source_term")} AS INTEGER) AS distance
     FROM (SELECT DISTINCT unnest({S.tok('query')}) AS source_term FROM queries) s
     JOIN (SELECT DISTINCT term FROM postings) v
       ON abs(length(v.term) - length(s.source_term)) <= least(6, floor(length(s.source_term) * 0.2 + 0.5)))
@@ -288,7 +292,7 @@ def prefix_expand(c: Corpus) -> DataFrame:
 )
 def fuzzy_expand(c: Corpus) -> DataFrame:
     words = keyword.query_terms(c.queries).select("source_term").distinct()
-    return keyword.fuzzy_matches(words, c.full_index.postings.select("term").distinct())
+    return keyword.fuzzy_matches(words, c.full_index.dictionary.select("term"))
 
 
 @register(
@@ -871,13 +875,10 @@ def _renames(c: Corpus) -> DataFrame:
 @register(
     "repoint",
     S.with_(*SESS, COVERED)
-    + f"""SELECT n.path, array_to_string(list_transform([n.doc_id - 1, n.doc_id - 11], lambda i:
-        CASE WHEN 'sessions/2024/d' || i || '.md' IN (SELECT path FROM sess SEMI JOIN covered USING (path) WHERE {_OLD})
-        THEN 'sessions/archive/2024/d' || i || '.md' ELSE 'sessions/2024/d' || i || '.md' END), '|') AS sources
-    FROM notes n WHERE kind = 1 AND doc_id % 3 <> 0""".replace(
-        "'sessions/2024/d' || i || '.md' IN (SELECT path FROM sess SEMI JOIN covered USING (path) WHERE " + _OLD + ")",
-        "list_contains((SELECT list(path) FROM sess SEMI JOIN covered USING (path) WHERE " + _OLD + "), 'sessions/2024/d' || i || '.md')",
-    ),
+    + f""", moved AS (SELECT path FROM sess SEMI JOIN covered USING (path) WHERE {_OLD}),
+    cited AS (SELECT path, unnest([doc_id - 1, doc_id - 11]) AS i, unnest([1, 2]) AS ord FROM notes WHERE kind = 1 AND doc_id % 3 <> 0)
+    SELECT c.path, string_agg(CASE WHEN m.path IS NOT NULL THEN 'sessions/archive/2024/d' ELSE 'sessions/2024/d' END || i || '.md', '|' ORDER BY ord) AS sources
+    FROM cited c LEFT JOIN moved m ON m.path = 'sessions/2024/d' || i || '.md' GROUP BY 1""",
 )
 def repoint(c: Corpus) -> DataFrame:
     out = lifecycle.repoint_digests(c.notes, _renames(c)).where(F.size("sources") > 0)
@@ -1592,7 +1593,7 @@ jd AS (
   FROM tcases t CROSS JOIN (SELECT unnest([0, 1]) AS pass) p CROSS JOIN (SELECT unnest(['bare', 'recall', 'plugin']) AS condition, unnest([0, 1, 2]) AS shift) c),
 outcomes AS (
   SELECT case_id, stratum, condition, avg(x % 3) AS correctness,
-    CASE WHEN condition = 'bare' THEN NULL WHEN bool_and(beats) THEN 'win' WHEN NOT bool_or(beats) THEN 'loss' ELSE 'tie' END AS outcome FROM jd GROUP BY ALL)
+    CASE WHEN condition = 'bare' THEN NULL WHEN bool_and(beats) THEN 'win' WHEN NOT bool_or(beats) THEN 'loss' ELSE 'tie' END AS outcome FROM jd GROUP BY case_id, stratum, condition)
 """
 
 
@@ -1607,7 +1608,7 @@ def task_outcomes(c: Corpus) -> DataFrame:
         TASKS,
         "wins AS (SELECT condition, row_number() OVER (PARTITION BY condition ORDER BY case_id) - 1 AS ix, CAST(outcome = 'win' AS DOUBLE) AS v FROM (SELECT condition, case_id, CAST(outcome = 'win' AS INTEGER) AS w, outcome FROM outcomes WHERE outcome IS NOT NULL))",
         bootstrap_sql("wins", "condition"),
-        "per_case AS (SELECT case_id, condition, negative, bool_and(x % 4 = 0) AS ab, bool_and(x % 3 = 2) AS fu FROM jd GROUP BY ALL)",
+        "per_case AS (SELECT case_id, condition, negative, bool_and(x % 4 = 0) AS ab, bool_and(x % 3 = 2) AS fu FROM jd GROUP BY case_id, condition, negative)",
     )
     + """SELECT j.condition, count(DISTINCT j.case_id) AS n, round(avg(x % 3), 6) AS mean_correctness, round(avg((x + 1) % 3), 6) AS mean_grounding, round(avg(x % 2), 6) AS fabrication_rate,
       round((SELECT avg(ab::INT) FROM per_case p WHERE p.condition = j.condition AND negative), 6) AS negative_abstain_rate,

@@ -46,6 +46,15 @@ dfs AS (SELECT term, field, count(*) AS df FROM postings GROUP BY 1, 2)
 """
 
 
+# The SQL engine counts edits in bytes; accented letters become one-byte stand-ins first.
+ACCENTED = "àâäáãåçéèêëíìîïñóòôöõúùûüýÿßœæ"
+
+
+def edits(a: str, b: str) -> str:
+    to = "ABCDEFGHIJKLMNOPQRSTUVWXYZ!#$%&"[: len(ACCENTED)]
+    return f"levenshtein(translate({a}, '{ACCENTED}', '{to}'), translate({b}, '{ACCENTED}', '{to}'))"
+
+
 def terms(name: str, source: str, column: str) -> str:
     """(query_id, source_term, term, weight) of exact terms."""
     return f"""
@@ -66,12 +75,12 @@ def expanded(name: str, source: str, column: str) -> str:
     CASE WHEN v.term = s.source_term THEN 1.0
          WHEN starts_with(v.term, s.source_term)
            THEN 0.375 * length(v.term) / (length(v.term) + 0.3 * (length(v.term) - length(s.source_term)))
-         ELSE 0.45 * length(v.term) / (length(v.term) + levenshtein(v.term, s.source_term)) END AS w
+         ELSE 0.45 * length(v.term) / (length(v.term) + {edits("v.term", "s.source_term")}) END AS w
   FROM (SELECT DISTINCT source_term FROM {name}_q) s
   JOIN (SELECT DISTINCT term FROM dfs UNION SELECT DISTINCT source_term FROM {name}_q) v
     ON v.term = s.source_term OR starts_with(v.term, s.source_term)
     OR (abs(length(v.term) - length(s.source_term)) <= least(6, floor(length(s.source_term) * 0.2 + 0.5))
-        AND levenshtein(v.term, s.source_term) <= least(6, floor(length(s.source_term) * 0.2 + 0.5)))),
+        AND {edits("v.term", "s.source_term")} <= least(6, floor(length(s.source_term) * 0.2 + 0.5)))),
 {name} AS (
   SELECT q.query_id, q.source_term, d.term, d.w * q.n AS weight FROM {name}_q q JOIN {name}_d d USING (source_term))
 """
