@@ -45,7 +45,9 @@ def words(c: ColumnOrName) -> Column:
 
 
 def first_words(c: ColumnOrName, n: int, skip: int = 0) -> Column:
-    return F.array_join(F.slice(words(c), skip + 1, n), " ")
+    """Words ``skip + 1`` to ``skip + n``, joined by blanks; the rest of the text is not split."""
+    head = F.split(F.ltrim(col(c), F.lit(WHITESPACE)), r"\s+", skip + n + 1)
+    return F.array_join(F.filter(F.slice(head, skip + 1, n), lambda w: w != ""), " ")
 
 
 def last_locate(needle: str, haystack: Column) -> Column:

@@ -88,3 +88,13 @@ def redaction_counts(df: DataFrame, text: str, strict: bool = False) -> DataFram
         lambda h: h["hits"] > 0,
     )
     return step.select(*df.columns, F.col("_t").alias("redacted"), hits.alias("hits"))
+
+
+def redaction_totals(counted: DataFrame) -> DataFrame:
+    """(rule, n_rows, n_hits) over the output of ``redaction_counts``; rules without hits left out."""
+    return (
+        counted.select(F.explode_outer("hits").alias("h"))
+        .where(F.col("h").isNotNull())
+        .groupBy(F.col("h.rule").alias("rule"))
+        .agg(F.count(F.lit(1)).alias("n_rows"), F.sum("h.hits").alias("n_hits"))
+    )

@@ -69,36 +69,50 @@ def _writes(blocks: Column) -> Column:
     )
 
 
-def session_facts(lines: DataFrame, min_messages: int = MIN_MESSAGES) -> DataFrame:
-    """One row per session worth keeping: counts, first timestamp, title parts.
+def partial_facts(lines: DataFrame) -> DataFrame:
+    """One row per session of these lines: counts, first timestamp, title candidates.
 
-    Everything is a count, a minimum or a value at a minimum, so a session of any length is
-    combined before the shuffle.
+    Everything is a count or a minimum, so a session of any length is combined before the
+    shuffle, and rows from several batches can be merged in any order.
     """
     clean = text.strip_markup("said")
-    first_text = F.when(
-        (F.col("type") == "user") & (F.length(clean) > 10), F.substring(clean, 1, 200)
+    step = lines.withColumn(
+        "first_text",
+        F.when((F.col("type") == "user") & (F.length(clean) > 10), F.substring(clean, 1, 200)),
+    )
+    earliest = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct("pos", F.col(c).alias("v"))))
+    n_writes = F.when(F.col("type") == "assistant", _writes(F.col("blocks"))).otherwise(0)
+    return step.groupBy("session_id").agg(
+        F.min("cwd").alias("cwd"),
+        F.count_if(F.col("type").isin("user", "assistant")).alias("n_messages"),
+        F.sum(n_writes).alias("n_writes"),
+        F.min("ts").alias("first_ts"),
+        earliest("ai_title").alias("ai_title"),
+        earliest("first_text").alias("first_message"),
     )
-    is_message = F.col("type").isin("user", "assistant")
-    step = lines.withColumn("first_text", first_text)
+
+
+def merge_facts(partials: DataFrame, min_messages: int = MIN_MESSAGES) -> DataFrame:
+    """Sessions worth keeping, from partial rows: enough messages, or something was written."""
     return (
-        step.groupBy("session_id")
+        partials.groupBy("session_id")
         .agg(
-            F.any_value("cwd", True).alias("cwd"),
-            F.count_if(is_message).alias("n_messages"),
-            F.sum(F.when(F.col("type") == "assistant", _writes(F.col("blocks"))).otherwise(0)).alias(
-                "n_writes"
-            ),
-            F.min("ts").alias("first_ts"),
-            F.min_by("ai_title", F.when(F.col("ai_title").isNotNull(), F.col("pos"))).alias("ai_title"),
-            F.min_by("first_text", F.when(F.col("first_text").isNotNull(), F.col("pos"))).alias(
-                "first_message"
-            ),
+            F.min("cwd").alias("cwd"),
+            F.sum("n_messages").alias("n_messages"),
+            F.sum("n_writes").alias("n_writes"),
+            F.min("first_ts").alias("first_ts"),
+            F.min("ai_title")["v"].alias("ai_title"),
+            F.min("first_message")["v"].alias("first_message"),
         )
         .where((F.col("n_messages") >= min_messages) | (F.col("n_writes") > 0))
     )
 
 
+def session_facts(lines: DataFrame, min_messages: int = MIN_MESSAGES) -> DataFrame:
+    """One row per session worth keeping. Both levels share one shuffle."""
+    return merge_facts(partial_facts(lines), min_messages)
+
+
 def session_title() -> Column:
     """AI title, else the first message, else the short session id; redacted."""
     return redact_secrets(
@@ -122,41 +136,52 @@ def _first_n(rows: DataFrame, value: str, n: int | None, name: str) -> DataFrame
     )
 
 
-def topics(lines: DataFrame) -> DataFrame:
-    """(session_id, topics[]): the first twenty user messages with something to say."""
+def topic_rows(lines: DataFrame) -> DataFrame:
+    """(session_id, at, v): user messages with something to say; ids alone say nothing."""
     clean = text.strip_markup("said")
-    rows = (
+    return (
         lines.where((F.col("type") == "user") & F.col("said").isNotNull())
-        .select("session_id", F.struct(F.col("pos")).alias("at"), clean.alias("t"))
-        .where((F.length("t") > 10) & ~F.rlike("t", F.lit(r"\A(?i)[a-f0-9-]{20,}\z")))
-        .withColumn("t", text.cut("t", 100))
+        .select("session_id", F.struct(F.col("pos"), F.lit(0).alias("ix")).alias("at"), clean.alias("v"))
+        .where((F.length("v") > 10) & ~F.rlike("v", F.lit(r"\A(?i)[a-f0-9-]{20,}\z")))
+        .withColumn("v", text.cut("v", 100))
     )
-    return _first_n(rows, "t", MAX_TOPICS, "topics")
 
 
-def files_changed(calls: DataFrame) -> DataFrame:
-    """(session_id, files[]): edited files, unique, in order of first touch."""
-    rows = (
-        calls.where(F.col("name").isin("Edit", "Write") & (F.coalesce("file_path", F.lit("")) != ""))
-        .groupBy("session_id", "file_path")
-        .agg(F.min(F.struct("pos", "ix")).alias("at"))
+def file_rows(calls: DataFrame) -> DataFrame:
+    """(session_id, at, v): edited files, each at its first touch."""
+    edited = calls.where(
+        F.col("name").isin("Edit", "Write") & (F.coalesce("file_path", F.lit("")) != "")
     )
-    return _first_n(rows, "file_path", None, "files")
+    return first_seen(edited.select("session_id", F.struct("pos", "ix").alias("at"), F.col("file_path").alias("v")))
 
 
-def commands(calls: DataFrame) -> DataFrame:
-    """(session_id, commands[]): shell commands that do more than look, unique, first thirty."""
+def command_rows(calls: DataFrame) -> DataFrame:
+    """(session_id, at, v): shell commands that do more than look, each at its first use."""
     head = F.ltrim(F.col("command"), F.lit(" \t\n\r\x0b\f"))
     looks = F.lit(False)
     for prefix in READ_ONLY:
         looks = looks | F.startswith(head, F.lit(prefix))
-    rows = (
-        calls.where((F.col("name") == "Bash") & (F.coalesce("command", F.lit("")) != "") & ~looks)
-        .withColumn("c", text.cut("command", 100))
-        .groupBy("session_id", "c")
-        .agg(F.min(F.struct("pos", "ix")).alias("at"))
-    )
-    return _first_n(rows, "c", MAX_COMMANDS, "commands")
+    run = calls.where((F.col("name") == "Bash") & (F.coalesce("command", F.lit("")) != "") & ~looks)
+    return first_seen(run.select("session_id", F.struct("pos", "ix").alias("at"), text.cut("command", 100).alias("v")))
+
+
+def first_seen(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("session_id", "v").agg(F.min("at").alias("at"))
+
+
+def topics(lines: DataFrame) -> DataFrame:
+    """(session_id, topics[]): the first twenty."""
+    return _first_n(topic_rows(lines), "v", MAX_TOPICS, "topics")
+
+
+def files_changed(calls: DataFrame) -> DataFrame:
+    """(session_id, files[]): all of them, in order of first touch."""
+    return _first_n(file_rows(calls), "v", None, "files")
+
+
+def commands(calls: DataFrame) -> DataFrame:
+    """(session_id, commands[]): the first thirty, unique."""
+    return _first_n(command_rows(calls), "v", MAX_COMMANDS, "commands")
 
 
 # --- where a session belongs ----------------------------------------------------------------------
@@ -215,7 +240,21 @@ def session_notes(
     """
     lines = parse_lines(transcript)
     calls = tool_calls(lines)
-    facts = session_facts(lines).withColumn("title", session_title())
+    parts = (topics(lines), files_changed(calls), commands(calls))
+    return build_notes(session_facts(lines), *parts, project_map, existing, as_of)
+
+
+def build_notes(
+    facts: DataFrame,
+    topic_lists: DataFrame,
+    file_lists: DataFrame,
+    command_lists: DataFrame,
+    project_map: DataFrame,
+    existing: DataFrame,
+    as_of: str,
+) -> DataFrame:
+    """The note rows from session facts and their lists; see ``session_notes``."""
+    facts = facts.withColumn("title", session_title())
     homes = resolve_projects(facts, project_map).select("cwd", "slug", "vault_id")
     empty = F.array().cast("array<string>")
     known = (
@@ -230,9 +269,9 @@ def session_notes(
         .where(F.col("vault_id").isNotNull())
         .withColumn("file", F.concat("slug", F.lit("-"), F.substring("session_id", 1, 8), F.lit(".md")))
         .join(known, "file", "left")
-        .join(topics(lines), "session_id", "left")
-        .join(files_changed(calls), "session_id", "left")
-        .join(commands(calls), "session_id", "left")
+        .join(topic_lists, "session_id", "left")
+        .join(file_lists, "session_id", "left")
+        .join(command_lists, "session_id", "left")
         .select(
             "session_id",
             "vault_id",

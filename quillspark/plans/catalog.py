@@ -24,10 +24,11 @@ from ..operators import (
     routing,
     vector,
 )
-from ..session import apply_conf
+from ..session import apply_conf, work_dir
 from ..sources import driver_tables as D
 from ..sources import files as log_files
 from ..sources import notes as note_source
+from ..streaming import jobs
 from . import oracle_sql as S
 from . import search
 
@@ -1115,11 +1116,7 @@ def redact_secrets(c: Corpus) -> DataFrame:
 def redact_strict_counts(c: Corpus) -> DataFrame:
     """Hits per rule with bare names included; only the named-value rule fires on this corpus."""
     counted = redact.redaction_counts(c.table("documents").select("doc_id", "text"), "text", strict=True)
-    return (
-        counted.select(F.explode("hits").alias("h"))
-        .groupBy(F.col("h.rule").alias("rule"))
-        .agg(F.count(F.lit(1)).alias("n_docs"), F.sum("h.hits").alias("n_hits"))
-    )
+    return redact.redaction_totals(counted).withColumnRenamed("n_rows", "n_docs")
 
 
 @register(
@@ -1749,3 +1746,57 @@ def section_items(c: Corpus) -> DataFrame:
     return c.notes.where(F.array_contains("tags", "type/session")).select(
         "path", F.array_join(markdown.section_items("content", "Topics"), "|").alias("topics")
     )
+
+
+# --- streams ------------------------------------------------------------------------------------------------
+
+
+def _stream(c: Corpus, name: str) -> DataFrame:
+    schema = c.spark.read.parquet(f"{c.sf_dir}/{name}.parquet").schema
+    # Written as a pattern, the path may be one file or a folder of files.
+    return c.spark.readStream.schema(schema).parquet(f"{c.sf_dir}/{name}.parque[t]")
+
+
+def _finish(query) -> None:
+    query.awaitTermination()
+
+
+@register("stream_suppress", ORACLES["suppress_repeat"])
+def stream_suppress(c: Corpus) -> DataFrame:
+    out = work_dir(c.spark, "suppress")
+    rows = D.decision_rows(_stream(c, "events"))
+    _finish(jobs.suppress(rows, f"{out}/tables", f"{out}/checkpoint"))
+    log = jobs.read_batches(c.spark, f"{out}/tables", "decisions")
+    return log.select("session_id", "prompt_id", "suppressed")
+
+
+@register("stream_capture", ORACLES["capture_notes"])
+def stream_capture(c: Corpus) -> DataFrame:
+    out = work_dir(c.spark, "capture")
+    rows = D.transcript_rows(_stream(c, "conversations"))
+    _finish(jobs.capture_sessions(rows, f"{out}/tables", f"{out}/checkpoint"))
+    none_yet = c.notes.select("path", F.lit(None).cast("string").alias("created")).where(
+        F.startswith("path", F.lit("sessions/archive/"))
+    )
+    notes = jobs.captured_notes(c.spark, f"{out}/tables", _project_map(c), none_yet, AS_OF)
+    return notes.select("session_id", "vault_id", "path", "created", "is_new")
+
+
+@register(
+    "stream_first_shown",
+    S.with_(S.DECISIONS)
+    + "SELECT DISTINCT session_id, path FROM (SELECT session_id, unnest(injected) AS path FROM decisions)",
+)
+def stream_first_shown(c: Corpus) -> DataFrame:
+    """Each path once per session, with a delay wider than the data."""
+    out = work_dir(c.spark, "first-shown")
+    rows = jobs.first_shown(D.decision_rows(_stream(c, "events")), "400 days").select("session_id", "path")
+    query = (
+        rows.writeStream.format("parquet")
+        .option("checkpointLocation", f"{out}/checkpoint")
+        .option("path", f"{out}/rows")
+        .trigger(availableNow=True)
+        .start()
+    )
+    _finish(query)
+    return c.spark.read.parquet(f"{out}/rows")

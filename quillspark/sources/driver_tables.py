@@ -16,7 +16,16 @@ AS_OF = "2024-03-25 00:00:00"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on inputs of fewer splits than cores, such as one small file.
+
+    Larger inputs have splits enough and are left as they are: no shuffle of the scan.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def _note_path() -> Column:
@@ -52,7 +61,7 @@ def _note_content() -> Column:
     i = F.col("doc_id")
     s = lambda c: c.cast("string")
     lit = F.lit
-    div = lambda n: F.floor(i / n).cast("long")
+    div = lambda n: F.expr(f"doc_id div {n}")
     session_head = F.concat(
         lit("# "),
         F.col("title"),
@@ -326,8 +335,14 @@ brief_map AS (
 
 
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(session_id, cwd, pos, line): conversations as JSON lines, with tool calls on assistant turns."""
-    conv = table(spark, sf_dir, "conversations")
+    return transcript_rows(table(spark, sf_dir, "conversations"))
+
+
+def transcript_rows(conv: DataFrame) -> DataFrame:
+    """(session_id, cwd, pos, line): conversations as JSON lines, with tool calls on assistant turns.
+
+    Row-local, so it works on a stream as well.
+    """
     said = F.when(F.col("role") == "assistant", F.lit(None)).otherwise(F.col("text"))
     block = F.struct(
         F.lit("text").alias("type"),
@@ -375,8 +390,11 @@ def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(session_id, prompt_id, ts, method, injected): events as recall decisions."""
-    e = table(spark, sf_dir, "events")
+    return decision_rows(table(spark, sf_dir, "events"))
+
+
+def decision_rows(e: DataFrame) -> DataFrame:
+    """(session_id, prompt_id, ts, method, injected): events as recall decisions. Row-local."""
     return e.select(
         F.col("user_id").cast("string").alias("session_id"),
         F.col("event_id").alias("prompt_id"),
