@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -45,12 +46,14 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under the cluster's shared checkpoint folder.
 
     ``spark.checkpoint.dir`` is read from the session. Only where it is unset
-    (tests on one machine) is a temporary folder made and recorded there.
+    (tests on one machine) is a temporary folder made.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None
     )
-    if not root:
-        root = tempfile.mkdtemp(prefix="quillspark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/quillspark/{purpose}-{uuid.uuid4().hex}"
+    return f"{(root or _local_root()).rstrip('/')}/quillspark/{purpose}-{uuid.uuid4().hex}"
+
+
+@functools.cache
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="quillspark-")

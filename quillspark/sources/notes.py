@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,25 +40,24 @@ def list_files(spark: SparkSession, root: str, include_archive: bool = False) ->
     runs = f"{base}/{RUNS_FOLDER}"
     if _exists(spark, runs):
         files = files.unionByName(_listed(spark, runs))
-    prefix = base.split("://")[-1].removeprefix("file:") + "/"
-    full = F.col("path")
-    rel = F.substr(full, F.position(F.lit(prefix), full) + F.lit(len(prefix)))
-    files = files.withColumn("path", rel).where(~F.rlike("path", F.lit(r"(^|/)\.")))
+    files = relative(files, base).where(~F.rlike("path", F.lit(r"(^|/)\.")))
     if not include_archive:
         files = files.where(~F.startswith("path", F.lit(ARCHIVE_PREFIX)))
     return files
 
 
-def stat_notes(spark: SparkSession, root: str) -> DataFrame:
-    """Path, modification time and size, bodies not opened."""
-    return list_files(spark, root).select(
-        "path", F.col("modificationTime").alias("modified_at"), F.col("length").alias("size")
+def relative(files: DataFrame, root: str) -> DataFrame:
+    """Paths as the part behind ``root``."""
+    prefix = root.rstrip("/").split("://")[-1].removeprefix("file:") + "/"
+    full = F.col("path")
+    return files.withColumn(
+        "path", F.substr(full, F.position(F.lit(prefix), full) + F.lit(len(prefix)))
     )
 
 
-def raw_notes(spark: SparkSession, root: str, include_archive: bool = False) -> DataFrame:
-    """Path, modified_at, size, raw text. Files that are not UTF-8 are left out."""
-    return list_files(spark, root, include_archive).select(
+def decoded(files: DataFrame) -> DataFrame:
+    """(path, modified_at, size, raw). Files that are not UTF-8 are left out."""
+    return files.select(
         "path",
         F.col("modificationTime").alias("modified_at"),
         F.col("length").alias("size"),
@@ -64,6 +65,27 @@ def raw_notes(spark: SparkSession, root: str, include_archive: bool = False) ->
     ).where(F.col("raw").isNotNull())
 
 
+def stat_notes(spark: SparkSession, root: str) -> DataFrame:
+    """Path, modification time and size, bodies not opened."""
+    return list_files(spark, root).select(
+        "path", F.col("modificationTime").alias("modified_at"), F.col("length").alias("size")
+    )
+
+
+def raw_notes(spark: SparkSession, root: str, include_archive: bool = False) -> DataFrame:
+    return decoded(list_files(spark, root, include_archive))
+
+
+def raw_notes_by_path(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
+    """Only the named files are opened. For a list of checked length."""
+    base = root.rstrip("/")
+    if not paths:
+        return raw_notes(spark, base).limit(0)
+    escaped = [re.sub(r"([\[\]{}?*\\])", r"\\\1", p) for p in paths]
+    files = spark.read.format("binaryFile").load([f"{base}/{p}" for p in escaped])
+    return decoded(relative(files, base))
+
+
 def frontmatter_struct(block: Column) -> Column:
     return F.struct(
         *[markdown.yaml_scalar(block, k).alias(k) for k in SCALAR_KEYS],

@@ -45,7 +45,8 @@ def _start(stream: DataFrame, handle, checkpoint: str, continuous: str | None) -
 
 
 def note_stream(spark: SparkSession, root: str, files_per_batch: int | None = None) -> DataFrame:
-    """New and changed note files under ``root``."""
+    """New note files under ``root``. A file source reads each path once: it sees neither edits
+    nor deletions, for which there is ``refresh_once``."""
     reader = (
         spark.readStream.format("binaryFile")
         .option("pathGlobFilter", "*.md")
@@ -59,7 +60,15 @@ def note_stream(spark: SparkSession, root: str, files_per_batch: int | None = No
     ).load(root)
 
 
-def refresh_index(
+def _write_index(raw: DataFrame, out: str, batch_id: int) -> None:
+    notes = note_source.parse_notes(raw)
+    versions = raw.select("path", "modified_at", "size", F.lit(False).alias("deleted"))
+    _write(keyword.build_index(notes).postings, out, "postings", batch_id)
+    # Written last: a version without postings would hide the note.
+    _write(versions, out, "note_versions", batch_id)
+
+
+def index_new_files(
     spark: SparkSession,
     root: str,
     out: str,
@@ -67,35 +76,72 @@ def refresh_index(
     files_per_batch: int | None = None,
     continuous: str | None = None,
 ) -> StreamingQuery:
-    """Postings of every changed note, batch by batch. A file source does not see deletions;
-    ``keyword.snapshot_diff`` over a listing finds those."""
-    prefix = root.rstrip("/").split("://")[-1].removeprefix("file:") + "/"
+    """Postings of new notes, batch by batch."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        rel = F.substr("path", F.position(F.lit(prefix), F.col("path")) + F.lit(len(prefix)))
-        raw = batch.select(
-            rel.alias("path"),
-            F.col("modificationTime").alias("modified_at"),
-            F.col("length").alias("size"),
-            F.try_validate_utf8(F.col("content").cast("string")).alias("raw"),
-        ).where(F.col("raw").isNotNull())
-        notes = note_source.parse_notes(raw)
-        index = keyword.build_index(notes)
-        _write(index.postings, out, "postings", batch_id)
-        _write(notes.select("path", "modified_at", "size"), out, "note_versions", batch_id)
+        _write_index(note_source.decoded(note_source.relative(batch, root)), out, batch_id)
 
     return _start(note_stream(spark, root, files_per_batch), handle, checkpoint, continuous)
 
 
+def _newest(versions: DataFrame) -> DataFrame:
+    """(path, batch, modified_at, size) of every note that still exists."""
+    last = versions.groupBy("path").agg(
+        F.max(F.struct("batch", "deleted", "modified_at", "size")).alias("v")
+    )
+    return last.where(~F.col("v.deleted")).select("path", "v.batch", "v.modified_at", "v.size")
+
+
+def refresh_once(
+    spark: SparkSession, root: str, out: str, batch_id: int, max_paths: int = 5000
+) -> DataFrame:
+    """Bring the index up to date with the folder: listing against known versions.
+
+    Up to ``max_paths`` changed files are opened by name; more than that are read by one scan of
+    the folder. Returns (path, change) of what was done.
+    """
+    versions = read_batches(spark, out, "note_versions", before=batch_id)
+    disk = note_source.stat_notes(spark, root)
+    known = disk.limit(0) if versions is None else _newest(versions).drop("batch")
+    diff = keyword.snapshot_diff(known, disk).where(F.col("change") != "unchanged")
+    # Kept on disk: later steps and a rerun must see the same decision.
+    _write(diff, out, "changes", batch_id)
+    changes = spark.read.parquet(_batch_dir(out, "changes", batch_id))
+
+    touched = changes.where(F.col("change") != "removed").select("path")
+    few = [r["path"] for r in touched.limit(max_paths + 1).collect()]
+    if len(few) <= max_paths:
+        raw = note_source.raw_notes_by_path(spark, root, few)
+    else:
+        raw = note_source.raw_notes(spark, root).join(touched, "path", "left_semi")
+    _write_index(raw, out, batch_id)
+    gone = changes.where(F.col("change") == "removed").select(
+        "path",
+        F.lit(None).cast("timestamp").alias("modified_at"),
+        F.lit(None).cast("long").alias("size"),
+        F.lit(True).alias("deleted"),
+    )
+    gone.write.mode("append").parquet(_batch_dir(out, "note_versions", batch_id))
+    return changes
+
+
+def watch_folder(
+    spark: SparkSession, root: str, out: str, checkpoint: str, interval: str
+) -> StreamingQuery:
+    """``refresh_once`` on a clock, so edits and deletions are picked up as well."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+
+    def handle(_: DataFrame, batch_id: int) -> None:
+        refresh_once(spark, root, out, batch_id)
+
+    return _start(ticks, handle, checkpoint, interval)
+
+
 def live_postings(spark: SparkSession, out: str) -> DataFrame:
-    """Postings of the newest version of each note."""
+    """Postings of the newest version of each note that still exists."""
+    newest = _newest(spark.read.parquet(f"{out.rstrip('/')}/note_versions"))
     postings = spark.read.parquet(f"{out.rstrip('/')}/postings")
-    newest = (
-        spark.read.parquet(f"{out.rstrip('/')}/note_versions")
-        .groupBy("path")
-        .agg(F.max("batch").alias("batch"))
-    )
-    return postings.join(newest, ["path", "batch"]).drop("batch")
+    return postings.join(newest.select("path", "batch"), ["path", "batch"]).drop("batch")
 
 
 # --- session capture ---------------------------------------------------------------------------
@@ -181,15 +227,3 @@ def first_shown(decisions: DataFrame, delay: str) -> DataFrame:
     Which of several prompts of one batch stays is not fixed."""
     shown = decisions.withColumn("path", F.explode("injected"))
     return shown.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["session_id", "path"])
-
-
-__all__ = [
-    "capture_sessions",
-    "captured_notes",
-    "first_shown",
-    "live_postings",
-    "note_stream",
-    "read_batches",
-    "refresh_index",
-    "suppress",
-]
