@@ -257,28 +257,37 @@ def lcg_steps() -> list[tuple[int, int]]:
     return out
 
 
-def lcg_state(n: Column, seed: int) -> Column:
-    """State after ``n`` steps, without the steps before it."""
+def _times(x: Column, a: Column) -> Column:
+    """x * a modulo 2^32, in two halves so that BIGINT does not overflow."""
+    high = (x * F.floor(a / 65536).cast("long")) % LCG_M
+    return (high * 65536 + x * (a % 65536)) % LCG_M
 
-    def times(x: Column, a: Column) -> Column:
-        # 32 x 32 bits in two halves, so BIGINT does not overflow.
-        high = (x * F.floor(a / 65536).cast("long")) % LCG_M
-        return (high * 65536 + x * (a % 65536)) % LCG_M
 
-    jumps = F.array(
+def lcg_jump(n: Column) -> Column:
+    """struct(a, c): what ``n`` steps of the generator do to a state, without taking them."""
+    powers = F.array(
         *[
             F.struct(F.lit(j).alias("j"), F.lit(a).cast("long").alias("a"), F.lit(c).cast("long").alias("c"))
             for j, (a, c) in enumerate(lcg_steps())
         ]
     )
     taken = F.filter(
-        jumps, lambda s: F.pmod(F.floor(n / F.pow(F.lit(2.0), s["j"])).cast("long"), F.lit(2)) == 1
+        powers, lambda s: F.pmod(F.floor(n / F.pow(F.lit(2.0), s["j"])).cast("long"), F.lit(2)) == 1
     )
+    start = F.struct(F.lit(1).cast("long").alias("a"), F.lit(0).cast("long").alias("c"))
     return F.aggregate(
-        taken, F.lit(seed % LCG_M).cast("long"), lambda x, s: (times(x, s["a"]) + s["c"]) % LCG_M
+        taken,
+        start,
+        lambda x, s: F.struct(
+            _times(x["a"], s["a"]).alias("a"), ((_times(x["c"], s["a"]) + s["c"]) % LCG_M).alias("c")
+        ),
     )
 
 
+def _advance(state: Column, jump: Column) -> Column:
+    return (_times(state, jump["a"]) + jump["c"]) % LCG_M
+
+
 def bootstrap_ci(
     values: DataFrame, group: list[str], order: str, value: str, iters: int = 1000, seed: int = 42
 ) -> DataFrame:
@@ -301,16 +310,25 @@ def bootstrap_ci(
     sizes = numbered.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n"), F.min("g_ix").alias("g0"), F.avg(value).alias("mean")
     )
-    at = numbered.join(sizes, group).select(
-        *group, (F.col("g_ix") - F.col("g0")).alias("ix"), F.col(value).cast("double").alias("v"), "n"
+    # Jumps are worked out once per iteration and once per position, not once per draw.
+    firsts = F.transform(
+        F.sequence(F.lit(0).cast("long"), F.lit(iters - 1).cast("long")),
+        lambda it: _advance(F.lit(seed % LCG_M).cast("long"), lcg_jump(it * F.col("n"))),
+    )
+    at = numbered.join(sizes.withColumn("firsts", firsts), group).select(
+        *group,
+        (F.col("g_ix") - F.col("g0")).alias("ix"),
+        F.col(value).cast("double").alias("v"),
+        "n",
+        "firsts",
     )
-    n_draw = F.col("it") * F.col("n") + F.col("ix") + 1
-    draws = at.select(
-        *group, "ix", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(iters - 1).cast("long"))).alias("it")
-    ).select(
+    stepped = at.withColumn("jump", lcg_jump(F.col("ix") + 1))
+    draws = stepped.select(*group, "n", "jump", F.posexplode("firsts").alias("it", "state")).select(
         *group,
         "it",
-        F.floor(lcg_state(n_draw, seed) / F.lit(float(LCG_M)) * F.col("n")).cast("long").alias("ix"),
+        F.floor(_advance(F.col("state"), F.col("jump")) / F.lit(float(LCG_M)) * F.col("n"))
+        .cast("long")
+        .alias("ix"),
     )
     # The same position is drawn many times in one iteration: count it once.
     counted = draws.groupBy(*group, "it", "ix").agg(F.count(F.lit(1)).alias("times"))

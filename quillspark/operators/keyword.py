@@ -7,7 +7,7 @@ length, and the sum over terms is multiplied by the number of query words that m
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,71 +47,87 @@ DEFAULT = KeywordParams()
 
 @dataclass(frozen=True)
 class KeywordIndex:
-    """``postings``: one row per (term, field, path) with its count, field length and note facts.
+    """``postings``: one row per (note, term) with its count per field, the field lengths and the
+    note facts scoring needs.
     ``dictionary``: one row per term with the number of notes per field.
-    ``field_stats``: one row per field: notes in the corpus, mean field length."""
+    ``field_stats``: one row per field: notes in the corpus, mean field length.
+    ``docs``: path and tags, for filters on tags."""
 
     postings: DataFrame
     dictionary: DataFrame
     field_stats: DataFrame
+    docs: DataFrame
 
     def tables(self) -> dict[str, DataFrame]:
         return {
             "postings": self.postings,
             "dictionary": self.dictionary,
             "field_stats": self.field_stats,
+            "docs": self.docs,
         }
 
 
 # --- building ---------------------------------------------------------------------------
 
+# Note facts in one number, so that aggregates keep fixed-width buffers.
+IS_SESSION, IS_DIGEST, IS_ROUTABLE = 1, 2, 4
+
+
+def _flags() -> Column:
+    bit = lambda value, *tags: F.when(text.has_tag("tags", *tags), value).otherwise(0)
+    return (
+        bit(IS_SESSION, text.SESSION_TAG)
+        + bit(IS_DIGEST, text.DIGEST_TAG)
+        + bit(IS_ROUTABLE, *text.ROUTABLE_TAGS)
+    )
+
 
 def _fields(notes: DataFrame) -> DataFrame:
-    """One row per note and field with the tokens of the field. Row-local."""
-    tokens = {
-        "title": text.index_tokens("title"),
-        "tags": text.index_tokens(F.array_join("tags", " ")),
-        "content": text.index_tokens("content"),
-    }
-    return notes.select(
+    """One row per note and field with the tokens of the field and all field lengths. Row-local."""
+    tokens = notes.select(
         "path",
         "created_at",
-        "tags",
-        F.explode(
-            F.array(
-                *[F.struct(F.lit(n).alias("field"), t.alias("tokens")) for n, t in tokens.items()]
-            )
-        ).alias("f"),
-    ).select("path", "created_at", F.col("tags"), "f.field", "f.tokens")
+        _flags().alias("flags"),
+        text.index_tokens("title").alias("t_title"),
+        text.index_tokens(F.array_join("tags", " ")).alias("t_tags"),
+        text.index_tokens("content").alias("t_content"),
+    )
+    # Lengths are columns of their own before the explode, or they are computed once per token.
+    sized = tokens.withColumns(
+        {f"len_{f}": F.size(F.array_distinct(f"t_{f}")) for f in FIELD_BOOSTS}
+    )
+    fields = F.array(
+        *[F.struct(F.lit(f).alias("field"), F.col(f"t_{f}").alias("tokens")) for f in FIELD_BOOSTS]
+    )
+    return sized.withColumn("f", F.explode(fields)).select(
+        "path", "created_at", "flags", *[f"len_{f}" for f in FIELD_BOOSTS], "f.field", "f.tokens"
+    )
 
 
 def _token_rows(notes: DataFrame) -> DataFrame:
-    # The length is a column of its own before the explode, or it is computed once per token.
-    sized = _fields(notes).withColumn("field_len", F.size(F.array_distinct("tokens")))
-    return sized.select(
-        "path", "created_at", "tags", "field", "field_len", F.explode("tokens").alias("term")
-    )
+    return _fields(notes).withColumn("term", F.explode("tokens")).drop("tokens")
 
 
 def _count_postings(token_rows: DataFrame) -> DataFrame:
-    # Counted map-side first, so what is shuffled is one row per distinct (note, field, term).
-    return token_rows.groupBy("path", "field", "term").agg(
-        F.count(F.lit(1)).alias("tf"),
-        F.first("field_len").alias("field_len"),
-        F.first("created_at").alias("created_at"),
-        F.first("tags").alias("tags"),
+    # Counted map-side first, so what is shuffled is one row per distinct (note, term). All
+    # buffers are numbers or timestamps, which keeps this a hash aggregate.
+    return token_rows.groupBy("path", "term").agg(
+        *[F.count_if(F.col("field") == f).alias(f"tf_{f}") for f in FIELD_BOOSTS],
+        *[F.max(f"len_{f}").alias(f"len_{f}") for f in FIELD_BOOSTS],
+        F.max("created_at").alias("created_at"),
+        F.max("flags").alias("flags"),
     )
 
 
 def field_stats(notes: DataFrame) -> DataFrame:
     """(field, n_notes, avg_len): three rows, from partial sums."""
+    length = F.lit(0)
+    for f in FIELD_BOOSTS:
+        length = F.when(F.col("field") == f, F.col(f"len_{f}")).otherwise(length)
     return (
         _fields(notes)
         .groupBy("field")
-        .agg(
-            F.count(F.lit(1)).alias("n_notes"),
-            F.avg(F.size(F.array_distinct("tokens"))).alias("avg_len"),
-        )
+        .agg(F.count(F.lit(1)).alias("n_notes"), F.avg(length).alias("avg_len"))
     )
 
 
@@ -133,7 +149,10 @@ def build_index(notes: DataFrame, only_terms: DataFrame | None = None) -> Keywor
     if only_terms is not None:
         rows = rows.join(only_terms, "term", "left_semi")
     return KeywordIndex(
-        _count_postings(rows), dictionary(notes, only_terms), field_stats(notes)
+        _count_postings(rows),
+        dictionary(notes, only_terms),
+        field_stats(notes),
+        notes.select("path", "tags"),
     )
 
 
@@ -151,16 +170,18 @@ def update_index(
 
     def counts(postings: DataFrame, sign: int) -> DataFrame:
         return postings.groupBy("term").agg(
-            *[
-                (F.count_if(F.col("field") == f) * sign).alias(f"df_{f}")
-                for f in FIELD_BOOSTS
-            ]
+            *[(F.count_if(F.col(f"tf_{f}") > 0) * sign).alias(f"df_{f}") for f in FIELD_BOOSTS]
         )
 
     moved = index.dictionary.unionByName(counts(old, -1)).unionByName(counts(fresh, 1))
     total = moved.groupBy("term").agg(*[F.sum(f"df_{f}").alias(f"df_{f}") for f in FIELD_BOOSTS])
     alive = sum((F.col(f"df_{f}") for f in FIELD_BOOSTS), F.lit(0)) > 0
-    return KeywordIndex(kept.unionByName(fresh), total.where(alive), field_stats(all_notes))
+    return KeywordIndex(
+        kept.unionByName(fresh),
+        total.where(alive),
+        field_stats(all_notes),
+        all_notes.select("path", "tags"),
+    )
 
 
 def snapshot_diff(known: DataFrame, on_disk: DataFrame) -> DataFrame:
@@ -345,7 +366,7 @@ def expand_terms(
 
 
 def document_boost(
-    created_at: Column, tags: Column, as_of: Column, session_asked: Column
+    created_at: Column, flags: Column, as_of: Column, session_asked: Column
 ) -> Column:
     age = (
         F.when(created_at >= as_of, FRESH_BOOST)
@@ -353,9 +374,10 @@ def document_boost(
         .when(created_at < days_before(as_of, 30), OLD_BOOST)
         .otherwise(1.0)
     )
-    session = F.when(~session_asked & text.has_tag(tags, text.SESSION_TAG), SESSION_BOOST)
-    digest = F.when(text.has_tag(tags, text.DIGEST_TAG), DIGEST_BOOST)
-    return age * F.coalesce(session, F.lit(1.0)) * F.coalesce(digest, F.lit(1.0))
+    demoted = (flags.bitwiseAND(IS_SESSION) != 0) & ~session_asked
+    session = F.when(demoted, SESSION_BOOST).otherwise(1.0)
+    digest = F.when(flags.bitwiseAND(IS_DIGEST) != 0, DIGEST_BOOST).otherwise(1.0)
+    return age * session * digest
 
 
 def _lookup(stats: DataFrame) -> Column:
@@ -365,36 +387,45 @@ def _lookup(stats: DataFrame) -> Column:
 
 
 def score_notes(
-    index: KeywordIndex, expanded: DataFrame, p: KeywordParams = DEFAULT
+    index: KeywordIndex, expanded: DataFrame, p: KeywordParams = DEFAULT, exact: bool = False
 ) -> DataFrame:
-    """(query_id, path, raw_score, created_at, tags): every note that matches a term."""
+    """(query_id, path, raw_score, created_at, flags): every note that matches a term.
+
+    With ``exact`` terms a query word meets a note in one posting at most, so one aggregate both
+    sums the parts and counts the words. Otherwise the parts of a word are summed first.
+    """
     q = expanded.join(index.dictionary, "term").withColumn(
         "salt", F.explode(F.sequence(F.lit(0), F.lit(p.salts - 1)))
     )
     # A word that occurs in a third of all notes is spread over ``salts`` join keys.
     posts = index.postings.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(p.salts)).cast("int"))
-    stats = F.element_at(_lookup(index.field_stats), F.col("field"))
-    n_notes, avg_len = stats["n_notes"].cast("double"), stats["avg_len"]
-    df = F.lit(0)
-    boost = F.lit(0.0)
-    for name, value in p.boosts.items():
-        df = F.when(F.col("field") == name, F.col(f"df_{name}")).otherwise(df)
-        boost = F.when(F.col("field") == name, F.lit(float(value))).otherwise(boost)
-    idf = F.log(1 + (n_notes - df + 0.5) / (df + 0.5))
-    tf = F.col("tf").cast("double")
-    norm = p.k1 * (1 - p.b + p.b * F.col("field_len") / avg_len)
-    part = F.col("weight") * boost * idf * (p.delta + tf * (p.k1 + 1) / (tf + norm))
+    stats = _lookup(index.field_stats)
+    part = F.lit(0.0)
+    for f, boost in p.boosts.items():
+        n_notes = F.element_at(stats, f)["n_notes"].cast("double")
+        avg_len = F.element_at(stats, f)["avg_len"]
+        df, tf = F.col(f"df_{f}"), F.col(f"tf_{f}").cast("double")
+        idf = F.log(1 + (n_notes - df + 0.5) / (df + 0.5))
+        norm = p.k1 * (1 - p.b + p.b * F.col(f"len_{f}") / avg_len)
+        hit = float(boost) * idf * (p.delta + tf * (p.k1 + 1) / (tf + norm))
+        part = part + F.when(F.col(f"tf_{f}") > 0, hit).otherwise(0.0)
     matched = posts.join(q, ["term", "salt"]).select(
-        "query_id", "path", "source_term", "created_at", "tags", part.alias("part")
+        "query_id",
+        "path",
+        "source_term",
+        "created_at",
+        "flags",
+        (F.col("weight") * part).alias("part"),
     )
+    facts = [F.max(c).alias(c) for c in ("created_at", "flags")]
+    if not exact:
+        matched = matched.groupBy("query_id", "path", "source_term").agg(
+            F.sum("part").alias("part"), *facts
+        )
     score = F.sum("part")
     if p.coverage:
-        score = score * F.size(F.collect_set("source_term"))
-    return matched.groupBy("query_id", "path").agg(
-        score.alias("raw_score"),
-        F.first("created_at").alias("created_at"),
-        F.first("tags").alias("tags"),
-    )
+        score = score * F.count(F.lit(1))
+    return matched.groupBy("query_id", "path").agg(score.alias("raw_score"), *facts)
 
 
 def top_k(scored: DataFrame, k: int | Column, by: str = "score") -> DataFrame:
@@ -423,23 +454,27 @@ def search(
         expanded = expand_terms(terms, index.dictionary.select("term"), params)
     else:
         expanded = exact_terms(terms)
-    scored = score_notes(index, expanded, params)
 
+    # Filters that hold for all queries prune postings before anything is scored.
+    posts = index.postings
     asked = F.lit(bool(tags) and text.SESSION_TAG in tags)
-    if tags:
-        scored = scored.where(
-            F.arrays_overlap(
-                F.transform("tags", F.lower), F.array(*[F.lit(t.lower()) for t in tags])
-            )
-        )
+    if tags and set(tags) == set(text.ROUTABLE_TAGS):
+        posts = posts.where(F.col("flags").bitwiseAND(IS_ROUTABLE) != 0)
+    elif tags:
+        wanted = F.array(*[F.lit(t.lower()) for t in tags])
+        tagged = index.docs.where(F.arrays_overlap(F.transform("tags", F.lower), wanted))
+        posts = posts.join(tagged.select("path"), "path", "left_semi")
     if folder:
         base = folder.rstrip("/")
-        scored = scored.where((F.col("path") == base) | F.startswith("path", F.lit(base + "/")))
+        posts = posts.where((F.col("path") == base) | F.startswith("path", F.lit(base + "/")))
+    scored = score_notes(replace(index, postings=posts), expanded, params, exact=not expand)
+
     per_row = [c for c in ("tags", "folder") if c in queries.columns]
     if per_row:
         opts = queries.select("query_id", *[F.col(c).alias(f"q_{c}") for c in per_row])
         scored = scored.join(opts, "query_id")
         if "tags" in per_row:
+            scored = scored.join(index.docs, "path")
             lowered = F.transform("q_tags", F.lower)
             scored = scored.where(
                 F.col("q_tags").isNull()
@@ -459,7 +494,7 @@ def search(
         "path",
         F.round(
             F.col("raw_score")
-            * document_boost(F.col("created_at"), F.col("tags"), clock(as_of), asked),
+            * document_boost(F.col("created_at"), F.col("flags"), clock(as_of), asked),
             SCORE_DIGITS,
         ).alias("score"),
     )

@@ -214,18 +214,30 @@ def index_diff(c: Corpus) -> DataFrame:
 )
 def index_build(c: Corpus) -> DataFrame:
     ix = c.full_index
-    # Two levels: a distinct count per field without expanding every posting.
-    per_term = ix.postings.groupBy("field", "term").agg(
-        F.count(F.lit(1)).alias("p"), F.sum("tf").alias("t")
-    )
-    sums = per_term.groupBy("field").agg(
-        F.sum("p").alias("n_postings"), F.sum("t").alias("n_tokens"), F.count(F.lit(1)).alias("n_terms")
-    )
-    return sums.join(ix.field_stats, "field").select(
+    return _per_field(ix).join(ix.field_stats, "field").select(
         "field", "n_postings", "n_tokens", "n_terms", "n_notes", F.round("avg_len", 6).alias("avg_len")
     )
 
 
+def _per_field(ix: keyword.KeywordIndex) -> DataFrame:
+    """(field, n_postings, n_tokens, n_terms): three rows from one-row sums over both tables."""
+    fields = tuple(keyword.FIELD_BOOSTS)
+    sums = ix.postings.agg(
+        *[F.count_if(F.col(f"tf_{f}") > 0).alias(f"p_{f}") for f in fields],
+        *[F.sum(f"tf_{f}").alias(f"t_{f}") for f in fields],
+    )
+    terms = ix.dictionary.agg(*[F.count_if(F.col(f"df_{f}") > 0).alias(f"n_{f}") for f in fields])
+
+    def long(df: DataFrame, **prefixes: str) -> DataFrame:
+        rows = [
+            F.struct(F.lit(f).alias("field"), *[F.col(f"{p}_{f}").alias(n) for n, p in prefixes.items()])
+            for f in fields
+        ]
+        return df.select(F.inline(F.array(*rows)))
+
+    return long(sums, n_postings="p", n_tokens="t").join(long(terms, n_terms="n"), "field")
+
+
 @register(
     "index_incremental",
     S.with_(S.NOTES, S.POSTINGS)
@@ -239,13 +251,7 @@ def index_incremental(c: Corpus) -> DataFrame:
     old_ix = keyword.build_index(older)
     removed = c.notes.select("path").limit(0)
     new_ix = keyword.update_index(old_ix, c.notes, removed, c.notes)
-    sums = new_ix.postings.groupBy("field").agg(
-        F.count(F.lit(1)).alias("n_postings"), F.sum("tf").alias("n_tokens")
-    )
-    words = new_ix.dictionary.agg(
-        *[F.count_if(F.col(f"df_{f}") > 0).alias(f) for f in keyword.FIELD_BOOSTS]
-    ).select(F.explode(F.create_map(*[x for f in keyword.FIELD_BOOSTS for x in (F.lit(f), F.col(f))])).alias("field", "n_terms"))
-    return sums.join(words, "field")
+    return _per_field(new_ix)
 
 
 EXACT = (S.NOTES, S.QUERIES, S.POSTINGS, S.terms("qt", "queries", "query"))

@@ -116,7 +116,7 @@ def test_update_equals_rebuild(vault, spark):
     removed = spark.createDataFrame([("c.md",)], "path string")
     got = keyword.update_index(keyword.build_index(v1), changed, removed, v2)
     want = keyword.build_index(v2)
-    for name in ("postings", "dictionary", "field_stats"):
+    for name in ("postings", "dictionary", "field_stats", "docs"):
         a, b = got.tables()[name], want.tables()[name]
         cols = sorted(b.columns)
         rows = lambda d: sorted(map(str, d.select(*cols).collect()))  # noqa: E731, B023

@@ -165,7 +165,7 @@ def run(query):
     query.awaitTermination()
 
 
-COLS = ["path", "field", "term", "tf", "field_len"]
+COLS = ["path", "term", "tf_title", "tf_content", "len_content"]
 
 
 def posting_rows(df):
