@@ -36,6 +36,7 @@ class KeywordParams:
     max_edits: int = 6
     boosts: dict = field(default_factory=lambda: dict(FIELD_BOOSTS))
     salts: int = 8
+    hot_share: float = 0.05  # words of more notes than this share are salted
 
     @staticmethod
     def textbook(**changes) -> "KeywordParams":
@@ -394,12 +395,23 @@ def score_notes(
     With ``exact`` terms a query word meets a note in one posting at most, so one aggregate both
     sums the parts and counts the words. Otherwise the parts of a word are summed first.
     """
-    q = expanded.join(index.dictionary, "term").withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), F.lit(p.salts - 1)))
-    )
-    # A word that occurs in a third of all notes is spread over ``salts`` join keys.
-    posts = index.postings.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(p.salts)).cast("int"))
     stats = _lookup(index.field_stats)
+    # A word of many notes is spread over ``salts`` join keys on both sides. Each note has few
+    # distinct words, so words that occur in a share s of the notes number at most the mean note
+    # length / s: a list short enough to broadcast, whatever the size of the corpus.
+    in_notes = F.greatest(*[F.col(f"df_{f}") for f in FIELD_BOOSTS])
+    is_hot = in_notes > p.hot_share * F.element_at(stats, "content")["n_notes"]
+    spread = F.sequence(F.lit(0), F.lit(p.salts - 1))
+    q = (
+        expanded.join(index.dictionary, "term")
+        .withColumn("salts", F.when(is_hot, spread).otherwise(F.array(F.lit(0))))
+        .withColumn("salt", F.explode("salts"))
+    )
+    hot = index.dictionary.where(is_hot).select("term", F.lit(True).alias("hot"))
+    slot = F.pmod(F.xxhash64("path"), F.lit(p.salts)).cast("int")
+    posts = index.postings.join(F.broadcast(hot), "term", "left").withColumn(
+        "salt", F.when(F.col("hot"), slot).otherwise(0)
+    )
     part = F.lit(0.0)
     for f, boost in p.boosts.items():
         n_notes = F.element_at(stats, f)["n_notes"].cast("double")

@@ -265,6 +265,17 @@ def open_targets(notes: DataFrame) -> DataFrame:
     )
 
 
+def _plain_words(c: str) -> Column:
+    return F.filter(F.split(F.lower(c), r"\W+"), lambda w: w != "")
+
+
+def _runs(words: Column, n: int) -> Column:
+    """Every run of ``n`` words, joined by blanks."""
+    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1))
+    runs = F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
+    return F.coalesce(runs, F.array().cast("array<string>"))
+
+
 def stale_matches(
     notes: DataFrame,
     session_notes: DataFrame,
@@ -274,8 +285,8 @@ def stale_matches(
 ) -> DataFrame:
     """(brief_path, review_date, source, session_path, session_created, keyword) of stale notes.
 
-    Sessions and keywords meet on the first word of the keyword; the whole-word match is checked
-    on the survivors. Joining on words keeps this an equi-join.
+    Sessions and keywords meet on the first words of the keyword, up to three in a row, so a
+    common word alone brings nothing together; the literal match is checked on the survivors.
     """
     briefs = (
         brief_map.select(text.drop_dot_slash("path").alias("path"), "keyword")
@@ -293,26 +304,28 @@ def stale_matches(
         )
         .where(F.col("review_date") <= dates.days_before(dates.clock(as_of), stale_days))
         .join(open_targets(notes), "path", "left_anti")
-        .withColumn("word", F.lower(F.regexp_extract("keyword", r"(\w+)", 1)))
+        .withColumn("words", F.array_join(F.slice(_plain_words("keyword"), 1, 3), " "))
     )
     spoken = session_notes.select(
         F.col("path").alias("session_path"),
         F.col("created_at").alias("session_created"),
         F.array_join(F.concat(F.array("title"), "topics", "files_changed"), "\n").alias("spoken"),
     )
-    by_word = spoken.select(
+    by_words = spoken.withColumn("w", _plain_words("spoken")).select(
         "session_path",
         "session_created",
         "spoken",
-        # The empty word stands for keywords without any word character.
+        # The empty key stands for keywords without any word character.
         F.explode(
             F.array_distinct(
-                F.array_append(F.split(F.lower("spoken"), r"\W+"), F.lit(""))
+                F.concat(
+                    F.array(F.lit("")), F.col("w"), _runs(F.col("w"), 2), _runs(F.col("w"), 3)
+                )
             )
-        ).alias("word"),
+        ).alias("words"),
     )
     return (
-        by_word.join(briefs, "word")
+        by_words.join(briefs, "words")
         .where(F.col("session_created") > F.col("review_date"))
         .where(text.matches_keyword("spoken", "keyword"))
         .select(
