@@ -27,7 +27,7 @@ FILES = {
     "Home.md": "# Home\n",
     "kb/sub dir/a b.md": note("A", ("x",), "body\n"),
     "kb/skip.txt": "no",
-    ".obsidian/x.md": "hidden",
+    ".hidden/x.md": "hidden",
     "sessions/archive/old.md": "archived",
     "sessions/digests/d.md": "digest",
     "sessions/digests/_runs/r.md": "run report",
