@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import line_runs, warc
+from quillspark.llm import chat, licenses, line_runs, warc
 from quillspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,9 +19,13 @@ def _over(name: str, query: Callable[[DataFrame], DataFrame]) -> Query:
 QUERIES: dict[str, Query] = {
     "op4_line_runs": _over("documents", line_runs.query),
     "op5_warc": _over("pages", warc.query),
+    "op9_license_scan": _over("documents", licenses.query),
+    "op10_chat": _over("conversations", chat.collapse_and_render),
 }
 
 ORACLES: dict[str, str] = {
     "op4_line_runs": line_runs.ORACLE,
     "op5_warc": warc.ORACLE,
+    "op9_license_scan": licenses.ORACLE,
+    "op10_chat": chat.ORACLE,
 }
