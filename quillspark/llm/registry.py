@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import chat, licenses, line_runs, warc
+from quillspark.llm import chat, licenses, line_runs, quality, warc
 from quillspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,7 @@ def _over(name: str, query: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 QUERIES: dict[str, Query] = {
+    "op3_quality": _over("documents", quality.query),
     "op4_line_runs": _over("documents", line_runs.query),
     "op5_warc": _over("pages", warc.query),
     "op9_license_scan": _over("documents", licenses.query),
@@ -24,6 +25,7 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_quality": quality.ORACLE,
     "op4_line_runs": line_runs.ORACLE,
     "op5_warc": warc.ORACLE,
     "op9_license_scan": licenses.ORACLE,
