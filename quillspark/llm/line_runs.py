@@ -103,7 +103,8 @@ class LineRuns:
 
     def dropped(self, keys: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
         """``(doc_id, drop)``: the keys a document loses, as frequent and also held by a larger doc_id."""
-        frequent = self.merged().where(F.col("n_docs") >= min_docs).select("key", "last_doc")
+        # Written first: the join then has exchanges of its own, and a key with very many lines can be split.
+        frequent = written(self.merged().where(F.col("n_docs") >= min_docs).select("key", "last_doc"), "line-frequent")
         lost = keys.join(frequent, "key").where(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
         # A list holds lines of one document alone.
         return lost.groupBy("doc_id").agg(F.collect_set("key").alias("drop"))
