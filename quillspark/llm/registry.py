@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import bpe, chat, licenses, line_runs, pii, quality, warc
+from quillspark.llm import bpe, chat, licenses, line_runs, pii, quality, simhash, warc
 from quillspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,7 @@ QUERIES: dict[str, Query] = {
     "op3_quality": _over("documents", quality.query),
     "op4_line_runs": _over("documents", line_runs.query),
     "op5_warc": _over("pages", warc.query),
+    "op6_simhash": _over("documents", simhash.query),
     "op7_pii": _over("documents", pii.query),
     "op8_bpe": _over("documents", bpe.query),
     "op9_license_scan": _over("documents", licenses.query),
