@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import bpe, chat, licenses, line_runs, packing, pii, quality, simhash, warc
+from quillspark.llm import bpe, chat, licenses, line_runs, merkle, packing, pii, quality, simhash, warc
 from quillspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,7 @@ def _over(name: str, query: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_merkle": _over("documents", merkle.query),
     "op2_packing": _over("documents", packing.query),
     "op3_quality": _over("documents", quality.query),
     "op4_line_runs": _over("documents", line_runs.query),
