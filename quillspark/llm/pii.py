@@ -67,10 +67,12 @@ _BRACKETED_AT = re.compile(rf"[ \t]*(?:[(\[{{<]\s*(?:{_AT}|@)\s*[)\]}}>]|_(?:{_A
 _BRACKETED_DOT = re.compile(rf"[ \t]*(?:[(\[{{<]\s*(?:{_DOT}|\.)\s*[)\]}}>]|_(?:{_DOT})_)[ \t]*", re.I)
 _LABEL = r"[A-Za-z0-9-]+"
 _PART = r"[A-Za-z0-9._%+-]+"
-# Bare words count only in the whole shape "name at host dot end", the host's last label being letters.
+#: Ends of addresses that are taken from bare words: common ones that are no common words. Fixed values.
+_ENDS = "com|org|net|edu|gov|mil|int|info|biz|name|io|ai|dev|app|xyz|eu|de|fr|es|uk|us|ca|nl|ch|pl|ru|jp|cn|br|au|se|dk|fi|cz|pt|ie|nz|za|kr|mx|tv|test|example|invalid|localhost"
+# Bare words count only in the whole shape "name at host dot end".
 _WORDS = re.compile(
     rf"(?<![A-Za-z0-9._%+-])(?P<name>{_PART}(?:[ ](?:{_DOT})[ ]{_PART})?)(?P<at>[ ](?:{_AT})[ ])(?P<host>{_LABEL}(?:(?:[ ](?:{_DOT})[ ]|\.){_LABEL})*)"
-    rf"(?P<dot>[ ](?:{_DOT})[ ])(?P<end>[A-Za-z]{{2,24}})(?![A-Za-z0-9])",
+    rf"(?P<dot>[ ](?:{_DOT})[ ])(?P<end>{_ENDS})(?![A-Za-z0-9])",
     re.I,
 )
 _SPACED_AT = re.compile(rf"(?<=[A-Za-z0-9])[ ]?@[ ]?(?=[A-Za-z0-9])")
@@ -173,7 +175,7 @@ def fold_signs(r: Rewritten) -> Rewritten:
         edits.append((*m.span("dot"), "."))
     r = r.replaced(edits)
     # "name@host dot end", once a bracketed sign is a plain one.
-    mixed = re.compile(rf"(?<=@)({_LABEL}(?:\.{_LABEL})*)([ ](?:{_DOT})[ ])(?=[A-Za-z]{{2,24}}(?![A-Za-z0-9]))", re.I)
+    mixed = re.compile(rf"(?<=@)({_LABEL}(?:\.{_LABEL})*)([ ](?:{_DOT})[ ])(?=(?:{_LABEL}[ ](?:{_DOT})[ ])*(?:{_ENDS})(?![A-Za-z0-9]))", re.I)
     while edits := [(*m.span(2), ".") for m in mixed.finditer(r.text)]:
         r = r.replaced(edits)
     return r.replaced([(*m.span(), "@") for m in _SPACED_AT.finditer(r.text) if m[0] != "@"])
