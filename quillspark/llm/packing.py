@@ -99,6 +99,8 @@ def price(values: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
 
 def fractional(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS, rate: float = RATE) -> dict[Config, float]:
     """Configurations and how often each is used; together they use no length more often than the histogram has it."""
+    if not histogram:
+        return {}
     lengths = np.array(sorted(histogram, reverse=True))
     demand, left = np.zeros(capacity + 1), np.zeros(capacity + 1)
     for length, n in histogram.items():
