@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+import yaml
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,11 +12,6 @@ from ..schema import EDIT
 from .base import ColumnOrName, col, let, strip
 from .text import slug
 
-try:
-    import yaml
-except ImportError:  # nested YAML is then left unparsed
-    yaml = None
-
 FRONTMATTER = r"(?s)\A---[ \t]*\r?\n(?:(.*?)\r?\n)??---[ \t]*(?:\r?\n|\z)(.*)\z"
 EDITS_TYPE = "array<struct<section:string,action:string,content:string>>"
 
@@ -71,7 +67,7 @@ def yaml_list(block: ColumnOrName, key: str) -> Column:
 @F.pandas_udf(T.ArrayType(EDIT))
 def _nested_edits(blocks: pd.Series) -> pd.Series:
     def one(block: str | None):
-        if not block or yaml is None:
+        if not block:
             return None
         try:
             items = (yaml.safe_load(block) or {}).get("edits")

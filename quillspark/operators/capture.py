@@ -32,7 +32,9 @@ def parse_lines(transcript: DataFrame) -> DataFrame:
             "cwd",
             "pos",
             get("$.type", "string").alias("type"),
-            get("$.aiTitle", "string").alias("ai_title"),
+            F.when(get("$.type", "string") == "ai-title", F.coalesce(get("$.aiTitle", "string"), F.lit(""))).alias(
+                "ai_title"
+            ),
             dates.parse_ts(get("$.timestamp", "string")).alias("ts"),
             F.when(is_text, get("$.message.content", "string")).alias("said"),
             F.when(~is_text, get("$.message.content", "array<variant>")).alias("blocks"),

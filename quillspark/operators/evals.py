@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..session import work_dir
 from . import routing
 
 # Thresholds tried by the sweep.
@@ -301,12 +302,19 @@ def bootstrap_ci(
         return bootstrap_ci(one, ["_all"], order, value, iters, seed).drop("_all")
     spark = values.sparkSession
     cols = [*group, order, value]
-    # Positions without a single-task window: sort by range, then number.
-    ordered = values.select(*cols).orderBy(*group, order)
-    schema = ordered.schema.add("g_ix", "long")
-    numbered = spark.createDataFrame(
-        ordered.rdd.zipWithIndex().map(lambda t: (*t[0], t[1])), schema
+    # Positions without a single-task window: sorted by range and written once, which fixes part and place of each row; a
+    # part starts where the ones before it end (one row per part).
+    place = F.monotonically_increasing_id()
+    path = work_dir(spark, "bootstrap")
+    values.select(*cols).orderBy(*group, order).select(
+        *cols, F.shiftright(place, 33).alias("part"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("at")
+    ).write.parquet(path)
+    placed = spark.read.parquet(path)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("part").agg(F.count(F.lit(1)).alias("rows")).select(
+        "part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start")
     )
+    numbered = placed.join(starts, "part").select(*cols, (F.col("start") + F.col("at")).alias("g_ix"))
     sizes = numbered.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n"), F.min("g_ix").alias("g0"), F.avg(value).alias("mean")
     )

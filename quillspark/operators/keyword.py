@@ -281,7 +281,7 @@ def fuzzy_matches(
     reach = terms.select(
         "term",
         F.explode(
-            F.sequence(F.greatest(F.lit(3), tlen - p.max_edits), tlen + p.max_edits)
+            F.sequence(F.greatest(F.lit(1), tlen - p.max_edits), tlen + p.max_edits)
         ).alias("qlen"),
     )
     limit = F.least(F.lit(p.max_edits), F.floor(F.col("qlen") * p.fuzzy_share + 0.5).cast("int"))
@@ -313,7 +313,7 @@ def fuzzy_matches(
         .select(
             "source_term",
             "term",
-            F.levenshtein("source_term", "term", 6).alias("distance"),
+            F.levenshtein("source_term", "term", p.max_edits).alias("distance"),
             "k",
         )
         .where((F.col("distance") >= 0) & (F.col("distance") <= F.col("k")))

@@ -184,9 +184,12 @@ def routable_hits(
 
 
 def brief_lookup(routes: DataFrame, notes: DataFrame, related: DataFrame) -> DataFrame:
-    """Routed topics with the note; abstentions with their related hits (query_id, path, rank)."""
+    """Routed topics with the note; abstentions with their related hits (query_id, path, rank).
+
+    A route to a path without a note is not found; it keeps its path and method.
+    """
     found = routes.where(F.col("path").isNotNull()).join(
-        notes.select("path", "title", "content"), "path", "left"
+        notes.select("path", "title", "content", F.lit(True).alias("there")), "path", "left"
     )
     rel = (
         related.join(notes.select("path", "title"), "path")
@@ -197,7 +200,7 @@ def brief_lookup(routes: DataFrame, notes: DataFrame, related: DataFrame) -> Dat
     missed = routes.where(F.col("path").isNull()).join(rel, "query_id", "left")
     return found.select(
         "query_id",
-        F.lit(True).alias("found"),
+        F.coalesce("there", F.lit(False)).alias("found"),
         "method",
         "path",
         "title",

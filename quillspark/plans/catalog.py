@@ -1491,7 +1491,7 @@ def misses(c: Corpus) -> DataFrame:
     return out.join(routed, "case_id").select("case_id", "stratum", "negative", "routed", "wanted")
 
 
-BOOT_ITERS = 200
+BOOT_ITERS = 1000
 
 
 def bootstrap_sql(source: str, group: str, iters: int = BOOT_ITERS, seed: int = 42) -> str:

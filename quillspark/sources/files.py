@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.base import strip
 from ..functions.text import clean_log_field
 
+# Fixed value: the form of a log line.
 LOG_LINE = r"^## \[(\d{4}-\d{2}-\d{2})\] (\w[\w-]*) \| (.*?) \| (.*)$"
 # The kinds of event the log knows.
 LOG_KINDS = ("capture", "digest", "proposal", "applied", "archive", "index")
@@ -62,7 +65,10 @@ def read_cases(spark: SparkSession, path: str, schema: str = CASES_SCHEMA) -> Da
 
 
 def parse_log(lines: DataFrame) -> DataFrame:
-    """(seq, line) to typed events; lines outside the grammar are left out."""
+    """(seq, line) to typed events; lines outside the grammar are left out.
+
+    ``seq`` is any value that sorts in the order of the log.
+    """
     ok = lines.where(F.rlike("line", F.lit(LOG_LINE)))
     part = lambda i: F.regexp_extract("line", LOG_LINE, i)
     return ok.select(
@@ -75,10 +81,20 @@ def parse_log(lines: DataFrame) -> DataFrame:
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    lines = spark.read.text(path, wholetext=True).select(
-        F.posexplode(F.split("value", "\r?\n")).alias("seq", "line")
+    """Events of a log file, or of a folder of appended ones, in the order they were written.
+
+    Read line by line and split over tasks like any text. ``seq`` is (file, start of the split, line in the task): append
+    names its files so that later ones sort behind earlier ones, and ids within a task rise.
+    """
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).select(
+        F.struct(
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("start"),
+            F.monotonically_increasing_id().alias("line"),
+        ).alias("seq"),
+        F.regexp_replace("value", "\r$", "").alias("line"),
     )
-    return parse_log(lines.select(F.col("seq").cast("long").alias("seq"), "line"))
+    return parse_log(lines)
 
 
 def log_tail(events: DataFrame, last: int | None = None, kind: str | None = None) -> DataFrame:
@@ -109,9 +125,23 @@ def log_lines(events: DataFrame) -> DataFrame:
     )
 
 
+LOG_HEADER = "# Log"
+
+
 def append_log(events: DataFrame, path: str) -> None:
-    """Add one line per event; earlier lines are never rewritten."""
-    log_lines(events).write.mode("append").text(path)
+    """Add one line per event; earlier lines are never rewritten.
+
+    Each append is a folder named by its time in nanoseconds, so folders sort in the order of appends; events of
+    one append keep the order of the DataFrame's partitions, whose files sort by their number. The first append
+    writes a header.
+    """
+    spark = events.sparkSession
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    new = not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    if new:
+        spark.range(1).select(F.lit(f"{LOG_HEADER}\n").alias("value")).write.text(f"{path}/append={0:020d}")
+    log_lines(events).write.text(f"{path}/append={time.time_ns():020d}")
 
 
 def append_decisions(decisions: DataFrame, path: str) -> None:

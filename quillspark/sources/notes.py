@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs as pa_fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, markdown, text
 from ..schema import LIST_KEYS, SCALAR_KEYS
 
-RUNS_FOLDER = "sessions/digests/_runs"
 ARCHIVE_PREFIX = "sessions/archive/"
 
 
@@ -23,23 +25,58 @@ def _listed(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
+def _underscored(spark: SparkSession, root: str) -> list[tuple[str, int, int]]:
+    """(path, modification time in ms, size) of notes below a name that begins with ``_``.
 
-def list_files(spark: SparkSession, root: str, include_archive: bool = False) -> DataFrame:
-    """Every ``*.md`` file with its relative path. ``content`` is only read when selected.
+    Spark's file sources leave such names out, and so does their listing; the folder tree is
+    walked here as Spark walks it for the others, and these few are kept.
+    """
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    found = []
+    walk = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(top, True)
+    while walk.hasNext():
+        status = walk.next()
+        path = status.getPath().toString()
+        inner = path.split(root.split("://")[-1].removeprefix("file:"), 1)[-1]
+        if path.endswith(".md") and "/_" in inner:
+            found.append((path, status.getModificationTime(), status.getLen()))
+    return found
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        content = []
+        for path in batch["path"].to_pylist():
+            store, inner = pa_fs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1))
+            with store.open_input_stream(inner) as f:
+                content.append(f.read())
+        yield pa.RecordBatch.from_arrays(
+            [*(batch[c] for c in ("path", "modificationTime", "length")), pa.array(content, pa.binary())],
+            names=["path", "modificationTime", "length", "content"],
+        )
+
+
+def list_files(
+    spark: SparkSession, root: str, include_archive: bool = False, content: bool = True
+) -> DataFrame:
+    """Every ``*.md`` file with its relative path, names that begin with ``_`` included.
 
-    Spark's file listing leaves out names that begin with ``_``, so the run-report folder is
-    loaded from its own root.
+    Names that begin with ``.`` are left out. ``content`` is only read when asked for.
     """
     base = root.rstrip("/")
-    files = _listed(spark, base)
-    runs = f"{base}/{RUNS_FOLDER}"
-    if _exists(spark, runs):
-        files = files.unionByName(_listed(spark, runs))
+    names = ["path", "modificationTime", "length", *(["content"] if content else [])]
+    files = _listed(spark, base).select(*names)
+    if hidden := _underscored(spark, base):
+        rows = spark.createDataFrame(hidden, "path string, ms long, length long").select(
+            "path", F.timestamp_millis("ms").alias("modificationTime"), "length"
+        )
+        if content:
+            # One task for some thousand files; each opens its own.
+            rows = rows.repartition(1 + len(hidden) // 2000).mapInArrow(
+                _opened, "path string, modificationTime timestamp, length long, content binary"
+            )
+        files = files.unionByName(rows)
     files = relative(files, base).where(~F.rlike("path", F.lit(r"(^|/)\.")))
     if not include_archive:
         files = files.where(~F.startswith("path", F.lit(ARCHIVE_PREFIX)))
@@ -56,18 +93,18 @@ def relative(files: DataFrame, root: str) -> DataFrame:
 
 
 def decoded(files: DataFrame) -> DataFrame:
-    """(path, modified_at, size, raw). Files that are not UTF-8 are left out."""
+    """(path, modified_at, size, raw). Bytes that are not UTF-8 become U+FFFD; no file is left out."""
     return files.select(
         "path",
         F.col("modificationTime").alias("modified_at"),
         F.col("length").alias("size"),
-        F.try_validate_utf8(F.col("content").cast("string")).alias("raw"),
-    ).where(F.col("raw").isNotNull())
+        F.make_valid_utf8(F.col("content").cast("string")).alias("raw"),
+    )
 
 
 def stat_notes(spark: SparkSession, root: str) -> DataFrame:
     """Path, modification time and size, bodies not opened."""
-    return list_files(spark, root).select(
+    return list_files(spark, root, content=False).select(
         "path", F.col("modificationTime").alias("modified_at"), F.col("length").alias("size")
     )
 

@@ -44,10 +44,18 @@ def test_note_scan(spark, folder):
     assert stats["Home.md"] == 7 and set(stats) == live
 
 
-def test_bad_bytes_are_skipped(spark, folder, tmp_path):
+def test_bad_bytes_are_replaced(spark, folder, tmp_path):
     root = folder({"ok.md": "fine"})
-    (tmp_path / "vault" / "bad.md").write_bytes(b"\xff\xfe\x00bad")
-    assert [r.path for r in note_source.read_notes(spark, root).collect()] == ["ok.md"]
+    (tmp_path / "vault" / "bad.md").write_bytes(b"caf\xe9 is kept")
+    got = {r.path: r.content for r in note_source.read_notes(spark, root).collect()}
+    assert got == {"ok.md": "fine", "bad.md": "caf\ufffd is kept"}
+
+
+def test_underscored_names_are_read(spark, folder):
+    root = folder({"_x/c.md": "# C", "kb/_conv.md": "rules", "kb/_y/_z/d.md": "deep", "kb/.h/_e.md": "hidden", "a.md": "plain", "_x/n.txt": "no"})
+    got = {r.path: r.content for r in note_source.read_notes(spark, root).collect()}
+    assert got == {"_x/c.md": "# C", "kb/_conv.md": "rules", "kb/_y/_z/d.md": "deep", "a.md": "plain"}
+    assert {r.path for r in note_source.stat_notes(spark, root).collect()} == set(got)
 
 
 def test_listing_lookup_and_curated(vault, spark):
@@ -115,7 +123,7 @@ def test_event_log(spark, tmp_path):
     ev = lambda rows: spark.createDataFrame(rows, "date string, kind string, title string, path string").withColumn("date", F.col("date").cast("date"))
     files.append_log(ev([("2026-01-01", "capture", "a | b\nc", "x.md")]), p)
     files.append_log(ev([("2026-01-02", "archive", "moved", "y/")]), p)
-    lines = sorted(r.value for r in spark.read.text(p).collect())
+    lines = sorted(r.value for r in spark.read.text(p).collect() if r.value.startswith("## "))
     assert lines == ["## [2026-01-01] capture | a b c | x.md", "## [2026-01-02] archive | moved | y/"]
     f = tmp_path / "log.md"
     f.write_text("# Log\n\n" + "\n".join(lines) + "\nnoise\n## [2026-01-03] index | i | z\n")
@@ -125,6 +133,19 @@ def test_event_log(spark, tmp_path):
     assert [r.title for r in files.log_tail(log, 5, "capture").collect()] == ["a b c"]
 
 
+def test_event_log_in_the_order_of_appends(spark, tmp_path):
+    p = str(tmp_path / "log")
+    for run in range(3):
+        rows = [("2026-01-01", "capture", f"run {run} event {k}", "x.md") for k in range(5)]
+        df = spark.createDataFrame(rows, "date string, kind string, title string, path string")
+        files.append_log(df.withColumn("date", F.col("date").cast("date")), p)
+    log = files.read_log(spark, p)
+    every = [f"run {run} event {k}" for run in range(3) for k in range(5)]
+    assert [r.title for r in log.orderBy("seq").collect()] == every
+    assert [r.title for r in files.log_tail(log, 7).collect()] == every[-7:]
+    assert sum(r.value == files.LOG_HEADER for r in spark.read.text(p).collect()) == 1
+
+
 def test_snapshot(spark, vault, tmp_path):
     root = str(tmp_path / "snap")
     assert snapshot.load(spark, root, ["postings"]) is None
