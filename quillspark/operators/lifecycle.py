@@ -276,6 +276,22 @@ def _runs(words: Column, n: int) -> Column:
     return F.coalesce(runs, F.array().cast("array<string>"))
 
 
+def _sign_key(keyword: str) -> Column:
+    """The first one or two signs of a keyword without word characters; the mark keeps them apart from words."""
+    k = F.trim(F.lower(keyword))
+    second = F.substring(k, 2, 1)
+    return F.concat(F.lit("\u0001"), F.substring(k, 1, 1), F.when(F.rlike(second, F.lit(r"^[^\s\w]$")), second).otherwise(""))
+
+
+def _sign_keys(spoken: str) -> Column:
+    """All keys that a keyword of signs in this text can have."""
+    low = F.lower(spoken)
+    single = F.regexp_extract_all(low, F.lit(r"[^\s\w]"), F.lit(0))
+    double = F.regexp_extract_all(low, F.lit(r"(?=([^\s\w]{2}))"), F.lit(1))
+    marked = F.transform(F.array_distinct(F.concat(single, double)), lambda s: F.concat(F.lit("\u0001"), s))
+    return F.coalesce(marked, F.array().cast("array<string>"))
+
+
 def stale_matches(
     notes: DataFrame,
     session_notes: DataFrame,
@@ -305,6 +321,7 @@ def stale_matches(
         .where(F.col("review_date") <= dates.days_before(dates.clock(as_of), stale_days))
         .join(open_targets(notes), "path", "left_anti")
         .withColumn("words", F.array_join(F.slice(_plain_words("keyword"), 1, 3), " "))
+        .withColumn("words", F.when(F.col("words") == "", _sign_key("keyword")).otherwise(F.col("words")))
     )
     spoken = session_notes.select(
         F.col("path").alias("session_path"),
@@ -315,12 +332,10 @@ def stale_matches(
         "session_path",
         "session_created",
         "spoken",
-        # The empty key stands for keywords without any word character.
+        # Keywords without any ASCII word character are found by their first signs.
         F.explode(
             F.array_distinct(
-                F.concat(
-                    F.array(F.lit("")), F.col("w"), _runs(F.col("w"), 2), _runs(F.col("w"), 3)
-                )
+                F.concat(F.col("w"), _runs(F.col("w"), 2), _runs(F.col("w"), 3), _sign_keys("spoken"))
             )
         ).alias("words"),
     )

@@ -15,8 +15,6 @@ from ..functions.markdown import section_chunks
 
 DIM = 64
 SCORE_DIGITS = 6
-# Queries up to this many (times DIM floats) are sent to every task; more take the block join.
-MAX_BROADCAST_QUERIES = 4096
 QUERY_BLOCK = 2048
 CHUNK_BLOCK = 50_000
 
@@ -140,50 +138,34 @@ def _best(
     return pd.concat(frames, ignore_index=True)
 
 
-def _query_matrix(queries: DataFrame, limit: int) -> tuple[list, list] | None:
-    """Query vectors on the driver if there are at most ``limit`` of them, else None."""
-    rows = queries.select("query_id", "vector").limit(limit + 1).collect()
-    if len(rows) > limit:
-        return None
-    return [r[0] for r in rows], [r[1] for r in rows]
-
-
 def nearest(
-    queries: DataFrame, items: DataFrame, k: int, max_broadcast: int = MAX_BROADCAST_QUERIES
+    queries: DataFrame,
+    items: DataFrame,
+    k: int,
+    query_block: int = QUERY_BLOCK,
+    item_block: int = CHUNK_BLOCK,
 ) -> DataFrame:
     """(query_id, item_id, score, rank): exact top-k by cosine.
 
-    Every task multiplies its items with the query matrix and keeps k rows per query; only
-    those are shuffled. A query set over ``max_broadcast`` rows is cut into blocks instead:
-    items and queries are hashed into blocks of bounded size and each pair of blocks is one
-    group, so no task holds more than one block of either side.
+    Queries and items are hashed into blocks of about the given sizes and each pair of blocks is one group: no task
+    holds more than one block of either side, and k rows per query and block pair are shuffled. Few queries are one
+    block, and then no item is copied.
     """
     id_type = dict(items.dtypes)["item_id"]
     q_type = dict(queries.dtypes)["query_id"]
     schema = f"query_id {q_type}, item_id {id_type}, score double"
-    small = _query_matrix(queries, max_broadcast)
-    if small is not None:
-        if not small[0]:
-            local = items.sparkSession.createDataFrame([], schema)
-        else:
-            qids = np.asarray(small[0], dtype=object)
-            q = _unit(small[1])
-
-            def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                for b in batches:
-                    if len(b):
-                        yield _best(qids, q, b["item_id"].to_numpy(), _unit(list(b["vector"])), k)
-
-            local = items.select("item_id", "vector").mapInPandas(scan, schema)
-    else:
-        local = _block_join(queries, items, k, schema)
+    local = _block_join(queries, items, k, schema, query_block, item_block)
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "item_id")
     return local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _block_join(queries: DataFrame, items: DataFrame, k: int, schema: str) -> DataFrame:
-    q_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    c_blocks = max(1, -(-items.count() // CHUNK_BLOCK))
+def _block_join(
+    queries: DataFrame, items: DataFrame, k: int, schema: str, query_block: int, item_block: int
+) -> DataFrame:
+    q_blocks = max(1, -(-queries.count() // query_block))
+    # At least one block per core, so that few items keep all cores busy.
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    c_blocks = max(cores, -(-items.count() // item_block))
     q = queries.select(
         F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).alias("qb"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(c_blocks - 1).cast("long"))).alias("cb"),
@@ -246,35 +228,40 @@ def first_hit_per_note(hits: DataFrame) -> DataFrame:
 # --- approximate nearest --------------------------------------------------------------------
 
 
+def sign_sketch(rows: DataFrame, key: str, bits: int, seed: int) -> DataFrame:
+    """(key, vector): the sides of ``bits`` seeded planes that each vector lies on, as 1 and -1."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                m = _unit(list(b["vector"]))
+                planes = np.random.default_rng(seed).normal(size=(m.shape[1], bits))
+                yield pd.DataFrame({key: b[key], "vector": list(np.where(m @ planes >= 0, 1, -1).astype(np.int8))})
+
+    return rows.select(key, "vector").mapInPandas(run, f"{key} {dict(rows.dtypes)[key]}, vector array<tinyint>")
+
+
 def approximate_nearest(
-    queries: DataFrame,
-    items: DataFrame,
-    k: int,
-    radius: float = 1.2,
-    bucket_length: float = 0.8,
-    tables: int = 8,
-    seed: int = 7,
+    queries: DataFrame, items: DataFrame, k: int, share: float = 0.15, bits: int = 512, seed: int = 7
 ) -> DataFrame:
-    """Random-projection hashing on unit vectors, for corpora too large for a full scan.
+    """(query_id, item_id, score, rank): top-k among the ``share`` of the items whose sketches agree best with the query's.
 
-    Euclidean order on unit vectors is cosine order: cosine = 1 - d^2 / 2. Recall against
-    ``nearest`` depends on the three parameters.
+    Sketches of a bit per plane stand for vectors of any length: the share of planes that separate two vectors is their
+    angle. The candidates of each block get exact scores; no score is a limit, and every query gets k rows if there are so many
+    items. Recall against ``nearest`` rises with ``bits`` and ``share``.
     """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
-    from pyspark.ml.functions import array_to_vector
-
-    def prepared(df: DataFrame, key: str) -> DataFrame:
-        v = df.select(key, array_to_vector("vector").alias("raw"))
-        return Normalizer(inputCol="raw", outputCol="v").transform(v).select(key, "v")
-
-    q, c = prepared(queries, "query_id"), prepared(items, "item_id")
-    model = BucketedRandomProjectionLSH(
-        inputCol="v", outputCol="h", bucketLength=bucket_length, numHashTables=tables, seed=seed
-    ).fit(c)
-    pairs = model.approxSimilarityJoin(q, c, radius, "d").select(
-        F.col("datasetA.query_id").alias("query_id"),
-        F.col("datasetB.item_id").alias("item_id"),
-        F.round(1 - F.col("d") * F.col("d") / 2, SCORE_DIGITS).alias("score"),
+    n = items.count()
+    blocks = max(queries.sparkSession.sparkContext.defaultParallelism, -(-n // CHUNK_BLOCK))
+    per_block = max(k, int(np.ceil(share * n / blocks)))
+    schema = f"query_id {dict(queries.dtypes)['query_id']}, item_id {dict(items.dtypes)['item_id']}, score double"
+    near = _block_join(
+        sign_sketch(queries, "query_id", bits, seed), sign_sketch(items, "item_id", bits, seed), per_block, schema, QUERY_BLOCK, CHUNK_BLOCK
+    )
+    pairs = (
+        near.select("query_id", "item_id")
+        .join(queries.select("query_id", F.col("vector").alias("q")), "query_id")
+        .join(items.select("item_id", F.col("vector").alias("v")), "item_id")
+        .select("query_id", "item_id", F.round(text.cosine("q", "v"), SCORE_DIGITS).alias("score"))
     )
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "item_id")
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

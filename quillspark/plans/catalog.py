@@ -393,8 +393,8 @@ def cosine_topk(c: Corpus) -> DataFrame:
 
 @register("cosine_topk_blocks", S.with_(_EMB) + "SELECT query_id, item_id, score, rank FROM ranked WHERE rank <= 10")
 def cosine_topk_blocks(c: Corpus) -> DataFrame:
-    """The same with query blocks instead of a query matrix in every task."""
-    return vector.nearest(_vector_queries(c), _vector_items(c), 10, max_broadcast=0)
+    """The same with many small blocks of both sides."""
+    return vector.nearest(_vector_queries(c), _vector_items(c), 10, query_block=3, item_block=100)
 
 
 @register(
@@ -411,17 +411,20 @@ def chunk_dedupe(c: Corpus) -> DataFrame:
     )
 
 
-@register("ann_recall")
+@register(
+    "ann_recall",
+    "SELECT DISTINCT label AS query_id, 10 AS n_found, true AS recalled FROM embeddings",
+)
 def ann_recall(c: Corpus) -> DataFrame:
-    """Share of the exact ten nearest the hashed search finds, per query."""
+    """Rows found per query, and whether the sketch search finds nine of ten of all exact neighbours."""
     q, items = _vector_queries(c), _vector_items(c)
     exact = vector.nearest(q, items, 10)
-    near = vector.approximate_nearest(q, items, 10).select("query_id", "item_id", F.lit(1).alias("hit"))
-    return (
-        exact.join(near, ["query_id", "item_id"], "left")
-        .groupBy("query_id")
-        .agg((F.count("hit") / F.count(F.lit(1))).alias("recall_at_10"))
-    )
+    near = vector.approximate_nearest(q, items, 10)
+    both = exact.select("query_id", "item_id").join(near.select("query_id", "item_id"), ["query_id", "item_id"])
+    share = both.agg(F.count(F.lit(1)).alias("hits")).crossJoin(exact.agg(F.count(F.lit(1)).alias("all")))
+    recalled = share.select((F.col("hits") >= 0.9 * F.col("all")).alias("recalled"))
+    found = near.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_found"))
+    return found.crossJoin(recalled)
 
 
 @register(

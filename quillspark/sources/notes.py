@@ -113,16 +113,6 @@ def raw_notes(spark: SparkSession, root: str, include_archive: bool = False) ->
     return decoded(list_files(spark, root, include_archive))
 
 
-def raw_notes_by_path(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
-    """Only the named files are opened. For a list of checked length."""
-    base = root.rstrip("/")
-    if not paths:
-        return raw_notes(spark, base).limit(0)
-    escaped = [re.sub(r"([\[\]{}?*\\])", r"\\\1", p) for p in paths]
-    files = spark.read.format("binaryFile").load([f"{base}/{p}" for p in escaped])
-    return decoded(relative(files, base))
-
-
 def frontmatter_struct(block: Column) -> Column:
     return F.struct(
         *[markdown.yaml_scalar(block, k).alias(k) for k in SCALAR_KEYS],

@@ -79,7 +79,11 @@ def index_new_files(
     """Postings of new notes, batch by batch."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        _write_index(note_source.decoded(note_source.relative(batch, root)), out, batch_id)
+        # The same notes as a scan of the folder: no archive, no hidden names.
+        files = note_source.relative(batch, root).where(
+            ~F.rlike("path", F.lit(r"(^|/)\.")) & ~F.startswith("path", F.lit(note_source.ARCHIVE_PREFIX))
+        )
+        _write_index(note_source.decoded(files), out, batch_id)
 
     return _start(note_stream(spark, root, files_per_batch), handle, checkpoint, continuous)
 
@@ -93,12 +97,11 @@ def _newest(versions: DataFrame) -> DataFrame:
 
 
 def refresh_once(
-    spark: SparkSession, root: str, out: str, batch_id: int, max_paths: int = 5000
+    spark: SparkSession, root: str, out: str, batch_id: int
 ) -> DataFrame:
     """Bring the index up to date with the folder: listing against known versions.
 
-    Up to ``max_paths`` changed files are opened by name; more than that are read by one scan of
-    the folder. Returns (path, change) of what was done.
+    Changed files are read by one scan of the folder. Returns (path, change) of what was done.
     """
     versions = read_batches(spark, out, "note_versions", before=batch_id)
     disk = note_source.stat_notes(spark, root)
@@ -109,11 +112,7 @@ def refresh_once(
     changes = spark.read.parquet(_batch_dir(out, "changes", batch_id))
 
     touched = changes.where(F.col("change") != "removed").select("path")
-    few = [r["path"] for r in touched.limit(max_paths + 1).collect()]
-    if len(few) <= max_paths:
-        raw = note_source.raw_notes_by_path(spark, root, few)
-    else:
-        raw = note_source.raw_notes(spark, root).join(touched, "path", "left_semi")
+    raw = note_source.raw_notes(spark, root).join(touched, "path", "left_semi")
     _write_index(raw, out, batch_id)
     gone = changes.where(F.col("change") == "removed").select(
         "path",

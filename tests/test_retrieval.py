@@ -218,16 +218,13 @@ def test_nearest_both_ways_against_numpy(spark):
         for i in range(7)
         for r, j in enumerate(sorted(range(300), key=lambda j: (-round(s[i, j], 6), j))[:6])
     }
-    for limit in (100, 0):
-        got = {(r.query_id, r.item_id, r["rank"]) for r in vector.nearest(qd, cd, 6, max_broadcast=limit).collect()}
+    for blocks in ({}, {"query_block": 3, "item_block": 50}):  # one block of queries; several of both sides
+        got = {(r.query_id, r.item_id, r["rank"]) for r in vector.nearest(qd, cd, 6, **blocks).collect()}
         assert got == want
-    vector_q, vector_c = vector.QUERY_BLOCK, vector.CHUNK_BLOCK
-    try:
-        vector.QUERY_BLOCK, vector.CHUNK_BLOCK = 3, 50  # several blocks on both sides
-        got = {(r.query_id, r.item_id, r["rank"]) for r in vector.nearest(qd, cd, 6, max_broadcast=0).collect()}
-        assert got == want
-    finally:
-        vector.QUERY_BLOCK, vector.CHUNK_BLOCK = vector_q, vector_c
+    full = vector.approximate_nearest(qd, cd, 6, share=1.0)
+    assert {(r.query_id, r.item_id, r["rank"]) for r in full.collect()} == want
+    some = vector.approximate_nearest(qd, cd, 6, share=0.15).collect()
+    assert len(some) == 42 and len({(r.query_id, r.item_id) for r in some} & {w[:2] for w in want}) >= 38
 
 
 def test_embedding_cache(vault, spark):

@@ -203,20 +203,19 @@ def test_index_stream_takes_new_files(spark, folder, tmp_path):
     assert posting_rows(jobs.live_postings(spark, out)) == posting_rows(want)
 
 
-@pytest.mark.parametrize("limit", [1000, 0])
-def test_refresh_follows_changes_and_deletions(spark, folder, tmp_path, limit):
+def test_refresh_follows_changes_and_deletions(spark, folder, tmp_path):
     root = folder({"a.md": "alpha beta", "kb/b.md": "beta", "gone.md": "bye"})
     out = str(tmp_path / "out")
-    jobs.refresh_once(spark, root, out, 0, max_paths=limit)
+    jobs.refresh_once(spark, root, out, 0)
     folder({"kb/b.md": "gamma gamma delta", "c.md": "new"})
     (tmp_path / "vault" / "gone.md").unlink()
-    changes = jobs.refresh_once(spark, root, out, 1, max_paths=limit)
+    changes = jobs.refresh_once(spark, root, out, 1)
     assert {r.path: r.change for r in changes.collect()} == {"kb/b.md": "changed", "c.md": "added", "gone.md": "removed"}
     want = keyword.build_index(note_source.read_notes(spark, root)).postings
     assert posting_rows(jobs.live_postings(spark, out)) == posting_rows(want)
-    assert jobs.refresh_once(spark, root, out, 2, max_paths=limit).count() == 0
+    assert jobs.refresh_once(spark, root, out, 2).count() == 0
     folder({"gone.md": "back again"})
-    jobs.refresh_once(spark, root, out, 3, max_paths=limit)
+    jobs.refresh_once(spark, root, out, 3)
     assert jobs.live_postings(spark, out).where("path = 'gone.md' and term = 'back'").count() == 1
 
 
