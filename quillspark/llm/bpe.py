@@ -4,7 +4,7 @@ The tokenizers library does the merges. Every byte stands for one printable char
 and decoding gives the same bytes back.
 
 A text is cut before white space that follows other characters; no match of the splitting pattern goes across such a place, so the pieces can
-be encoded apart. Pieces repeat, so each task keeps the ids of pieces it has met, up to a fixed number, and asks the library for the
+be encoded apart. Pieces repeat, so each Python worker keeps the ids of pieces it has met, up to a fixed number, and asks the library for the
 others. Texts are worked on in slabs of about a million characters: memory doesn't grow with the longest text.
 
 Defined results: a null text is empty and has no ids. Every row has its own result, also where doc_id repeats or is null. The strings of special
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 
 from quillspark.llm.common import bounded_batches, pick, texts
 
-KEPT_PIECES, LONGEST_KEPT, SLAB = 400_000, 48, 1 << 20
+KEPT_PIECES, LONGEST_KEPT, SLAB = 600_000, 48, 1 << 20
 _PIECES = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 
@@ -168,6 +168,18 @@ class Pieces:
         return np.frombuffer(b"".join(self.slab(text[a:b]) for a, b in slabs(text)), np.uint32)
 
 
+@functools.cache
+def ranks_pieces(path: str, pattern: str) -> Pieces:
+    """One per Python worker: its pieces stay known from task to task."""
+    return Pieces(ranks_tokenizer(path, pattern))
+
+
+@functools.cache
+def file_pieces(path: str) -> Pieces:
+    """One per Python worker: its pieces stay known from task to task."""
+    return Pieces(file_tokenizer(path))
+
+
 def slabs(text: str, size: int = SLAB) -> Iterator[tuple[int, int]]:
     start = 0
     while start < len(text):
@@ -197,7 +209,7 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: st
     path, pattern = _paths(path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(ranks_tokenizer(path, pattern))
+        pieces = ranks_pieces(path, pattern)
         sizes = np.array([len(b) for b in token_bytes(path, pattern)], np.int64)
         for batch in batches:
             ids, starts, ends = [], [], []
@@ -238,7 +250,7 @@ def round_trip(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path
     path, pattern = _paths(path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(ranks_tokenizer(path, pattern))
+        pieces = ranks_pieces(path, pattern)
         table = token_bytes(path, pattern)
         number = [str(i) for i in range(len(table))]
         for batch in batches:

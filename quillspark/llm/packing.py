@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.bpe import Pieces, file_tokenizer
+from quillspark.llm.bpe import file_pieces
 from quillspark.llm.common import bounded_batches, pick, texts, written
 
 CAPACITY, END_ID, ROUNDS, RATE = 2048, 0, 32, 0.5
@@ -61,7 +61,7 @@ def pieces_of(
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Pieces(file_tokenizer(tokenizer))
+        encoder = file_pieces(tokenizer)
         for batch in batches:
             out: list[tuple] = []
             for one, value in zip(batch["doc_id"].to_pylist(), texts(batch["text"]), strict=True):
