@@ -174,11 +174,12 @@ def fold_signs(r: Rewritten) -> Rewritten:
         edits += [(m.start("host") + d.start(), m.start("host") + d.end(), ".") for d in _WORD_DOT.finditer(m["host"])]
         edits.append((*m.span("dot"), "."))
     r = r.replaced(edits)
-    # "name@host dot end", once a bracketed sign is a plain one.
-    mixed = re.compile(rf"(?<=@)({_LABEL}(?:\.{_LABEL})*)([ ](?:{_DOT})[ ])(?=(?:{_LABEL}[ ](?:{_DOT})[ ])*(?:{_ENDS})(?![A-Za-z0-9]))", re.I)
+    r = r.replaced([(*m.span(), "@") for m in _SPACED_AT.finditer(r.text) if m[0] != "@"])
+    # "name@host dot end", once a bracketed or spaced sign is a plain one.
+    mixed = re.compile(rf"(?<=@)({_LABEL}(?:\.{_LABEL})*)([ ](?:{_DOT})[ ]|[ ]\.[ ]?)(?=(?:{_LABEL}[ ](?:{_DOT})[ ])*(?:{_ENDS})(?![A-Za-z0-9]))", re.I)
     while edits := [(*m.span(2), ".") for m in mixed.finditer(r.text)]:
         r = r.replaced(edits)
-    return r.replaced([(*m.span(), "@") for m in _SPACED_AT.finditer(r.text) if m[0] != "@"])
+    return r
 
 
 def fold_digits(r: Rewritten) -> Rewritten:

@@ -144,6 +144,8 @@ DISGUISED = [
     ("x john(at)example.com", "email", 2),
     ("jоhn@exаmple.com", "email", 0),
     ("john @ example.com", "email", 0),
+    ("john @ mail . example . com", "email", 0),
+    ("john [at] example dot com", "email", 0),
     ("ｊｏｈｎ＠ｅｘａｍｐｌｅ．ｃｏｍ", "email", 0),
     ("call plus four nine one seven zero one two three four five six now", "phone", 5),
     ("pay ４１１１ １１１１ １１１１ １１１１", "card", 4),
