@@ -5,7 +5,8 @@ words lie in 8-word windows found twice or more in it.
 
 Line frequency. Lines are normalised (stripped, A-Z lower-cased, white space made single spaces) and hashed to 128 bits. For each host
 (``source``) and line the distinct documents are counted; exact copies of a text are one document. A line is above the limit if more than
-``max(MIN_DOCS, SHARE x the host's distinct documents)`` of them hold it. Lines above the limit are removed, but for the smallest doc_id of the
+``max(MIN_DOCS, SHARE x the host's distinct documents)`` of them hold it: menus and footers of a host, not passages that a
+group of copies shares. Lines above the limit are removed, but for the smallest doc_id of the
 host that holds it and passes the base rules, so that no content leaves the corpus as a whole. A document is depleted, and rejected, if lines were
 removed and fewer than ``MIN_WORDS`` words or less than 30 % of its words are left.
 
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import SPACE, bounded_batches, pick, utf8, written
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
-MIN_DOCS, SHARE, MIN_LEFT_PERCENT = 30, 0.001, 30
+MIN_DOCS, SHARE, MIN_LEFT_PERCENT = 100, 0.01, 30
 _SYMBOLS = [c.encode() for c in "#*$%&|<>"]
 _SPACES = [c.encode() for c in SPACE]
 _NO_WORD = np.uint64(0)
@@ -182,10 +183,10 @@ def verdicts(
     )
 
 
-def accepted(docs: DataFrame) -> DataFrame:
+def accepted(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
     """The rows of ``docs`` (columns of ``documents``) that pass. Rows of one doc_id stay if one of them passes."""
     names = docs.columns
-    judged = verdicts(docs).groupBy(F.col("doc_id").alias("of_doc")).agg(F.max("kept").alias("kept"))
+    judged = verdicts(docs, min_docs=min_docs, share=share).groupBy(F.col("doc_id").alias("of_doc")).agg(F.max("kept").alias("kept"))
     rejected = judged.where(~F.col("kept")).select("of_doc")
     return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("of_doc")), "left_anti").select(*names)
 
@@ -229,7 +230,7 @@ WITH w AS (
   SELECT r.source, r.key, min(r.doc_id) FILTER (WHERE NOT f.base_failed) AS keeper
   FROM real r JOIN failed f USING (doc_id) JOIN hosts h ON h.source IS NOT DISTINCT FROM r.source
   GROUP BY r.source, r.key, h.host_docs
-  HAVING count(DISTINCT r.text) > greatest(30, h.host_docs * 0.001)
+  HAVING count(DISTINCT r.text) > greatest(100, h.host_docs * 0.01)
 ), removed AS (
   SELECT r.doc_id, sum(len(r.line_words)) AS n_removed
   FROM real r JOIN common c ON c.source IS NOT DISTINCT FROM r.source AND c.key = r.key

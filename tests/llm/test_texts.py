@@ -124,9 +124,10 @@ def test_depleted_documents_go_but_one_keeps_the_lines(spark, nothing):
     rows += [(100 + i, " ".join(f"w{i}x{k}" for k in range(60)) + "\n" + menu, "h") for i in range(5)]
     rows += [(200 + i, menu, "h") for i in range(500)]  # exact copies are one document
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    kept = {r.doc_id for r in quality.verdicts(docs).where("kept").collect()}
+    limits = {"min_docs": 30, "share": 0.001}
+    kept = {r.doc_id for r in quality.verdicts(docs, **limits).where("kept").collect()}
     assert kept == {0, *range(100, 105)}
-    assert {r.doc_id for r in quality.accepted(docs).collect()} == kept
+    assert {r.doc_id for r in quality.accepted(docs, **limits).collect()} == kept
     assert quality.verdicts(nothing).collect() == [] and quality.accepted(pick(nothing, doc_id="doc_id", text="text", source="source")).collect() == []
 
 
