@@ -230,19 +230,20 @@ notes AS (
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, query, topic): the first twelve and four words of every passage."""
+    """(query_id, query, topic): every passage whole, and its words of seven letters or more."""
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
     return table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("query_id"),
-        first_words("text", 12).alias("query"),
-        first_words("text", 4).alias("topic"),
+        F.array_join(words, " ").alias("query"),
+        F.array_join(F.filter(words, lambda w: F.length(w) >= 7), " ").alias("topic"),
     )
 
 
 QUERIES_SQL = r"""
 queries AS (
   SELECT item_id AS query_id, text AS passage,
-    array_to_string(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')[1:12], ' ') AS query,
-    array_to_string(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')[1:4], ' ') AS topic
+    array_to_string(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> ''), ' ') AS query,
+    array_to_string(list_filter(regexp_split_to_array(text, '\s+'), lambda w: length(w) >= 7), ' ') AS topic
   FROM benchmark)
 """
 
