@@ -1,3 +1,5 @@
+"""Fixtures of both test files. Not a conftest, as the tests above import theirs by that name."""
+
 import random
 
 import pytest

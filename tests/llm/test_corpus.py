@@ -11,6 +11,7 @@ from pathlib import Path
 import duckdb
 import numpy as np
 import pytest
+from messy_rows import messy, nothing, rows  # noqa: F401
 
 from quillspark.llm import chat, components, line_runs, packing, pii, quality, simhash, warc
 from quillspark.llm.common import pick

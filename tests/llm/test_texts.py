@@ -7,6 +7,7 @@ from collections import Counter
 
 import duckdb
 import pytest
+from messy_rows import messy, nothing, rows  # noqa: F401
 
 from quillspark.llm import bpe, licenses, merkle, pii, quality
 from quillspark.llm.common import pick
