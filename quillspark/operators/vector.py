@@ -181,14 +181,17 @@ def _block_join(
 
     def pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "item_id": [], "score": []})
-        return _best(
-            left["query_id"].to_numpy(),
-            _unit(list(left["vector"])),
-            right["item_id"].to_numpy(),
-            _unit(list(right["vector"])),
-            k,
-        )
+            best = pd.DataFrame({"query_id": [], "item_id": [], "score": []})
+        else:
+            best = _best(
+                left["query_id"].to_numpy(),
+                _unit(list(left["vector"])),
+                right["item_id"].to_numpy(),
+                _unit(list(right["vector"])),
+                k,
+            )
+        # Plain objects: a frame of Arrow-backed strings can't be put into one batch with the others.
+        return best.astype({"query_id": object, "item_id": object})
 
     return q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(pair, schema)
 
