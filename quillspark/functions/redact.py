@@ -27,13 +27,14 @@ RULES = (
         "[REDACTED_PRIVATE_KEY]",
     ),
 )
+# Names that hold a credential, and how a value follows.
 NAMED_VALUE = (
     r"(?i)\b([A-Za-z_][A-Za-z0-9_]*(?:KEY|TOKEN|SECRET|PASSWORD|PASSWD|CREDENTIAL)S?)"
     r"""(["']?\s*[:=]\s*)("[^"\n]*"|'[^'\n]*'|[^\s"';,)]+)"""
 )
 # Also names that are nothing but the word itself (``token = ...``); off by default.
 NAMED_VALUE_STRICT = NAMED_VALUE.replace("[A-Za-z_][A-Za-z0-9_]*(?:", "[A-Za-z0-9_]*(?:")
-# Values that cannot be a credential: collections, short values, documentation stand-ins.
+# What cannot be a credential, namely collections, short values, documentation stand-ins.
 PLACEHOLDER = (
     r"""["']?\s*(?:[\[{][^M]*|[^M]{0,7}|"""
     r"""(?:\.{3}|<.*>|x{3,}|your[-_ ]|my[-_ ]|some[-_ ]|changeme|example|placeholder|redacted|\$\{)[^M]*|"""
@@ -56,7 +57,8 @@ def _mark_named(text: Column, strict: bool) -> Column:
 
 def redact_secrets(text: ColumnOrName, strict: bool = False) -> Column:
     """Text with credentials cut. Vendor patterns run first, so their label survives."""
-    out = col(text)
+    # A text that holds the marks of the last rule already would confuse it.
+    out = F.regexp_replace(col(text), f"[{_OPEN}{_MID}{_CLOSE}]", "\ufffd")
     for _, pattern, replacement in RULES:
         out = F.regexp_replace(out, ascii_boundary(pattern), replacement)
     return F.regexp_replace(_mark_named(out, strict), _REST, "$1[REDACTED]")

@@ -955,6 +955,7 @@ def topic_clusters(c: Corpus) -> DataFrame:
     return lifecycle.topic_clusters(c.notes)
 
 
+# The folders and line references that count as citations.
 LINT = rf"""
 struct_issues AS (
   SELECT 'missing-link' AS rule, path, 'Home.md does not link to MOC "' || title || '"' AS detail FROM unlinked_maps
