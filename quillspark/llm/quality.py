@@ -32,6 +32,8 @@ from quillspark.llm.common import SPACE, bounded_batches, pick, utf8, written
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 MIN_DOCS, SHARE, MIN_LEFT_PERCENT = 100, 0.01, 30
+#: Limits of hosts of any size, for ``accepted``: a line needs no more documents than these ask for, however large ``MIN_DOCS`` is.
+FEW_DOCS, FEW_SHARE = 10, 0.05
 _SYMBOLS = [c.encode() for c in "#*$%&|<>"]
 _SPACES = [c.encode() for c in SPACE]
 _NO_WORD = np.uint64(0)
@@ -131,8 +133,13 @@ def facts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str
     return pick(docs, doc_id=doc_id, text=text, host=host).mapInArrow(run, FACTS)
 
 
-def boilerplate(rows: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
-    """``host, key, n_docs, keeper``: lines above their host's limit, and the doc_id that keeps them."""
+def boilerplate(rows: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, scaled: bool = False) -> DataFrame:
+    """``host, key, n_docs, keeper``: lines above their host's limit, and the doc_id that keeps them.
+
+    ``scaled``: more than ``max(FEW_DOCS, FEW_SHARE x the host's distinct documents)`` are enough where that is less.
+    """
+    fixed = F.greatest(F.lit(float(min_docs)), F.col("host_docs") * share)
+    limit = F.least(fixed, F.greatest(F.lit(float(FEW_DOCS)), F.col("host_docs") * FEW_SHARE)) if scaled else fixed
     hosts = (
         rows.groupBy("host", "text_key").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("one").alias("host_docs"))
     )
@@ -143,12 +150,12 @@ def boilerplate(rows: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE)
         .agg(keeper.alias("keeper"))
         .groupBy("host", "key")
         .agg(F.count(F.lit(1)).alias("n_docs"), F.min("keeper").alias("keeper"))
-        .where(F.col("n_docs") > min_docs)
+        .where(F.col("n_docs") > (min(min_docs, FEW_DOCS) if scaled else min_docs))
     )
     limits = hosts.withColumnRenamed("host", "of_host")
-    return held.join(limits, F.col("host").eqNullSafe(F.col("of_host"))).where(
-        F.col("n_docs") > F.greatest(F.lit(float(min_docs)), F.col("host_docs") * share)
-    ).select("host", "key", "n_docs", "keeper")
+    return held.join(limits, F.col("host").eqNullSafe(F.col("of_host"))).where(F.col("n_docs") > limit).select(
+        "host", "key", "n_docs", "keeper"
+    )
 
 
 def verdicts(
@@ -158,13 +165,14 @@ def verdicts(
     host: str = "source",
     min_docs: int = MIN_DOCS,
     share: float = SHARE,
+    scaled: bool = False,
 ) -> DataFrame:
     """One row per row of ``docs``: base counts, ``base_failed``, ``n_removed`` words in removed lines, ``kept``."""
     # Read three times below, so written once. The row number is fixed by the written table.
     rows = written(
         facts(docs, doc_id, text, host).withColumn("row", F.monotonically_increasing_id()), "quality-facts"
     )
-    common = boilerplate(rows, min_docs, share).select(F.col("host").alias("b_host"), F.col("key").alias("b_key"), "keeper")
+    common = boilerplate(rows, min_docs, share, scaled).select(F.col("host").alias("b_host"), F.col("key").alias("b_key"), "keeper")
     removed = (
         rows.select("row", "host", "doc_id", F.explode("lines").alias("line"))
         .join(common, F.col("host").eqNullSafe(F.col("b_host")) & (F.col("line.key") == F.col("b_key")))
@@ -183,10 +191,10 @@ def verdicts(
     )
 
 
-def accepted(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
+def accepted(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, scaled: bool = False) -> DataFrame:
     """The rows of ``docs`` (columns of ``documents``) that pass. Rows of one doc_id stay if one of them passes."""
     names = docs.columns
-    judged = verdicts(docs, min_docs=min_docs, share=share).groupBy(F.col("doc_id").alias("of_doc")).agg(F.max("kept").alias("kept"))
+    judged = verdicts(docs, min_docs=min_docs, share=share, scaled=scaled).groupBy(F.col("doc_id").alias("of_doc")).agg(F.max("kept").alias("kept"))
     rejected = judged.where(~F.col("kept")).select("of_doc")
     return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("of_doc")), "left_anti").select(*names)
 

@@ -343,3 +343,19 @@ def test_pipeline_against_brute_force(spark, messy, rows, tokenizer):
     assert all(s[3] == len(s[1]) for s in steps[3])
     pieces = Counter((i, *p) for i, t, *_ in steps[3] for p in brute_pieces(tokenizer, t, 2048))
     assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in steps[4]) == pieces
+
+
+def test_pipeline_limits_follow_the_host(spark):
+    import corpus_pipeline as pipeline
+
+    def prose(tag, n):
+        return " ".join(f"{tag}x{k}" for k in range(n))
+
+    menu = "\n".join(prose(f"menu{k}", 12) for k in range(3))
+    found = [(i, f"{menu}\n{prose(f'short{i}', 5)}", "small") for i in range(12)]  # a host of 60 documents
+    found += [(100 + i, f"{prose(f'own{i}', 60)}\n{menu}", "small") for i in range(8)]
+    found += [(200 + i, f"{prose(f'clean{i}', 40)}\n{prose(f'pair{i // 2}', 12)}", "small") for i in range(40)]
+    found += [(1000 + i, f"{menu}\n{prose(f'large{i}', 40)}" if i < 9 else prose(f"large{i}", 40), "large") for i in range(300)]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in found], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in pipeline.quality_rules(spark, docs, "unused").collect()}
+    assert kept == {i for i, *_ in found} - set(range(1, 12))
