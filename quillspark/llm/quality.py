@@ -158,28 +158,25 @@ def boilerplate(rows: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE,
     )
 
 
-def verdicts(
-    docs: DataFrame,
-    doc_id: str = "doc_id",
-    text: str = "text",
-    host: str = "source",
-    min_docs: int = MIN_DOCS,
-    share: float = SHARE,
-    scaled: bool = False,
-) -> DataFrame:
-    """One row per row of ``docs``: base counts, ``base_failed``, ``n_removed`` words in removed lines, ``kept``."""
+def _removals(
+    docs: DataFrame, doc_id: str, text: str, host: str, min_docs: int, share: float, scaled: bool
+) -> tuple[DataFrame, DataFrame]:
+    """Facts of each row, and ``row, host, doc_id, key, words, keeper`` of each line of a row that is above its host's limit."""
     # Read three times below, so written once. The row number is fixed by the written table.
     rows = written(
         facts(docs, doc_id, text, host).withColumn("row", F.monotonically_increasing_id()), "quality-facts"
     )
     common = boilerplate(rows, min_docs, share, scaled).select(F.col("host").alias("b_host"), F.col("key").alias("b_key"), "keeper")
-    removed = (
+    held = (
         rows.select("row", "host", "doc_id", F.explode("lines").alias("line"))
         .join(common, F.col("host").eqNullSafe(F.col("b_host")) & (F.col("line.key") == F.col("b_key")))
-        .where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-        .groupBy("row")
-        .agg(F.sum("line.words").alias("n_removed"))
+        .select("row", "host", "doc_id", "line.key", "line.words", "keeper")
     )
+    return rows, held
+
+
+def _judged(rows: DataFrame, held: DataFrame) -> DataFrame:
+    removed = held.where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).groupBy("row").agg(F.sum("words").alias("n_removed"))
     left = F.col("n_words") - F.col("n_removed")
     depleted = (F.col("n_removed") > 0) & ((left < MIN_WORDS) | (100 * left < MIN_LEFT_PERCENT * F.col("n_words")))
     return (
@@ -191,12 +188,70 @@ def verdicts(
     )
 
 
+def verdicts(
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    host: str = "source",
+    min_docs: int = MIN_DOCS,
+    share: float = SHARE,
+    scaled: bool = False,
+) -> DataFrame:
+    """One row per row of ``docs``: base counts, ``base_failed``, ``n_removed`` words in removed lines, ``kept``."""
+    return _judged(*_removals(docs, doc_id, text, host, min_docs, share, scaled))
+
+
+def without_lines(text: bytes, gone: set[bytes]) -> bytes:
+    """A text without the lines whose keys are in ``gone``."""
+    keep = []
+    for line in text.split(b"\n"):
+        words = line.split()
+        if not words or hashlib.md5(b" ".join(words).lower(), usedforsecurity=False).digest() not in gone:
+            keep.append(line)
+    return b"\n".join(keep)
+
+
 def accepted(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, scaled: bool = False) -> DataFrame:
-    """The rows of ``docs`` (columns of ``documents``) that pass. Rows of one doc_id stay if one of them passes."""
+    """The rows of ``docs`` (columns of ``documents``) that pass, their texts without the lines above the limits.
+
+    Rows of one doc_id stay if one of them passes. A line whose keeper is rejected stays in the smallest doc_id that holds it and passes.
+    """
     names = docs.columns
-    judged = verdicts(docs, min_docs=min_docs, share=share, scaled=scaled).groupBy(F.col("doc_id").alias("of_doc")).agg(F.max("kept").alias("kept"))
-    rejected = judged.where(~F.col("kept")).select("of_doc")
-    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("of_doc")), "left_anti").select(*names)
+    rows, held = _removals(docs, "doc_id", "text", "source", min_docs, share, scaled)
+    held = written(held, "quality-held")
+    judged = _judged(rows, held).groupBy(F.col("doc_id").alias("of_doc")).agg(F.max("kept").alias("kept"))
+    rejected = written(judged.where(~F.col("kept")).select("of_doc"), "quality-rejected")
+
+    def passing(df: DataFrame) -> DataFrame:
+        return df.join(rejected, F.col("doc_id").eqNullSafe(F.col("of_doc")), "left_anti")
+
+    staying = passing(held)
+    keepers = written(
+        staying.groupBy("host", "key").agg(
+            F.coalesce(F.min(F.when(F.col("doc_id") == F.col("keeper"), F.col("doc_id"))), F.min("doc_id")).alias("now")
+        ),
+        "quality-keepers",
+    ).select(F.col("host").alias("k_host"), F.col("key").alias("k_key"), "now")
+    lost = (
+        staying.join(keepers, F.col("host").eqNullSafe(F.col("k_host")) & (F.col("key") == F.col("k_key")))
+        .where(~F.col("doc_id").eqNullSafe(F.col("now")))
+        .groupBy(F.col("doc_id").alias("lost_doc"))
+        .agg(F.collect_set(F.struct("host", "key")).alias("quality_lost"))
+    )
+    # The texts go by doc_id alone in both joins.
+    joined = passing(docs).join(lost.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("lost_doc")), "left").select(*names, "quality_lost")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            data = batch["text"].cast(pa.binary())
+            for body, host, lost in zip(data, batch["source"], batch["quality_lost"], strict=True):
+                gone = {x["key"] for x in lost.as_py() if x["host"] == host.as_py()} if lost.is_valid else ()
+                out.append(without_lines(body.as_py(), gone) if gone and body.is_valid else body.as_py())
+            columns = [pa.array(out, pa.binary()).cast(pa.string()) if n == "text" else batch[n] for n in names]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return joined.mapInArrow(run, docs.schema)
 
 
 def query(docs: DataFrame) -> DataFrame:

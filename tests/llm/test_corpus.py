@@ -359,3 +359,26 @@ def test_pipeline_limits_follow_the_host(spark):
     docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in found], "doc_id long, text string, lang string, source string, n_chars long")
     kept = {r.doc_id for r in pipeline.quality_rules(spark, docs, "unused").collect()}
     assert kept == {i for i, *_ in found} - set(range(1, 12))
+
+
+def test_pipeline_takes_common_lines_out_of_kept_documents(spark):
+    import corpus_pipeline as pipeline
+
+    def prose(tag, n):
+        return " ".join(f"{tag}x{k}" for k in range(n))
+
+    # Short menu lines; 2 keeps nothing else, so that the keeper of "lost & found" is rejected and 30 has to keep it.
+    found = [(i, f"Home | News\n{prose(f'own{i}', 40)}\n\n home |  NEWS \t\n(c) {i}", "h") for i in range(5, 20)]
+    found += [(i, f"{prose(f'more{i}', 30)}\nlost & found {prose('x', 9)}", "h") for i in range(30, 45)]
+    found += [(2, f"{prose('tiny', 7)}\nHome | News\nlost & found {prose('x', 9)}", "h"), (1, f"Home | News\n{prose('first', 30)}", "h")]
+    found += [(2, f"{prose('tiny', 7)}\nHome | News\nHome | News\nlost & found {prose('x', 9)}", "h")]
+    found += [(50, f"Home | News\n{prose('other', 30)}", "i"), (None, f"Home | News\n{prose('none', 30)}", "h"), (7, None, "h")]
+    docs = spark.createDataFrame([(i, t, "en", s, 0) for i, t, s in found], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text, r.source, r.n_chars) for r in pipeline.quality_rules(spark, docs.repartition(3), "unused").collect()]
+    assert all(n == len(t or "") for _, t, _, n in got)
+    texts = {(i, s): t for i, t, s, _ in got if t is not None}
+    assert texts[1, "h"] == f"Home | News\n{prose('first', 30)}" and texts[50, "i"] == f"Home | News\n{prose('other', 30)}"
+    assert texts[5, "h"] == f"{prose('own5', 40)}\n\n(c) 5" and texts[None, "h"] == prose("none", 30)
+    assert (7, None, "h", 0) in got and (2, "h") not in texts
+    assert sum("Home" in t for t in texts.values()) == 2
+    assert [i for (i, _), t in sorted(texts.items(), key=lambda x: x[0][0] or 0) if "lost" in t] == [30]
