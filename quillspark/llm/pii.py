@@ -6,10 +6,11 @@ Luhn check), phone number (9 to 15 digits after a plus sign).
 Disguised spans. Transducers rewrite the text into a plain one and remember, for each character written, the span of source characters it
 came from: look-alike letters and digits (compatibility forms, Cyrillic and Greek look-alikes) become ASCII, invisible characters vanish,
 "at" and "dot" in brackets or as words between address parts become ``@`` and ``.``, runs of spelled digits (English, German, French, Spanish)
-become digits. The same patterns then run over the rewritten text, and the spans are mapped back. A span is added if it covers source
+become digits: four or more, or fewer that stand among figures with the same separators as a number's. The same patterns then run over the rewritten text, and the spans are mapped back. A span is added if it covers source
 characters that no span of its kind covers yet; plain spans always stay.
 
-Only texts with a trace of a disguise are rewritten; the traces are necessary for a rewrite to change anything.
+Only texts with a trace of a disguise are rewritten; the traces are necessary for a rewrite to change anything. Of other characters than ASCII
+the trace is that the rewrite changes them.
 
 Defined results: a null text is empty and has no spans. Every row has its own result, also where doc_id repeats or is null. Offsets are code
 points, ends exclusive. Spans of different kinds may overlap; masking joins those that do. An empty table gives an empty result.
@@ -81,6 +82,11 @@ _RUN = re.compile(
     rf"(?<![^\W_])(?:(?:{_PLUS})[ ,-]+)?(?:{_NUMBER}|[0-9]+)(?:(?:[ ,.-]+|[ ](?:{_DOT}|dash|hyphen)[ ])(?:{_NUMBER}|[0-9]+))+(?![^\W_])", re.I
 )
 _RUN_TOKEN = re.compile(rf"(?P<plus>{_PLUS})[ ,-]+|(?P<dot>[ ](?:{_DOT})[ ])|(?P<dash>[ ](?:dash|hyphen)[ ])|(?P<word>{_NUMBER})|(?P<digits>[0-9]+)|(?P<gap>[ ,.-]+)", re.I)
+# A number of a few digit words among figures: separated by spaces and dashes, or by dots as an address; no part of a decimal number.
+_ONE = rf"(?:{_NUMBER}|[0-9]+)"
+_AMONG_FIGURES = re.compile(
+    rf"(?<![^\W_])(?<![A-Za-z0-9][.,])(?:(?:{_PLUS})[ -]+)?{_ONE}(?:(?:(?:[ -]+|[ ](?:dash|hyphen)[ ]){_ONE})+|(?:\.{_ONE})+)(?![^\W_])(?![.,][A-Za-z0-9])", re.I
+)
 _SPELLED_WORD = re.compile(rf"(?<![^\W_])(?:{_NUMBER})(?![^\W_])", re.I)
 
 
@@ -187,38 +193,68 @@ def fold_digits(r: Rewritten) -> Rewritten:
     edits = []
     for run in _RUN.finditer(r.text):
         words = len(_SPELLED_WORD.findall(run[0]))
-        # Three digit words in a row are prose; an address in words has its dots.
-        if words < 4 and not (words and _WORD_DOT.search(run[0])):
+        # Three digit words in a row are prose; an address in words has its dots, other numbers have figures.
+        if words >= 4 or (words and _WORD_DOT.search(run[0])):
+            spans = [run.span()]
+        elif words and _FIGURE.search(run[0]):
+            spans = [m.span() for m in _AMONG_FIGURES.finditer(r.text, *run.span()) if _FIGURE.search(m[0]) and _SPELLED_WORD.search(m[0])]
+        else:
             continue
-        for m in _RUN_TOKEN.finditer(r.text, *run.span()):
-            new = {"plus": "+", "dot": ".", "dash": "-", "gap": "." if m[0].strip() == "." and " " not in m[0] else ""}.get(m.lastgroup)
-            edits.append((*m.span(), SPELLED[m[0].lower()] if m.lastgroup == "word" else m[0] if new is None else new))
+        for span in spans:
+            for m in _RUN_TOKEN.finditer(r.text, *span):
+                new = {"plus": "+", "dot": ".", "dash": "-", "gap": "." if m[0].strip() == "." and " " not in m[0] else ""}.get(m.lastgroup)
+                edits.append((*m.span(), SPELLED[_plain_case(m[0])] if m.lastgroup == "word" else m[0] if new is None else new))
     return r.replaced(edits)
 
 
+_FIGURE = re.compile("[0-9]")
+
+
+def _plain_case(word: str) -> str:
+    """Lower case as the patterns see it: they take the dotted capital I and the dotless i for an i."""
+    return word.replace("İ", "i").replace("ı", "i").lower()
+
+
 # A rewrite can add a span only where one of these is found: a look-alike or another form of a character, a sign in brackets or as a
 # word, a sign with a space, or digit words in a row. Case is folded for words alone: some look-alikes are case variants.
-_TRACE = re.compile(f"[{re.escape(''.join(LOOK_ALIKE))}{INVISIBLE}٠-٩۰-۹०-९⁰-ₜ①-⓿！-～\U0001d400-\U0001d7ff]")
-_SIGN_TRACE = re.compile(rf"[(\[{{<_]\s*(?:{_AT}|{_DOT}|@|\.)\s*[)\]}}>_]|[ ](?:{_DOT})[ ]|[ ]@|@[ ]", re.I)
-#: Bytes of ASCII letters lower-cased, other ASCII as spaces: what is left of a text is its words.
-_LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_RUN_WORDS = frozenset(w.encode() for word in (*SPELLED, "dash", "hyphen") for w in (word, word.replace("ü", "Ü"), word.replace("é", "É")))
+_SIGN_TRACE = re.compile(
+    rf"[(\[{{<_]\s*(?:{_AT}|{_DOT}|@|\.)\s*[)\]}}>_]|[ ](?:{_DOT})[ ]|[ ]@|@[ ]|@[A-Za-z0-9.-]+[ ]\.", re.I
+)
+#: Bytes of ASCII letters lower-cased, figures, other ASCII as spaces: what is left of a text is its words.
+_LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
+_ACCENTS = str.maketrans("üÜéÉáÁİı", "uUeEaAii")
+
+
+class _Kinds(dict):
+    """Of words: 1 for digit words and dashes, 2 for figures, else 0."""
+
+    def __missing__(self, word: bytes) -> int:
+        return 2 * word.isdigit()
+
+
+_RUN_WORDS = _Kinds({w.translate(_ACCENTS).encode(): 1 for w in (*SPELLED, "dash", "hyphen")})
 
 
 def _digit_words(text: str) -> bool:
-    """Whether four digit words stand in a row, digits and punctuation left aside."""
-    return b"\1\1\1\1" in bytes(map(_RUN_WORDS.__contains__, text.encode("utf-8", "surrogatepass").translate(_LETTERS).split()))
+    """Whether four digit words stand in a row, digits and punctuation left aside, or one stands beside figures."""
+    data = text if text.isascii() else text.translate(_ACCENTS)
+    kinds = bytes(map(_RUN_WORDS.__getitem__, data.encode("ascii", "replace").translate(_LETTERS).split()))
+    return b"\1\2" in kinds or b"\2\1" in kinds or b"\1\1\1\1" in kinds
 
 
 def disguised(text: str) -> bool:
-    return bool((not text.isascii() and _TRACE.search(text)) or _SIGN_TRACE.search(text) or _digit_words(text))
+    return bool(
+        (not text.isascii() and any(c >= "\x80" and _folded(c) != c for c in set(text))) or _SIGN_TRACE.search(text) or _digit_words(text)
+    )
 
 
 def all_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Plain spans, and those that the rewritten text adds."""
     plain = plain_spans(text)
-    if not disguised(text):
-        return plain, []
+    return plain, added_spans(text, plain) if disguised(text) else []
+
+
+def added_spans(text: str, plain: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     folded = fold_signs(fold_characters(Rewritten.of(text)))
     added: list[tuple[str, int, int]] = []
     for kind, start, end in plain_spans(folded.text):
@@ -233,7 +269,7 @@ def all_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, in
             a, b = spelled.source(start, end)
             if not any(s < b and a < e for _, s, e in taken):
                 added.append((kind, a, b))
-    return plain, added
+    return added
 
 
 def listed(spans: list[tuple[str, int, int]]) -> str:

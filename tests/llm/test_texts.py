@@ -165,6 +165,53 @@ def test_disguises(text, kind, start):
     assert f"<{kind.upper()}>" in pii.masked(text, added)
 
 
+NEWLY_FOUND = [
+    ("user@example . com", "email", 0),
+    ("write user﹫example﹒com", "email", 6),
+    ("call ﹢49 170 1234567", "phone", 5),
+    ("call +๔๙ ๑๗๐ ๑๒๓๔๕๖๗", "phone", 5),
+    ("pay ৪১১১ ১১১১ ১১১১ ১১১১", "card", 4),
+    ("¹9².168.0.¹", "ip", 0),
+    ("oﬃce@example.com", "email", 0),
+    ("ⅽarl@exaⅿple.com", "email", 0),
+    ("call +49 170 one two three 4567", "phone", 5),
+    ("call plus 49 170 one two 34567", "phone", 5),
+    ("pay 4111 1111 1111 one 111", "card", 4),
+    ("host 192.168.one.1", "ip", 5),
+    ("“four one one one 111111111111”", "card", 1),
+]
+
+
+@pytest.mark.parametrize(("text", "kind", "start"), NEWLY_FOUND)
+def test_disguises_that_have_no_common_trace(text, kind, start):
+    added = pii.all_spans(text)[1]
+    assert [s[:2] for s in added] == [(kind, start)]
+    assert pii.masked(text, added).startswith(text[:start] + f"<{kind.upper()}>")
+
+
+@pytest.mark.parametrize("text", ["0.1 null 0.2 null 0.3", "0.5, null, 3.2, 1.1", "one of 3 two", "in 2004 one of 12 345 678 901 234"])
+def test_figures_beside_words_are_left_alone(text):
+    assert pii.all_spans(text) == ([], [])
+
+
+def test_gate_leaves_nothing_out():
+    def check(text):
+        plain, added = pii.all_spans(text)
+        assert added == pii.added_spans(text, plain), repr(text)
+
+    for code in range(0x80, 0x110000):
+        c = chr(code)
+        if pii.fold_characters(pii.Rewritten.of(c)).text != c:
+            assert pii.disguised(c), hex(code)
+    # Characters that the patterns may take for letters, whatever the fold does.
+    for code in [*range(0x80, 0x3100), *range(0xFE00, 0x10000), *range(0x1D400, 0x1D800)]:
+        check(f"ab{chr(code)}c@exam.com f{chr(code)}ve 1 one two three four 4")
+    rnd = random.Random(11)
+    pool = [*pii.SPELLED, "FİVE", "sıx", "“", "’", " ", " ", ".", " . ", " @ ", "@", "dot", " at ", "[at]", "(dot)", "_at_", "com", "ab", "+", "plus ", "-", ", ", "49", "170", "4111", "٤", "²", "\n", "_", "ñ", " dash "]
+    for _ in range(20000):
+        check("".join(rnd.choice(pool) + rnd.choice(["", " "]) for _ in range(rnd.randint(2, 14))))
+
+
 @pytest.mark.parametrize(
     "text",
     ["look at the dot on the map", "un de les un le", "one two three go", "seen at home. The end", "eins zwei drei und los", "he is at work dot", ""],
