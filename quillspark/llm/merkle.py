@@ -3,8 +3,8 @@
 Tree. Paragraphs are lines, their ends included, so the tree covers every character. A section begins at a heading line or after a
 blank line, and after a paragraph whose own digest says so (one in sixteen), so that running text has sections too and an edit moves the borders of
 the sections next to it alone. A paragraph is cut into pieces of at least ``PIECE`` code points, each ending with a word, counted from its start. A piece
-has a digest of 32 bits; the digest of a paragraph, a section and the root hash those below. Equal roots mean equal texts; where roots differ, only
-sections and paragraphs with differing digests are compared further.
+has a digest of 32 bits; the digest of a paragraph and a section hash those below. The root has 128 bits and hashes 128-bit digests of the sections' full
+texts, which are not printed: equal roots mean equal texts. Where roots differ, only sections and paragraphs with differing digests are compared further.
 
 Fingerprint: ``root:section(paragraph.paragraph)section(…)``, a paragraph being the digests of its pieces, in hexadecimal. It holds the whole
 tree, so likeness and places of edits come from fingerprints alone.
@@ -37,7 +37,11 @@ PIECE, DIGEST, ROOT = 64, 4, 16
 _HEADING = re.compile(r"[ ]{0,3}(#{1,6}([ \t]|$)|={3,}\s*$|-{3,}\s*$)")
 _PIECE = re.compile(rf".{{{PIECE}}}[^\s]{{0,{PIECE}}}\s*|.+", re.S)
 
-Tree = list[list[list[str]]]  # sections of paragraphs of piece digests
+
+class Tree(list[list[list[str]]]):
+    """Sections of paragraphs of piece digests, and the root over the sections' full texts."""
+
+    root: str
 
 
 def _digest(data: bytes, size: int = DIGEST) -> str:
@@ -45,16 +49,25 @@ def _digest(data: bytes, size: int = DIGEST) -> str:
 
 
 def tree(text: str) -> Tree:
-    sections: Tree = []
+    sections = Tree()
+    whole = hashlib.blake2b(digest_size=ROOT)
+    own = None  # of the section's bytes
     fresh = True
     for line in _lines(text):
         blank = not line.strip()
         if fresh or (_HEADING.match(line) and not blank):
             sections.append([])
+            if own:
+                whole.update(own.digest())
+            own = hashlib.blake2b(digest_size=ROOT)
+        own.update(line.encode("utf-8", "surrogatepass"))
         pieces = [_digest(p.encode("utf-8", "surrogatepass")) for p in _PIECE.findall(line)]
         sections[-1].append(pieces)
         # The last hexadecimal digit of a paragraph's last piece decides.
         fresh = blank or pieces[-1][-1] == "0"
+    if own:
+        whole.update(own.digest())
+    sections.root = whole.hexdigest()
     return sections
 
 
@@ -71,8 +84,7 @@ def section_digest(section: list[list[str]]) -> str:
 def written_out(sections: Tree) -> str:
     """The fingerprint of a tree."""
     parts = [(section_digest(s), ".".join("".join(p) for p in s)) for s in sections]
-    root = _digest("".join(d for d, _ in parts).encode(), ROOT)
-    return root + ":" + "".join(f"{d}({p})" for d, p in parts)
+    return sections.root + ":" + "".join(f"{d}({p})" for d, p in parts)
 
 
 _SECTION = re.compile(r"([0-9a-f]+)\(([0-9a-f.]*)\)")

@@ -67,6 +67,14 @@ def test_tree_covers_every_character_and_edits_are_found():
     assert merkle.edits(one, one) == []
 
 
+def test_roots_tell_texts_apart_whose_short_digests_are_equal(monkeypatch):
+    # With inner digests of one letter, nearly all short texts share them.
+    monkeypatch.setattr(merkle, "_digest", lambda data, size=merkle.DIGEST: "1" * 2 * size)
+    texts = ["", "\n", "\n\n", "a", "a\n", "a\n\nb", "a\n\nc", *(f"text {i}" for i in range(2000))]
+    marks = [merkle.written_out(merkle.tree(t)) for t in texts]
+    assert len({m.partition(":")[0] for m in marks}) == len(texts) and len({len(m.partition(":")[0]) for m in marks}) == 1
+
+
 def test_fingerprints_alone(messy, rows):
     got = as_counter(merkle.fingerprints(messy), "doc_id", "root", "fingerprint")
     marks = [(i, merkle.written_out(merkle.tree(t or ""))) for i, t, _ in rows]
