@@ -5,6 +5,9 @@ lines don't count, and equivalent spellings are one. It is made line by line, so
 a document that is a licence as a whole come out of one pass. Digests are joined by hash; nothing is compared by similarity. Everything
 is a SQL expression.
 
+Long licences. ``license_digests.txt`` has the digests of the complete texts in ``license_texts``, in two forms: the canonical form,
+and the flow form, which leaves out copyright lines at the top alone and so doesn't depend on where lines end. A whole text is looked up in both.
+
 Defined results: a null or empty text has the canonical form "" and matches nothing. Every row is a document, also where doc_id repeats
 or is null. Where several known licences have one canonical form, the smallest name is taken for a whole text and all are listed for lines. An
 empty table of documents or of licences gives no matches. Texts of any length are taken whole.
@@ -12,6 +15,8 @@ empty table of documents or of licences gives no matches. Texts of any length ar
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,8 +112,12 @@ for any purpose, commercial or non-commercial, and by any means.""",
 COPYRIGHT_LINE = "^(copyright|c|all rights reserved)( |$)"
 
 
-def canonical_lines(text: Column) -> Column:
-    """Canonical form of each line, without empty and copyright lines: an array."""
+#: ``digest license`` of the complete texts, a line each, in both forms.
+WHOLE_TEXTS = Path(__file__).with_name("license_digests.txt")
+
+
+def spelled_lines(text: Column) -> Column:
+    """Canonical form of each line, without empty ones: an array."""
     # The sign becomes a word before it goes with the punctuation.
     spelled = F.replace(F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("©"), F.lit(" copyright ")), F.lit("(c)"), F.lit(" copyright "))
     # A space at both ends of each line and between words lets whole words be replaced literally.
@@ -118,7 +127,27 @@ def canonical_lines(text: Column) -> Column:
     for old, new in SPELLINGS:
         words = F.replace(words, F.lit(f" {old} "), F.lit(f" {new} "))
     lines = F.transform(F.split(words, "\n", -1), lambda line: F.trim(line))
-    return F.filter(lines, lambda line: (line != "") & ~line.rlike(COPYRIGHT_LINE))
+    return F.filter(lines, lambda line: line != "")
+
+
+def without_copyright(lines: Column) -> Column:
+    return F.filter(lines, lambda line: ~line.rlike(COPYRIGHT_LINE))
+
+
+def canonical_lines(text: Column) -> Column:
+    """Canonical form of each line, without empty and copyright lines: an array."""
+    return without_copyright(spelled_lines(text))
+
+
+def flow_form(lines: Column) -> Column:
+    """Of spelled lines: those from the first that isn't a copyright line on."""
+    first = F.array_position(F.transform(lines, lambda line: ~line.rlike(COPYRIGHT_LINE)), True)
+    joined = F.concat(F.lit(" "), F.array_join(F.slice(lines, first.cast("int"), F.size(lines)), " "), F.lit(" "))
+    # Spellings of several words that a line end parted.
+    for old, new in SPELLINGS:
+        if " " in old:
+            joined = F.replace(joined, F.lit(f" {old} "), F.lit(f" {new} "))
+    return F.when(first > 0, F.trim(joined)).otherwise("")
 
 
 def whole_form(lines: Column) -> Column:
@@ -126,18 +155,32 @@ def whole_form(lines: Column) -> Column:
 
 
 def known_licenses(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
-    """``digest, license`` once for each canonical form: the names of one form joined by a comma."""
+    """``digest, license`` once for each form of the known texts and of the whole texts: the names of one form joined by a comma."""
     pairs = F.array(*(F.struct(F.lit(name).alias("license"), F.lit(text).alias("text")) for name, text in known))
     rows = spark.range(1).select(F.inline(pairs))
     form = whole_form(canonical_lines(F.col("text")))
+    listed = F.transform(F.split(F.lit(WHOLE_TEXTS.read_text().strip()), "\n"), lambda x: F.split(x, " "))
+    whole = spark.range(1).select(F.explode(listed).alias("x")).select(F.col("x")[0].alias("digest"), F.col("x")[1].alias("license"))
     return (
         rows.select("license", form.alias("form"))
         .where("form <> ''")
-        .groupBy(F.md5("form").alias("digest"))
+        .select(F.md5("form").alias("digest"), "license")
+        .union(whole)
+        .groupBy("digest")
         .agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("license"))
     )
 
 
+def whole_digests(spark: SparkSession) -> list[str]:
+    """The lines of ``license_digests.txt``, made anew from ``license_texts``. A file is named after its licence; a plus sign begins a variant."""
+    texts = [(p.stem.partition("+")[0], p.read_text()) for p in sorted(WHOLE_TEXTS.with_name("license_texts").glob("*.txt"))]
+    lines = spelled_lines(F.col("text"))
+    forms = spark.createDataFrame(texts, "license string, text string").select(
+        "license", F.explode(F.array(whole_form(without_copyright(lines)), flow_form(lines))).alias("form")
+    )
+    return sorted(f"{r.digest} {r.license}" for r in forms.select(F.md5("form").alias("digest"), "license").distinct().collect())
+
+
 def scan(docs: DataFrame, known: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, text_digest, license, notices, n_notices`` per row of ``docs``.
 
@@ -145,13 +188,15 @@ def scan(docs: DataFrame, known: DataFrame, doc_id: str = "doc_id", text: str =
     notices as a whole, sorted and comma-joined, null if none; ``n_notices`` counts such lines. ``known`` has (digest, license).
     """
     rows = pick(docs, doc_id=doc_id, text=text)
-    lines = rows.select("doc_id", canonical_lines(F.col("text")).alias("lines"))
+    spelled = rows.select("doc_id", spelled_lines(F.col("text")).alias("spelled"))
+    lines = spelled.select("doc_id", "spelled", without_copyright(F.col("spelled")).alias("lines"))
     # Digests alone are kept: the texts are read once. The row number is fixed by the written table.
     forms = written(
         lines.select(
             F.monotonically_increasing_id().alias("row"),
             "doc_id",
             F.md5(whole_form(F.col("lines"))).alias("text_digest"),
+            F.unhex(F.md5(flow_form(F.col("spelled")))).alias("flow_digest"),
             F.transform("lines", lambda line: F.unhex(F.md5(line))).alias("line_digests"),
         ),
         "license-forms",
@@ -163,11 +208,13 @@ def scan(docs: DataFrame, known: DataFrame, doc_id: str = "doc_id", text: str =
         .groupBy("row")
         .agg(F.array_join(F.array_sort(F.collect_set("notice")), ",").alias("notices"), F.count(F.lit(1)).alias("n_notices"))
     )
+    by_flow = known.select(F.unhex("digest").alias("flow_digest"), F.col("license").alias("flowing"))
     return (
-        forms.select("row", "doc_id", "text_digest")
+        forms.select("row", "doc_id", "text_digest", "flow_digest")
         .join(known.select(F.col("digest").alias("text_digest"), "license"), "text_digest", "left")
+        .join(by_flow, "flow_digest", "left")
         .join(found, "row", "left")
-        .select("doc_id", "text_digest", "license", "notices", F.coalesce("n_notices", F.lit(0)).alias("n_notices"))
+        .select("doc_id", "text_digest", F.coalesce("license", "flowing").alias("license"), "notices", F.coalesce("n_notices", F.lit(0)).alias("n_notices"))
     )
 
 

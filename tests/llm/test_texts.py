@@ -344,6 +344,29 @@ def test_licences(spark, nothing):
     assert {r.license for r in licenses.scan(docs, empty).collect()} == {None}
 
 
+def test_whole_licences_in_any_flow(spark):
+    import textwrap
+    from pathlib import Path
+
+    assert licenses.WHOLE_TEXTS.read_text().splitlines() == licenses.whole_digests(spark)
+    files = sorted(Path(licenses.__file__).with_name("license_texts").glob("*.txt"))
+    rows = []
+    for path in files:
+        text, name = path.read_text(), path.stem.partition("+")[0]
+        parts = re.split(r"\n[ \t]*\n", text)
+        flows = [text, text.replace("\n", "\r\n"), "\n\n".join(" ".join(p.split()) for p in parts)]
+        # A copyright notice on top keeps its lines: what is left of a broken one is no copyright line.
+        top = parts[:1] if parts[0].startswith("Copyright") else []
+        body = [" ".join(p.split()) for p in parts[len(top) :]]
+        flows += ["\n\n".join([*top, *(textwrap.fill(p, width, break_on_hyphens=False) for p in body)]) for width in (40, 66, 72, 80, 100)]
+        rows += [(len(rows) + k, name, t) for k, t in enumerate(flows)]
+    docs = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string")
+    got = {r.doc_id: r.license for r in licenses.query(docs).collect()}
+    assert [(i, got[i]) for i, *_ in rows] == [(i, name) for i, name, _ in rows]
+    cut = spark.createDataFrame([(k, p.read_text()[:-200]) for k, p in enumerate(files)], "doc_id long, text string")
+    assert {r.license for r in licenses.query(cut).collect()} == {None}
+
+
 def test_licence_plan_has_no_python(messy):
     plan = licenses.query(messy)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
