@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import bpe, chat, licenses, line_runs, merkle, packing, pii, quality, simhash, warc
+from quillspark.llm import bestfit, bpe, chat, importance, licenses, line_runs, merkle, packing, pii, quality, repair, simhash, warc
 from quillspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,9 @@ QUERIES: dict[str, Query] = {
     "op8_bpe": _over("documents", bpe.query),
     "op9_license_scan": _over("documents", licenses.query),
     "op10_chat": _over("conversations", chat.collapse_and_render),
+    "op11_importance": lambda spark, sf_dir: importance.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
+    "op12_bestfit": _over("documents", bestfit.query),
+    "op13_repair": _over("conversations", repair.query),
 }
 
 ORACLES: dict[str, str] = {
@@ -35,4 +38,5 @@ ORACLES: dict[str, str] = {
     "op5_warc": warc.ORACLE,
     "op9_license_scan": licenses.ORACLE,
     "op10_chat": chat.ORACLE,
+    "op11_importance": importance.ORACLE,
 }
