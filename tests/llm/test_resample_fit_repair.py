@@ -233,10 +233,10 @@ def test_repairs_against_a_full_table(spark, talks, rows_, fan):
 
 
 def test_query_keeps_conversations_without_turns(spark):
-    given = [(c, t, "user", "hi.") for c in range(60) for t in range(1 + c % 2)]
+    given = [(c, t, "user", "hi.") for c in range(160) for t in range(1 + c % 2)]
     got = {r[0]: tuple(r[1:]) for r in repair.query(spark.createDataFrame(given, "conv_id long, turn long, role string, text string")).collect()}
     want = brute_repair.expected(given)
-    assert got == want and len(got) == 60
+    assert got == want and len(got) == 160
     assert any(row[-2] == "" for row in want.values())
     nothing = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert repair.query(nothing).collect() == []
