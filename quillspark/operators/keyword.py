@@ -241,95 +241,107 @@ def _edit_limit(c: Column, p: KeywordParams) -> Column:
     )
 
 
+def _letters(c: Column) -> Column:
+    """How often each of a to z occurs, up to twice, in unary: an edit changes two of the 52 bits at most."""
+    count = lambda letter: F.length(c) - F.length(F.replace(c, F.lit(letter)))
+    bits = F.lit(0).cast("long")
+    for i in range(26):
+        n = count(chr(ord("a") + i))
+        bits = bits.bitwiseOR(F.when(n >= 2, 3 << 2 * i).when(n == 1, 1 << 2 * i).otherwise(0).cast("long"))
+    return bits
+
+
+def _segment(length: Column, k: Column, i: Column) -> tuple[Column, Column]:
+    base = F.floor(length / (k + 1)).cast("int")
+    longer = length % (k + 1)  # the last ``longer`` segments get one character more
+    first_long = k + 1 - longer
+    start = i * base + F.greatest(F.lit(0), i - first_long) + 1
+    size = base + F.when(i >= first_long, 1).otherwise(0)
+    return start, size
+
+def _segments(rows: DataFrame) -> DataFrame:
+    """One row per segment, with its start and size in a term of ``tlen`` characters."""
+    cut = rows.withColumn("seg", F.explode(F.sequence(F.lit(0), F.col("k"))))
+    start, size = _segment(F.col("tlen"), F.col("k"), F.col("seg"))
+    return cut.withColumns({"start": start, "size": size})
+
+
+#: What query words and dictionary words meet by.
+SPELLING_KEY = ("k", "tlen", "seg", "part")
+
+
+def spelling_parts(terms: DataFrame, p: KeywordParams = DEFAULT) -> DataFrame:
+    """(k, tlen, seg, part, term, t_letters): the segments of dictionary words, see ``fuzzy_matches``. Can be stored."""
+    # Limits of the query lengths that a term of length L can answer: those that cover the difference.
+    tlen = F.length("term")
+    lengths = F.sequence(F.greatest(F.lit(1), tlen - p.max_edits), tlen + p.max_edits)
+    limit = lambda n: F.least(F.lit(p.max_edits), F.floor(n * p.fuzzy_share + 0.5).cast("int"))
+    reach = F.transform(F.filter(lengths, lambda n: F.abs(tlen - n) <= limit(n)), limit)
+    return _segments(
+        terms.select("term", tlen.alias("tlen"), _letters(F.col("term")).alias("t_letters"), F.explode(F.array_distinct(F.filter(reach, lambda k: k > 0))).alias("k"))
+    ).select("term", "tlen", "t_letters", "k", "seg", F.substr("term", F.col("start"), F.col("size")).alias("part"))
+
+
 def fuzzy_matches(
-    source_terms: DataFrame, terms: DataFrame, p: KeywordParams = DEFAULT
+    source_terms: DataFrame, terms: DataFrame, p: KeywordParams = DEFAULT, parts: DataFrame | None = None
 ) -> DataFrame:
     """(source_term, term, distance) within the edit limit of the query word.
 
-    A word with limit k is cut into k+1 segments; within k edits at least one segment survives
-    unchanged, moved by at most k places (the pigeonhole filter of partition-based similarity
-    joins). Query words emit their segments, dictionary terms the substrings that could equal
-    one, keyed by (query length, segment number, text): an exact equi-join before the distance
-    is computed.
+    A word is cut into k+1 segments; within k edits at least one of them survives unchanged, moved
+    by at most k places (the pigeonhole filter of partition-based similarity joins). Dictionary
+    terms, of which there are many, emit only their few segments, once for each limit k that query
+    words near their length can have. Query words emit the substrings that could equal one, keyed
+    by (limit, term length, segment number, text): an exact equi-join before the distance is computed.
     """
-    src = source_terms.select("source_term").distinct().withColumn(
-        "k", _edit_limit(F.col("source_term"), p)
-    ).where(F.col("k") > 0)
-
-    def segment(length: Column, k: Column, i: Column) -> tuple[Column, Column]:
-        base = F.floor(length / (k + 1)).cast("int")
-        longer = length % (k + 1)  # the last ``longer`` segments get one character more
-        first_long = k + 1 - longer
-        start = i * base + F.greatest(F.lit(0), i - first_long) + 1
-        size = base + F.when(i >= first_long, 1).otherwise(0)
-        return start, size
-
-    length = F.length("source_term")
-    src_keys = src.select(
+
+    same = (p.fuzzy_share, p.max_edits) == (DEFAULT.fuzzy_share, DEFAULT.max_edits)
+    held = parts if parts is not None and same else spelling_parts(terms, p)
+    n = F.length("source_term")
+    src = source_terms.select("source_term").distinct()
+    src = src.withColumns({"k": _edit_limit(F.col("source_term"), p), "s_letters": _letters(F.col("source_term"))})
+    src = src.where(F.col("k") > 0).withColumn("tlen", F.explode(F.sequence(F.greatest(F.lit(1), n - F.col("k")), n + F.col("k"))))
+    # Some segment survives with at most as many edits before it as there are segments before it, and
+    # likewise after it: it has moved no farther than these allow.
+    i, more = F.col("seg"), n - F.col("tlen")
+    left, right = F.greatest(-i, more - F.col("k") + i), F.least(i, more + F.col("k") - i)
+    places = F.transform(F.when(left <= right, F.sequence(left, right)), lambda d: F.col("start") + d)
+    places = F.filter(places, lambda at: at >= 1)
+    looked = _segments(src).select(
         "source_term",
+        "s_letters",
+        "tlen",
         "k",
-        length.alias("qlen"),
-        F.explode(F.sequence(F.lit(0), F.col("k"))).alias("seg"),
-    )
-    s, z = segment(F.col("qlen"), F.col("k"), F.col("seg"))
-    src_keys = src_keys.select(
-        "source_term", "k", "qlen", "seg", F.substr("source_term", s, z).alias("part")
-    )
-
-    # Query lengths a term of length L can answer: those whose limit covers the difference.
-    tlen = F.length("term")
-    reach = terms.select(
-        "term",
-        F.explode(
-            F.sequence(F.greatest(F.lit(1), tlen - p.max_edits), tlen + p.max_edits)
-        ).alias("qlen"),
-    )
-    limit = F.least(F.lit(p.max_edits), F.floor(F.col("qlen") * p.fuzzy_share + 0.5).cast("int"))
-    reach = reach.withColumn("k", limit).where(
-        (F.col("k") > 0) & (F.abs(F.length("term") - F.col("qlen")) <= F.col("k"))
-    )
-    parts = reach.select(
-        "term", "qlen", "k", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("seg")
-    )
-    s, z = segment(F.col("qlen"), F.col("k"), F.col("seg"))
-    parts = parts.select(
-        "term",
-        "qlen",
         "seg",
-        F.explode(
-            F.array_distinct(
-                F.transform(
-                    F.sequence(F.greatest(F.lit(1), s - F.col("k")), s + F.col("k")),
-                    lambda at: F.substr("term", at, z),
-                )
-            )
-        ).alias("part"),
-        z.alias("z"),
-    ).where(F.length("part") == F.col("z"))
+        "size",
+        F.explode(F.array_distinct(F.transform(places, lambda at: F.substr("source_term", at, F.col("size"))))).alias("part"),
+    ).where(F.length("part") == F.col("size")).drop("size")
 
+    apart = F.bit_count(F.col("s_letters").bitwiseXOR(F.col("t_letters")))
     return (
-        src_keys.join(parts, ["qlen", "seg", "part"])
-        .where(F.col("source_term") != F.col("term"))
-        .select(
-            "source_term",
-            "term",
-            F.levenshtein("source_term", "term", p.max_edits).alias("distance"),
-            "k",
-        )
+        looked.join(held, list(SPELLING_KEY))
+        .where((F.col("source_term") != F.col("term")) & (apart <= 2 * F.col("k")))
+        .select("source_term", "term", "k")
+        .distinct()
+        .select("source_term", "term", F.levenshtein("source_term", "term", p.max_edits).alias("distance"), "k")
         .where((F.col("distance") >= 0) & (F.col("distance") <= F.col("k")))
         .select("source_term", "term", "distance")
-        .distinct()
     )
 
 
 def expand_terms(
     terms: DataFrame, vocabulary: DataFrame, p: KeywordParams = DEFAULT
 ) -> DataFrame:
-    """(query_id, source_term, term, weight): the word itself, its extensions, near spellings.
+    """(query_id, source_term, term, weight): the word itself, its extensions, near spellings."""
+    best = expand_words(terms.select("source_term").distinct(), vocabulary, p)
+    return terms.join(best, "source_term").select(
+        "query_id", "source_term", "term", (F.col("w") * F.col("n")).alias("weight")
+    )
 
-    A term reached both ways counts as an extension.
-    """
-    src = terms.select("source_term").distinct()
+
+def expand_words(
+    src: DataFrame, vocabulary: DataFrame, p: KeywordParams = DEFAULT, parts: DataFrame | None = None
+) -> DataFrame:
+    """(source_term, term, w) for each word of ``src``. A term reached both ways counts as an extension."""
     n = F.length("source_term")
     exact = src.select(
         "source_term", F.col("source_term").alias("term"), F.lit(1.0).alias("w"), F.lit(0).alias("o")
@@ -344,7 +356,7 @@ def expand_terms(
         ).alias("w"),
         F.lit(1).alias("o"),
     )
-    fuzzy = fuzzy_matches(src, vocabulary, p).select(
+    fuzzy = fuzzy_matches(src, vocabulary, p, parts).select(
         "source_term",
         "term",
         (
@@ -352,15 +364,12 @@ def expand_terms(
         ).alias("w"),
         F.lit(2).alias("o"),
     )
-    best = (
+    return (
         exact.unionByName(prefix)
         .unionByName(fuzzy)
         .groupBy("source_term", "term")
         .agg(F.min_by("w", "o").alias("w"))
     )
-    return terms.join(best, "source_term").select(
-        "query_id", "source_term", "term", (F.col("w") * F.col("n")).alias("weight")
-    )
 
 
 # --- scoring -----------------------------------------------------------------------------
@@ -459,8 +468,11 @@ def search(
     """(query_id, path, score, rank): ranked notes for many queries at once.
 
     ``queries``: query_id, query, and optionally ``tags`` (any-of) and ``folder`` per row. Filters
-    act on the matches; document frequencies stay those of the whole corpus.
+    act on the matches; document frequencies stay those of the whole corpus. A stored index (see
+    ``blockmax``) is searched where it lies.
     """
+    if not isinstance(index, KeywordIndex):
+        return index.search(queries, as_of, limit, expand, params, tags, folder)
     terms = query_terms(queries)
     if expand:
         expanded = expand_terms(terms, index.dictionary.select("term"), params)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, markdown, redact, text
 from ..operators import (
     answers,
+    blockmax,
     capture,
     context,
     evals,
@@ -24,7 +25,7 @@ from ..operators import (
     routing,
     vector,
 )
-from ..session import apply_conf, work_dir
+from ..session import apply_conf, shared_root, work_dir
 from ..sources import driver_tables as D
 from ..sources import files as log_files
 from ..sources import notes as note_source
@@ -81,19 +82,18 @@ class Corpus:
         return routing.build_map(routing.note_keywords(self.notes), D.file_map(self.cases))
 
     @cached_property
-    def query_index(self) -> keyword.KeywordIndex:
-        """Index restricted to the words of the questions; other words cannot score."""
-        words = self.queries.select(F.explode(text.index_tokens("query")).alias("term"))
-        return keyword.build_index(self.notes, words.distinct())
+    def index_root(self) -> str:
+        """A folder for the index of the notes as their files are now."""
+        files = self.spark.read.parquet(f"{self.sf_dir}/documents.parquet")
+        return f"{shared_root(self.spark)}/index-{blockmax.state_of(files)}"
 
     @cached_property
-    def full_index(self) -> keyword.KeywordIndex:
-        return keyword.build_index(self.notes)
+    def index(self) -> blockmax.StoredIndex:
+        """Loaded from shared storage; built by the first query that asks for it."""
+        return blockmax.current(self.spark, lambda: self.notes, self.index_root)
 
     def hits(self, limit: int, **options) -> DataFrame:
-        options = {"expand": False, **options}
-        index = self.full_index if options["expand"] else self.query_index
-        return keyword.search(index, self.queries, AS_OF, limit=limit, **options)
+        return keyword.search(self.index, self.queries, AS_OF, limit=limit, **options)
 
     @cached_property
     def chunks(self) -> DataFrame:
@@ -113,7 +113,7 @@ class Corpus:
 
     def topic_candidates(self, column: str) -> DataFrame:
         topics = self.queries.select("query_id", F.col(column).alias("topic"))
-        top2 = routing.routable_hits(self.query_index, topics, AS_OF, expand=False)
+        top2 = routing.routable_hits(self.index, topics, AS_OF)
         return routing.candidates(topics, self.brief_map, top2, self.notes.select("path", "title"))
 
     def routes(self, column: str) -> DataFrame:
@@ -213,7 +213,8 @@ def index_diff(c: Corpus) -> DataFrame:
     FROM postings p JOIN field_stats USING (field) GROUP BY 1""",
 )
 def index_build(c: Corpus) -> DataFrame:
-    ix = c.full_index
+    """A new build, stored and published; the counts are read from what was stored."""
+    ix = blockmax.current(c.spark, lambda: c.notes, c.index_root, rebuild=True)
     return _per_field(ix).join(ix.field_stats, "field").select(
         "field", "n_postings", "n_tokens", "n_terms", "n_notes", F.round("avg_len", 6).alias("avg_len")
     )
@@ -262,7 +263,7 @@ EXACT = (S.NOTES, S.QUERIES, S.POSTINGS, S.terms("qt", "queries", "query"))
     S.with_(*EXACT, S.hits("kw", "qt", K)) + "SELECT query_id, path, score, rank FROM kw",
 )
 def keyword_topk(c: Corpus) -> DataFrame:
-    return c.hits(K)
+    return c.hits(K, expand=False)
 
 
 @register(
@@ -274,7 +275,7 @@ def keyword_topk(c: Corpus) -> DataFrame:
     + "SELECT query_id, path, score, rank FROM kw",
 )
 def keyword_topk_textbook(c: Corpus) -> DataFrame:
-    return c.hits(K, params=keyword.KeywordParams.textbook())
+    return c.hits(K, expand=False, params=keyword.KeywordParams.textbook())
 
 
 @register(
@@ -285,7 +286,7 @@ def keyword_topk_textbook(c: Corpus) -> DataFrame:
 )
 def prefix_expand(c: Corpus) -> DataFrame:
     words = keyword.query_terms(c.queries).select("source_term").distinct()
-    return keyword.prefix_matches(words, c.full_index.dictionary.select("term"))
+    return keyword.prefix_matches(words, c.index.dictionary.select("term"))
 
 
 @register(
@@ -299,7 +300,7 @@ def prefix_expand(c: Corpus) -> DataFrame:
 )
 def fuzzy_expand(c: Corpus) -> DataFrame:
     words = keyword.query_terms(c.queries).select("source_term").distinct()
-    return keyword.fuzzy_matches(words, c.full_index.dictionary.select("term"))
+    return keyword.fuzzy_matches(words, c.index.dictionary.select("term"), parts=c.index.spellings)
 
 
 @register(
@@ -308,7 +309,7 @@ def fuzzy_expand(c: Corpus) -> DataFrame:
     + "SELECT query_id, path, score, rank FROM kw",
 )
 def keyword_expanded_topk(c: Corpus) -> DataFrame:
-    return c.hits(K, expand=True)
+    return c.hits(K)
 
 
 @register(
@@ -320,7 +321,7 @@ def keyword_expanded_topk(c: Corpus) -> DataFrame:
     + "SELECT query_id, path, score, rank FROM kw",
 )
 def keyword_filtered(c: Corpus) -> DataFrame:
-    return c.hits(K, folder="kb", tags=("type/brief", "type/reference"))
+    return c.hits(K, expand=False, folder="kb", tags=("type/brief", "type/reference"))
 
 
 @register(
@@ -331,7 +332,7 @@ def keyword_filtered(c: Corpus) -> DataFrame:
 def keyword_sessions(c: Corpus) -> DataFrame:
     """Asking for sessions lifts their demotion; here the filter comes from the query row."""
     q = c.queries.withColumn("tags", F.array(F.lit("type/session")))
-    return keyword.search(c.query_index, q, AS_OF, limit=K, expand=False)
+    return keyword.search(c.index, q, AS_OF, limit=K, expand=False)
 
 
 _POS = "list_filter(list_transform(regexp_split_to_array(lower(query), '\\s+'), lambda w: instr(lower(content), w)), lambda p: p > 0)"
@@ -357,7 +358,7 @@ snip3 AS (
     + "SELECT query_id, rank, path, title, CASE WHEN length(snippet) > 400 THEN substr(snippet, 1, 400) || '...' ELSE snippet END AS snippet FROM snip3",
 )
 def keyword_snippets(c: Corpus) -> DataFrame:
-    return keyword.with_snippets(c.hits(3), c.notes, c.queries).select(
+    return keyword.with_snippets(c.hits(3, expand=False), c.notes, c.queries).select(
         "query_id", "rank", "path", "title", "snippet"
     )
 
@@ -464,7 +465,7 @@ def semantic_topk(c: Corpus) -> DataFrame:
 
 # --- fusion ---------------------------------------------------------------------------------------
 
-BOTH = (*SEMANTIC, S.POSTINGS, S.terms("qt", "queries", "query"), S.hits("kw", "qt", 3 * K))
+BOTH = (*SEMANTIC, S.POSTINGS, S.expanded("qt", "queries", "query"), S.hits("kw", "qt", 3 * K))
 
 
 @register("rrf_fusion", S.with_(*BOTH, S.fused("f", ["kw", "sem"])) + "SELECT query_id, path, score, rank FROM f")
@@ -493,7 +494,7 @@ def _routes_sql(name: str, column: str) -> tuple[str, ...]:
     src = f"{name}_src AS (SELECT query_id, {column} AS topic FROM queries)"
     return (
         src,
-        S.terms(f"{name}_qt", f"{name}_src", "topic"),
+        S.expanded(f"{name}_qt", f"{name}_src", "topic"),
         S.hits(f"{name}_top", f"{name}_qt", 2, S.ROUTABLE),
         S.candidates(f"{name}_c", f"{name}_src", f"{name}_top"),
         S.decided(name, f"{name}_c"),
@@ -519,7 +520,7 @@ MAPPED = (S.GOLD, S.CASES, S.MAP)
 )
 def hybrid_search(c: Corpus) -> DataFrame:
     out = search.hybrid_search(
-        c.query_index,
+        c.index,
         c.notes,
         c.queries,
         c.brief_map,
@@ -527,7 +528,6 @@ def hybrid_search(c: Corpus) -> DataFrame:
         limit=K,
         embedded=c.embedded,
         embedder=vector.hash_embedder(),
-        expand=False,
         explain=True,
     )
     return out.select("query_id", "rank", "path", "title", F.col("route.method").alias("route_method"))
@@ -613,14 +613,14 @@ def routing_sweep(c: Corpus) -> DataFrame:
 
 @register(
     "brief_lookup",
-    S.with_(*ROUTED, S.terms("kt", "queries", "topic"), S.hits("kw3", "kt", 3), *_routes_sql("r", "topic"))
+    S.with_(*ROUTED, S.expanded("kt", "queries", "topic"), S.hits("kw3", "kt", 3), *_routes_sql("r", "topic"))
     + """SELECT r.query_id, r.path IS NOT NULL AS found, r.method, r.path, n.title,
       CASE WHEN r.path IS NULL THEN (SELECT string_agg(k.path, '|' ORDER BY k.rank) FROM kw3 k WHERE k.query_id = r.query_id) END AS related
     FROM r LEFT JOIN notes n USING (path)""",
 )
 def brief_lookup(c: Corpus) -> DataFrame:
     q = c.queries.select("query_id", F.col("topic").alias("query"))
-    related = keyword.search(c.query_index, q, AS_OF, limit=3, expand=False)
+    related = keyword.search(c.index, q, AS_OF, limit=3)
     out = routing.brief_lookup(c.routes("topic"), c.notes, related)
     return out.select(
         "query_id",
@@ -665,7 +665,7 @@ gated AS (
     S.with_(*EXACT, S.hits("kw", "qt", 9), _GATE) + "SELECT query_id, path, ok FROM gated",
 )
 def content_gate(c: Corpus) -> DataFrame:
-    pairs = c.hits(9).select("query_id", "path")
+    pairs = c.hits(9, expand=False).select("query_id", "path")
     return (
         pairs.join(c.prompts, "query_id")
         .join(c.notes.select("path", "title", "content"), "path")
@@ -682,7 +682,7 @@ def content_gate(c: Corpus) -> DataFrame:
     S.with_(*EXACT, S.hits("kw", "qt", 9), _GATE) + "SELECT query_id, path FROM gated WHERE ok",
 )
 def content_gate_tokens(c: Corpus) -> DataFrame:
-    pairs = c.hits(9).select("query_id", "path")
+    pairs = c.hits(9, expand=False).select("query_id", "path")
     return context.shares_content_by_tokens(c.prompts, pairs, c.notes)
 
 
@@ -690,7 +690,7 @@ def content_gate_tokens(c: Corpus) -> DataFrame:
     "recall_tier",
     S.with_(
         *ROUTED,
-        S.terms("qt", "queries", "query"),
+        S.expanded("qt", "queries", "query"),
         S.hits("kw", "qt", 9),
         *_routes_sql("r", "query"),
         VOCAB,
@@ -707,7 +707,7 @@ def content_gate_tokens(c: Corpus) -> DataFrame:
     LEFT JOIN (SELECT query_id, string_agg(path, '|' ORDER BY n) AS paths FROM kept WHERE n <= 3 GROUP BY 1) h ON h.query_id = q.query_id""",
 )
 def recall_tier(c: Corpus) -> DataFrame:
-    out = search.recall_prompts(c.query_index, c.notes, c.prompts, c.brief_map, AS_OF, expand=False)
+    out = search.recall_prompts(c.index, c.notes, c.prompts, c.brief_map, AS_OF)
     return out.select("query_id", "tier", "method", F.array_join("injected", "|").alias("injected"))
 
 
@@ -715,7 +715,7 @@ def recall_tier(c: Corpus) -> DataFrame:
 def recall_text(c: Corpus) -> DataFrame:
     """Length of the injected block, which never exceeds the budget."""
     out = search.recall_prompts(
-        c.query_index, c.notes, c.prompts, c.brief_map, AS_OF, expand=False, budget_tokens=200
+        c.index, c.notes, c.prompts, c.brief_map, AS_OF, budget_tokens=200
     )
     return out.select("query_id", "tier", F.length("text").alias("n_chars"))
 
@@ -1374,7 +1374,7 @@ KW_RANKED = "ranked AS (SELECT 'keyword' AS mode, query_id AS case_id, path, ran
 
 @register(
     "precision_recall",
-    S.with_(*S.CASE_PARTS, S.POSTINGS, S.terms("qt", "queries", "query"), S.hits("kw", "qt", 3 * K), KW_RANKED, score_sql("ranked", ["keyword"]))
+    S.with_(*S.CASE_PARTS, S.POSTINGS, S.expanded("qt", "queries", "query"), S.hits("kw", "qt", 3 * K), KW_RANKED, score_sql("ranked", ["keyword"]))
     + "SELECT case_id, negative, mode, hits, round(precision, 6) AS precision, round(recall, 6) AS recall, success, round(rr, 6) AS rr FROM scores",
 )
 def precision_recall(c: Corpus) -> DataFrame:
@@ -1387,7 +1387,7 @@ MODES_SQL = (
     S.MAP,
     S.semantic(3 * K),
     S.POSTINGS,
-    S.terms("qt", "queries", "query"),
+    S.expanded("qt", "queries", "query"),
     S.hits("kw", "qt", 3 * K),
     *_routes_sql("rq", "query"),
     *_routes_sql("rt", "topic"),

@@ -44,7 +44,12 @@ def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
 
 
 def work_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder under the cluster's shared checkpoint folder.
+    """A fresh folder under the cluster's shared checkpoint folder."""
+    return f"{shared_root(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The library's folder under the cluster's shared checkpoint folder.
 
     ``spark.checkpoint.dir`` is read from the session. Only where it is unset
     (tests on one machine) is a temporary folder made.
@@ -52,7 +57,7 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None
     )
-    return f"{(root or _local_root()).rstrip('/')}/quillspark/{purpose}-{uuid.uuid4().hex}"
+    return f"{(root or _local_root()).rstrip('/')}/quillspark"
 
 
 @functools.cache
