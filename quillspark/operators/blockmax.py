@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +34,7 @@ from .keyword import FIELD_BOOSTS, SCORE_DIGITS, KeywordParams
 RANGE = 1024  # notes per block range
 SHARD_NOTES = 1 << 16  # a shard's notes are held by one task
 QUERY_BLOCK = 256  # queries that are searched in one pass over the shards
+KEPT_ASKS = 8  # sets of asked words whose expansion is kept
 BROADCAST_ASKS = 1_000_000  # (word, asked word) pairs of some 50 bytes that are broadcast
 FIELDS = tuple(FIELD_BOOSTS)
 
@@ -158,6 +159,7 @@ class StoredIndex:
     field_stats: DataFrame
     spellings: DataFrame
     notes_per_range: int
+    asked: dict = field(default_factory=dict, compare=False, repr=False)
 
     @property
     def docs(self) -> DataFrame:
@@ -191,34 +193,52 @@ class StoredIndex:
             out = found if out is None else out.unionByName(found)
         if out is None:
             out = queries.sparkSession.createDataFrame([], f"query_id {kind}, path string, score double")
-        return keyword.top_k(out, limit)
+        # k rows per query, which callers read more than once.
+        return _written(keyword.top_k(out, limit), "hits")
 
-    def _pass(self, block: list, as_of: str, limit: int, expand: bool, p: KeywordParams, tags, folder, kind: str) -> DataFrame:
+    def _asks(self, words: list[str], expand: bool, p: KeywordParams, stats: dict) -> tuple[DataFrame, bool]:
+        """(term, asks): dictionary words and the asked words they answer, with weights; and whether they are few.
+
+        Written, and kept for searches of the same words, such as that for a question's note and that for its route.
+        """
+        key = (expand, repr(p), *words)
+        if key in self.asked:
+            return self.asked[key]
         spark = self.blocks.sparkSession
-        words = sorted({w for row in block for w in row["words"]})
-        number = {w: i for i, w in enumerate(words)}
-        source = spark.createDataFrame([(w, i) for w, i in number.items()], "source_term string, sid int")
+        source = spark.createDataFrame([(w, i) for i, w in enumerate(words)], "source_term string, sid int")
         if expand:
-            pairs = keyword.expand_words(source.select("source_term"), self.dictionary.select("term"), p, self.spellings).join(F.broadcast(source), "source_term")
+            pairs = keyword.expand_words(source.select("source_term"), self.dictionary.select("term"), p, self.spellings)
+            pairs = pairs.join(F.broadcast(source), "source_term")
         else:
             pairs = source.select("source_term", "sid", F.col("source_term").alias("term"), F.lit(1.0).alias("w"))
-        stats = {row["field"]: (row["n_notes"], row["avg_len"]) for row in self.field_stats.collect()}
         weights = []
         for f, boost in p.boosts.items():
             df = F.col(f"df_{f}")
             idf = F.log(1 + (F.lit(float(stats[f][0])) - df + 0.5) / (df + 0.5))
             weights.append((F.col("w") * float(boost) * idf).alias(f"w_{f}"))
-        asks = (
+        asks = _written(
             pairs.join(self.dictionary, "term")
             .select("term", F.struct("sid", *weights).alias("ask"))
             .groupBy("term")
-            .agg(F.sort_array(F.collect_list("ask")).alias("asks"))
+            .agg(F.sort_array(F.collect_list("ask")).alias("asks")),
+            "asks",
         )
-        asks = _written(asks, "asks")
-        # Broadcast behind a check of its size, so that blocks stay where they lie; else the join shuffles the asked blocks.
-        small = asks.agg(F.sum(F.size("asks"))).first()[0] or 0
-        found = self.blocks.join(F.broadcast(asks) if small <= BROADCAST_ASKS else asks, "term").select("shard", "term", "range", "docs", *[f"{b}_{f}" for b in ("max", "least") for f in FIELDS], "asks")
+        n = asks.agg(F.sum(F.size("asks"))).first()[0] or 0
+        if len(self.asked) >= KEPT_ASKS:
+            self.asked.pop(next(iter(self.asked)))
+        self.asked[key] = asks, n <= BROADCAST_ASKS
+        return self.asked[key]
 
+    def _pass(self, block: list, as_of: str, limit: int, expand: bool, p: KeywordParams, tags, folder, kind: str) -> DataFrame:
+        spark = self.blocks.sparkSession
+        words = sorted({w for row in block for w in row["words"]})
+        number = {w: i for i, w in enumerate(words)}
+        stats = {row["field"]: (row["n_notes"], row["avg_len"]) for row in self.field_stats.collect()}
+        asks, small = self._asks(words, expand, p, stats)
+        # Broadcast behind a check of its size, so that blocks stay where they lie; else the join shuffles the asked blocks.
+        found = self.blocks.join(F.broadcast(asks) if small else asks, "term").select(
+            "shard", "term", "range", "docs", *[f"{b}_{f}" for b in ("max", "least") for f in FIELDS], "asks"
+        )
         allowed = F.lit(True)
         if tags:
             allowed = F.arrays_overlap("tags", F.array(*[F.lit(t.lower()) for t in tags]))

@@ -1,9 +1,11 @@
+import random
+
 import numpy as np
 import pytest
 from conftest import note
 from pyspark.sql import functions as F
 
-from quillspark.operators import context, fusion, keyword, routing, vector
+from quillspark.operators import blockmax, context, fusion, keyword, routing, vector
 from quillspark.plans import search
 
 NOW = "2026-08-01 00:00:00"
@@ -341,3 +343,87 @@ def test_context_assembly(vault, spark):
     assert r[1].text.startswith("---\n# Small\n\ntiny\n\n---\n# Big")
     assert r[1].text.endswith("*No briefs found for: none, gone. Try a search for these topics.*")
     assert r[2].text == "" and r[2].not_found == ["none"]
+
+
+# --- stored index ---------------------------------------------------------------------------------
+
+
+def test_stored_index_gives_the_hits_of_the_plain_one(spark, tmp_path):
+    rnd = random.Random(8)
+    words = "rank fusion ranking fusions vector vectors session sessions archive note notes index".split()
+    rows = []
+    for i in range(90):
+        body = " ".join(rnd.choice(words) + rnd.choice(["", "", "x", "s"]) for _ in range(rnd.choice([0, 3, 12, 60])))
+        kind = rnd.choice(["type/brief", "type/session", "type/digest", "type/note"])
+        rows.append((f"{rnd.choice(['kb', 'kb/sub', 'sessions'])}/n{i}.md", f"{rnd.choice(words)} {i % 7}", [kind, "topic/" + rnd.choice("ab")], body, f"2026-0{rnd.randrange(1, 9)}-03 00:00:00"))
+    df = spark.createDataFrame(rows, "path string, title string, tags array<string>, content string, created_at string")
+    notes = df.withColumn("created_at", F.col("created_at").cast("timestamp"))
+    plain = keyword.build_index(notes)
+    stored = blockmax.publish(notes, str(tmp_path), shards=3, notes_per_range=4)
+    asked = [(1, "rank fusion rank", None, None), (2, "sesion archve", ["type/session"], None), (3, "ve", None, "kb/"), (4, "nothing that is there", [], "kb"), (5, "", None, None)]
+    full = spark.createDataFrame(asked, "query_id long, query string, tags array<string>, folder string")
+    cases = [(full, {}, 2), (full, {"folder": "kb", "expand": False}, 100), (full.drop("tags", "folder"), {"tags": ("type/brief",), "expand": False}, 2)]
+    for queries, options, block in [*cases, (full.drop("tags", "folder"), {"expand": False, "params": keyword.KeywordParams.textbook()}, 100)]:
+        want = sorted(map(tuple, keyword.search(plain, queries, NOW, limit=3, **options).collect()))
+        assert sorted(map(tuple, stored.search(queries, NOW, limit=3, query_block=block, **options).collect())) == want
+    terms = sorted((r.term, r.df_title, r.df_tags, r.df_content) for r in stored.dictionary.collect())
+    assert terms == sorted((r.term, r.df_title, r.df_tags, r.df_content) for r in plain.dictionary.collect())
+    assert blockmax.load(spark, str(tmp_path)).search(full, NOW, limit=3, expand=False).count() > 0
+
+
+def test_stored_search_shuffles_no_matches(spark, tmp_path):
+    notes = spark.createDataFrame([(f"kb/n{i}.md", "rank", ["type/note"], "fusion " * i) for i in range(20)], "path string, title string, tags array<string>, content string")
+    stored = blockmax.publish(notes.withColumn("created_at", F.lit("2026-01-01").cast("timestamp")), str(tmp_path), shards=4)
+    asks, small = stored._asks(["fusion", "rank"], False, keyword.DEFAULT, {f: (20, 1.0) for f in keyword.FIELD_BOOSTS})
+    met = stored.blocks.join(F.broadcast(asks), "term").groupBy("shard").count()
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert small and "Exchange hashpartitioning(shard" not in plan
+
+
+def test_ranges_that_cannot_reach_the_best_hits_stay_closed():
+    def shard(counts):
+        import pyarrow as pa
+
+        docs = [[{"doc": d, "tf_title": 0, "tf_tags": 0, "tf_content": counts[d]} for d in range(r, r + 4) if counts[d]] for r in range(0, 40, 4)]
+        left = pa.table({
+            "term": ["fusion"] * 10, "range": pa.array(range(10), pa.int32()), "docs": docs,
+            **{f"{b}_{f}": pa.array([0] * 10 if f != "content" else [max(counts[r : r + 4]) if b == "max" else 5 for r in range(0, 40, 4)], pa.int32()) for b in ("max", "least") for f in blockmax.FIELDS},
+            "asks": [[{"sid": 0, "w_title": 1.0, "w_tags": 1.0, "w_content": 1.0}]] * 10,
+        })
+        n = range(40)
+        right = pa.table({
+            "doc": pa.array(n, pa.int32()), "path": [f"p{i:02}" for i in n], "allowed": [True] * 40, "boost": [1.0] * 40, "boost_asked": [1.0] * 40,
+            **{f"len_{f}": pa.array([5] * 40, pa.int32()) for f in blockmax.FIELDS},
+        })
+        return blockmax._Shard(left, right, dict.fromkeys(blockmax.FIELDS, 5.0), keyword.DEFAULT, 4)
+
+    one = shard([1] * 36 + [9, 9, 9, 9])
+    query = blockmax._Query(1, np.array([0]), np.array([1.0]), None, None, False)
+    assert [path for _, path, _ in one.search([query], 4, 1)] == ["p36", "p37", "p38", "p39"]
+    assert one.opened == 1
+
+
+def test_near_spellings_against_all_pairs(spark):
+    rnd = random.Random(3)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    asked = {"".join(rnd.choice("abcd") for _ in range(rnd.choice([1, 2, 3, 5, 8, 9, 13, 18, 24, 30]))) for _ in range(30)}
+    known = set()
+    for word in asked:
+        for _ in range(30):
+            letters = list(word)
+            for _ in range(rnd.randrange(8)):
+                at, edit = rnd.randrange(len(letters) + 1), rnd.randrange(3)
+                letters[at : at + (edit > 0)] = [] if edit == 1 else [rnd.choice("abcdé")]
+            known.add("".join(letters) or "x")
+    want = {(a, b, d) for a in asked for b in known if 0 < (d := distance(a, b)) <= min(6, int(len(a) * 0.2 + 0.5))}
+    words, terms = (spark.createDataFrame([(w,) for w in sorted(x)], f"{n} string") for x, n in ((asked, "source_term"), (known, "term")))
+    for parts in (None, keyword.spelling_parts(terms)):
+        assert set(map(tuple, keyword.fuzzy_matches(words, terms, parts=parts).collect())) == want
