@@ -129,3 +129,140 @@ def representatives(docs: DataFrame) -> DataFrame:
 
 def query(docs: DataFrame) -> DataFrame:
     return groups(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# --- near copies by similarity ------------------------------------------------------------------------------
+
+NEAR_SHINGLE, SIMILARITY, SAMPLES, SAMPLE = 5, 0.8, 10, 4
+#: Odd multipliers of the sample orders, from a fixed seed.
+_ORDERS = np.random.default_rng(SEED).integers(0, 1 << 63, SAMPLES, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_hashes(text: bytes, size: int = NEAR_SHINGLE) -> np.ndarray:
+    """Distinct XXH64 of a text's shingles, sorted; words as in ``fingerprint``. None for a text without words."""
+    from xxhash import xxh64_intdigest
+
+    words = text.lower().split()
+    if len(words) < size:
+        return np.fromiter((xxh64_intdigest(b" ".join(words), SEED) for _ in words[:1]), np.uint64)
+    found = []
+    for start in range(0, len(words) - size + 1, _BLOCK):
+        part = words[start : start + _BLOCK + size - 1]
+        shingles = map(b" ".join, zip(*(part[k:] for k in range(size)), strict=False))
+        found.append(np.unique(np.fromiter(map(xxh64_intdigest, shingles, repeat(SEED)), np.uint64)))
+    return found[0] if len(found) == 1 else np.unique(np.concatenate(found))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The SimHash of a set of hashes, as an unsigned number."""
+    counts = np.zeros(64, np.int64)
+    for start in range(0, len(hashes), _BLOCK):
+        part = np.ascontiguousarray(hashes[start : start + _BLOCK])
+        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0]) if len(hashes) else 0
+
+
+def sampled(hashes: np.ndarray, size: int = SAMPLE) -> list[int]:
+    """SimHashes of the ``size`` least hashes in each of several orders: equal for near copies about as often as similarity ** size."""
+    out = []
+    for order in _ORDERS:
+        mixed = hashes * order  # modulo 2 ** 64
+        least = mixed if len(mixed) <= size else np.partition(mixed, size - 1)[:size]
+        out.append(majority(least ^ (least >> np.uint64(32))))
+    return out
+
+
+def _sketches(docs: DataFrame) -> DataFrame:
+    """``doc_id, set, fp, samples``: a digest of each row's set of shingles, its SimHash and those of the samples."""
+    from hashlib import md5
+
+    bounded_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets, fps, samples = [], [], []
+            for value in utf8(batch["text"]):
+                hashes = shingle_hashes(value)
+                sets.append(md5(hashes.tobytes()).digest())
+                fps.append(majority(hashes))
+                samples.append(np.array(sampled(hashes), np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"], pa.array(sets, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(samples, pa.list_(pa.int64()))],
+                names=["doc_id", "set", "fp", "samples"],
+            )
+
+    return pick(docs, doc_id="doc_id", text="text").mapInArrow(run, "doc_id long, set binary, fp long, samples array<long>")
+
+
+def _alike(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs`` (a, b: sets, with the document a_doc or b_doc of each) whose sets are that similar, counted exactly."""
+    wanted = pairs.select(F.col("a_doc").alias("w_doc")).unionByName(pairs.select(F.col("b_doc").alias("w_doc"))).distinct()
+    given = pick(docs, doc_id="doc_id", text="text")
+    asked = given.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_doc")), "left_semi")
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from hashlib import md5
+
+        for batch in batches:
+            for value in utf8(batch["text"]):
+                data = shingle_hashes(value).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([md5(data).digest()], pa.binary()), pa.array([data], pa.binary())], names=["set", "hashes"])
+
+    # One row per set, written: texts are split once, and a set that thousands of pairs ask for can be met in parts.
+    sets = written(asked.mapInArrow(opened, "set binary, hashes binary").dropDuplicates(["set"]), "near-sets")
+    both = (
+        pairs.select("a", "b")
+        .join(sets.select(F.col("set").alias("a"), F.col("hashes").alias("a_hashes")), "a")
+        .join(sets.select(F.col("set").alias("b"), F.col("hashes").alias("b_hashes")), "b")
+    )
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch["a_hashes"], batch["b_hashes"], strict=True):
+                one, other = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+                common = len(np.intersect1d(one, other, assume_unique=True))
+                keep.append(common >= similarity * (len(one) + len(other) - common))
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(judged, "a binary, b binary")
+
+
+def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``doc_id, component_id`` per row: groups linked by a Jaccard similarity of five-word shingles of at least ``similarity``.
+
+    Rows with one set of shingles are one node, so copies never meet in a join. Candidates are nodes whose SimHashes are within three bits, by the grid join
+    above, and nodes that share the SimHash of a sample: those of one sample are held against one of them, another one for each sample, so the work grows
+    with the nodes however many share it. Each candidate is judged by the exact sets. Texts without words are one group.
+    """
+    rows = written(_sketches(docs), "near-rows")
+    nodes = written(rows.groupBy("set").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("samples").alias("samples")), "near-nodes")
+    keys = nodes.select("set", "least", F.posexplode("samples").alias("nth", "sample"))
+    # The one to hold against: least by a hash of its own in each sample.
+    first = F.min(F.struct(F.xxhash64("set", "nth").alias("h"), "set", "least")).alias("first")
+    shared = written(keys.groupBy("nth", "sample").agg(F.count(F.lit(1)).alias("n"), first).where("n > 1").select("nth", "sample", "first"), "near-samples")
+    by_sample = keys.join(shared, ["nth", "sample"]).select(
+        F.col("set").alias("a"), F.col("least").alias("a_doc"), F.col("first.set").alias("b"), F.col("first.least").alias("b_doc")
+    )
+    prints = written(nodes.groupBy("fp").agg(F.min(F.struct("set", "least")).alias("first")), "near-prints")
+    near = links(prints.select("fp"))
+    by_bits = (
+        near.join(prints.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a")
+        .join(prints.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
+        .select(F.col("x.set").alias("a"), F.col("x.least").alias("a_doc"), F.col("y.set").alias("b"), F.col("y.least").alias("b_doc"))
+    )
+    pairs = written(by_sample.unionByName(by_bits).where("a <> b").distinct(), "near-pairs")
+    alike = written(_alike(docs, pairs, similarity), "near-links")
+    roots = connected(alike).select(F.col("a").alias("set"), F.col("b").alias("root"))
+    rooted = nodes.select("set", "least").join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
+    least = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "near-least")
+    named = written(rooted.join(least, "root").select("set", "component_id"), "near-names")
+    return rows.join(named, "set").select("doc_id", "component_id")
+
+
+def near_representatives(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """One document of each group of ``near_groups``, that with the smallest doc_id. Rows that repeat under it stay together; other columns are kept."""
+    names = docs.columns
+    kept = near_groups(docs, similarity).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("of_doc")).distinct()
+    numbered = docs.toDF(*(f"c{i}" for i in range(len(names))))  # names may differ in case alone
+    return numbered.join(kept, F.col(f"c{names.index('doc_id')}").eqNullSafe(F.col("of_doc")), "left_semi").toDF(*names)
