@@ -5,8 +5,8 @@ words lie in 8-word windows found twice or more in it.
 
 Line frequency. Lines are normalised (stripped, A-Z lower-cased, white space made single spaces) and hashed to 128 bits. For each host
 (``source``) and line the distinct documents are counted; exact copies of a text are one document. A line is above the limit if more than
-``max(MIN_DOCS, SHARE x the host's distinct documents)`` of them hold it: menus and footers of a host, not passages that a
-group of copies shares. Lines above the limit are removed, but for the smallest doc_id of the
+``max(MIN_DOCS, SHARE x the host's distinct documents)`` of them hold it, or, as hosts may be small, more than ``max(FEW_DOCS, FEW_SHARE x those)``:
+menus and footers of a host, not passages that a group of copies shares. Lines above the limit are removed, but for the smallest doc_id of the
 host that holds it and passes the base rules, so that no content leaves the corpus as a whole. A document is depleted, and rejected, if lines were
 removed and fewer than ``MIN_WORDS`` words or less than 30 % of its words are left.
 
@@ -32,7 +32,7 @@ from quillspark.llm.common import SPACE, bounded_batches, pick, utf8, written
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 MIN_DOCS, SHARE, MIN_LEFT_PERCENT = 100, 0.01, 30
-#: Limits of hosts of any size, for ``accepted``: a line needs no more documents than these ask for, however large ``MIN_DOCS`` is.
+#: Limits of hosts of any size: a line needs no more documents than these ask for, however large ``MIN_DOCS`` is.
 FEW_DOCS, FEW_SHARE = 10, 0.05
 _SYMBOLS = [c.encode() for c in "#*$%&|<>"]
 _SPACES = [c.encode() for c in SPACE]
@@ -255,7 +255,7 @@ def accepted(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, sc
 
 
 def query(docs: DataFrame) -> DataFrame:
-    return verdicts(docs)
+    return verdicts(docs, scaled=True)
 
 
 ORACLE = r"""
@@ -293,7 +293,7 @@ WITH w AS (
   SELECT r.source, r.key, min(r.doc_id) FILTER (WHERE NOT f.base_failed) AS keeper
   FROM real r JOIN failed f USING (doc_id) JOIN hosts h ON h.source IS NOT DISTINCT FROM r.source
   GROUP BY r.source, r.key, h.host_docs
-  HAVING count(DISTINCT r.text) > greatest(100, h.host_docs * 0.01)
+  HAVING count(DISTINCT r.text) > least(greatest(100, h.host_docs * 0.01), greatest(10, h.host_docs * 0.05))
 ), removed AS (
   SELECT r.doc_id, sum(len(r.line_words)) AS n_removed
   FROM real r JOIN common c ON c.source IS NOT DISTINCT FROM r.source AND c.key = r.key

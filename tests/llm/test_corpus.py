@@ -332,13 +332,13 @@ def test_pipeline_against_brute_force(spark, messy, rows, tokenizer):
     assert Counter(s[:3] for s in steps[0]) == Counter(left)
     want = brute_lines(left)
     assert Counter((i, hashlib.sha256(t.encode()).hexdigest()) for i, t, *_ in steps[1]) == Counter({(k[0], k[3]): n for k, n in want.items()})
-    fps = [(i, brute_fingerprint(t)) for i, t, *_ in steps[1]]
-    roots = brute_components({f for _, f in fps}, lambda a, b: (a ^ b).bit_count() <= 3)
+    sets = [(i, tuple(simhash.shingle_hashes((t or "").encode()).tolist())) for i, t, *_ in steps[1]]
+    roots = brute_components({f for _, f in sets}, lambda a, b: len({*a} & {*b}) >= 0.8 * len({*a} | {*b}))
     least = defaultdict(lambda: None)
-    for i, f in fps:
+    for i, f in sets:
         if i is not None:
             least[roots[f]] = min(i, least[roots[f]] if least[roots[f]] is not None else i)
-    assert Counter(s[:2] for s in steps[2]) == Counter(s[:2] for s, (i, f) in zip(steps[1], fps, strict=True) if least[roots[f]] == i)
+    assert Counter(s[:2] for s in steps[2]) == Counter(s[:2] for s, (i, f) in zip(steps[1], sets, strict=True) if least[roots[f]] == i)
     assert Counter(s[:2] for s in steps[3]) == Counter((s[0], pii.masked(s[1], sum(pii.all_spans(s[1]), []))) for s in steps[2])
     assert all(s[3] == len(s[1]) for s in steps[3])
     pieces = Counter((i, *p) for i, t, *_ in steps[3] for p in brute_pieces(tokenizer, t, 2048))
