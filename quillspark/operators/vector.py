@@ -1,4 +1,4 @@
-"""Section chunks, hash-keyed embedding, exact and approximate nearest chunks."""
+"""Section chunks, hash-keyed embedding, exact nearest chunks. Approximate ones are in ``ivf``."""
 
 from __future__ import annotations
 
@@ -226,45 +226,3 @@ def first_hit_per_note(hits: DataFrame) -> DataFrame:
     )
     w = Window.partitionBy("query_id").orderBy("chunk_rank")
     return best.select("query_id", "path", "score", F.row_number().over(w).alias("rank"))
-
-
-# --- approximate nearest --------------------------------------------------------------------
-
-
-def sign_sketch(rows: DataFrame, key: str, bits: int, seed: int) -> DataFrame:
-    """(key, vector): the sides of ``bits`` seeded planes that each vector lies on, as 1 and -1."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
-                m = _unit(list(b["vector"]))
-                planes = np.random.default_rng(seed).normal(size=(m.shape[1], bits))
-                yield pd.DataFrame({key: b[key], "vector": list(np.where(m @ planes >= 0, 1, -1).astype(np.int8))})
-
-    return rows.select(key, "vector").mapInPandas(run, f"{key} {dict(rows.dtypes)[key]}, vector array<tinyint>")
-
-
-def approximate_nearest(
-    queries: DataFrame, items: DataFrame, k: int, share: float = 0.15, bits: int = 512, seed: int = 7
-) -> DataFrame:
-    """(query_id, item_id, score, rank): top-k among the ``share`` of the items whose sketches agree best with the query's.
-
-    Sketches of a bit per plane stand for vectors of any length: the share of planes that separate two vectors is their
-    angle. The candidates of each block get exact scores; no score is a limit, and every query gets k rows if there are so many
-    items. Recall against ``nearest`` rises with ``bits`` and ``share``.
-    """
-    n = items.count()
-    blocks = max(queries.sparkSession.sparkContext.defaultParallelism, -(-n // CHUNK_BLOCK))
-    per_block = max(k, int(np.ceil(share * n / blocks)))
-    schema = f"query_id {dict(queries.dtypes)['query_id']}, item_id {dict(items.dtypes)['item_id']}, score double"
-    near = _block_join(
-        sign_sketch(queries, "query_id", bits, seed), sign_sketch(items, "item_id", bits, seed), per_block, schema, QUERY_BLOCK, CHUNK_BLOCK
-    )
-    pairs = (
-        near.select("query_id", "item_id")
-        .join(queries.select("query_id", F.col("vector").alias("q")), "query_id")
-        .join(items.select("item_id", F.col("vector").alias("v")), "item_id")
-        .select("query_id", "item_id", F.round(text.cosine("q", "v"), SCORE_DIGITS).alias("score"))
-    )
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "item_id")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -5,7 +5,7 @@ import pytest
 from conftest import note
 from pyspark.sql import functions as F
 
-from quillspark.operators import blockmax, context, fusion, keyword, routing, vector
+from quillspark.operators import blockmax, context, fusion, ivf, keyword, routing, vector
 from quillspark.plans import search
 
 NOW = "2026-08-01 00:00:00"
@@ -223,10 +223,54 @@ def test_nearest_both_ways_against_numpy(spark):
     for blocks in ({}, {"query_block": 3, "item_block": 50}):  # one block of queries; several of both sides
         got = {(r.query_id, r.item_id, r["rank"]) for r in vector.nearest(qd, cd, 6, **blocks).collect()}
         assert got == want
-    full = vector.approximate_nearest(qd, cd, 6, share=1.0)
-    assert {(r.query_id, r.item_id, r["rank"]) for r in full.collect()} == want
-    some = vector.approximate_nearest(qd, cd, 6, share=0.15).collect()
-    assert len(some) == 42 and len({(r.query_id, r.item_id) for r in some} & {w[:2] for w in want}) >= 38
+
+
+def _vectors(spark, rows, key, start=0):
+    data = [(i + start, None if v is None else [float(x) for x in v]) for i, v in enumerate(rows)]
+    return spark.createDataFrame(data, f"{key} long, vector array<double>")
+
+
+def test_inverted_file(spark, tmp_path, monkeypatch):
+    """60 clusters: few lists are probed, nine of ten neighbours found for each query; copies, hot vectors and missing vectors."""
+    rng = np.random.default_rng(5)
+    middle = rng.normal(size=(60, 17))
+    c = middle[rng.integers(0, 60, 3000)] + 0.15 * rng.normal(size=(3000, 17))
+    c[1000:2000] = c[999]  # a third of the rows is one vector
+    rows = [*c, None, np.zeros(17)]
+    items = _vectors(spark, rows, "item_id").repartition(6)
+    asked = [*c[::20], None, np.zeros(17)]
+    queries = _vectors(spark, asked, "query_id").repartition(3)
+    index = ivf.publish(items, str(tmp_path / "v"), k=10)
+    assert index.codes.count() == 3001
+    assert index.model.probes <= len(index.model.centroids) // 4
+    assert ivf.load(spark, str(tmp_path / "v")).model.probes == index.model.probes
+    exact = {}
+    for r in vector.nearest(queries.where("vector is not null"), items.where("vector is not null"), 10).collect():
+        exact.setdefault(r.query_id, {})[r.item_id] = r.score
+    found = {}
+    for r in ivf.search(index, queries, items, 10).collect():
+        found.setdefault(r.query_id, {})[r.item_id] = r.score
+    assert len(exact) == 151 and 150 not in found
+    for q, near in exact.items():
+        assert len(found[q]) == 10
+        if q < 150:
+            assert len(near.keys() & found[q].keys()) >= 9, q
+    assert set(found[50]) == set(exact[50]) == set(range(999, 1009))  # ties of the hot vector go to the smaller ids
+    # Cutting lists and queries into pieces changes nothing.
+    monkeypatch.setattr(ivf, "PIECE", 37)
+    monkeypatch.setattr(ivf, "ASKED", 4)
+    again = {(r.query_id, r.item_id, r.score) for r in ivf.search(index, queries, items, 10).collect()}
+    assert again == {(q, i, s) for q, near in found.items() for i, s in near.items()}
+
+
+def test_inverted_file_of_few_rows(spark, tmp_path):
+    assert ivf.publish(_vectors(spark, [], "item_id"), str(tmp_path / "none")) is None
+    assert ivf.publish(_vectors(spark, [None], "item_id"), str(tmp_path / "null")) is None
+    items = _vectors(spark, [[1, 0, 0], [0, 1, 0]], "item_id")
+    index = ivf.publish(items, str(tmp_path / "two"))
+    got = ivf.search(index, _vectors(spark, [[2, 0.1, 0]], "query_id"), items, 5).orderBy("rank").collect()
+    assert [r.item_id for r in got] == [0, 1] and got[0].score == 0.998752
+    assert ivf.search(index, _vectors(spark, [], "query_id"), items, 5).count() == 0
 
 
 def test_embedding_cache(vault, spark):
