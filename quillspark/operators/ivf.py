@@ -3,11 +3,12 @@
 Fitting. Coarse centroids (spherical k-means) and residual codebooks come from a bounded sample, the ``SAMPLE`` rows with the
 least hashes of their ids; so does the number of lists to probe, the least one within which ``TARGET`` of the sample's own
 neighbours lie. Nothing else is sampled: every vector is put on the list of its nearest centroid, with one byte for each
-``WIDTH`` numbers of what is left of it.
+``WIDTH`` numbers of what is left of it, divided by the usual length of that on its list: vectors that lie close together
+(near copies) are told apart as well as others.
 
 Searching. A query meets the codes of the lists it probes; a list larger than four times the mean is cut into pieces, and so
 are the queries of a list that many ask, so a vector that a third of the rows or queries share is spread over tasks. Each
-piece gives the best ``rerank`` by decoded score, the best ``rerank`` of a query get exact scores, k stay. No pair of a query
+piece gives the best ``rerank`` by distance to the decoded vectors, the best ``rerank`` of a query get exact scores, k stay. No pair of a query
 and a list it doesn't probe is made.
 
 Defined results: rows without a vector are left out on both sides. Copies of a vector have one code, so ties go to the
@@ -35,6 +36,7 @@ TARGET = 0.99  # share of the sample's neighbours that the probed lists hold
 TRIED = 256  # sample rows whose neighbours are looked up for that
 WIDTH = 2  # numbers that share a byte
 CODES = 256
+LEAST_SCALE = 1e-6  # lists of copies of one vector
 RERANK = 4  # exact scores for so many times k
 PIECE = 50_000  # codes of a list that one task decodes, at most
 ASKED = 256  # queries that meet them at once
@@ -64,9 +66,10 @@ def _nearest_centre(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    """``centroids`` (lists, dim), ``codebooks`` (parts, codes, width) and how many lists a query probes."""
+    """``centroids`` (lists, dim), ``scales`` (lists), ``codebooks`` (parts, codes, width), and how many lists a query probes."""
 
     centroids: np.ndarray
+    scales: np.ndarray
     codebooks: np.ndarray
     probes: int
 
@@ -79,29 +82,29 @@ class Model:
 
     def encode(self, unit: np.ndarray, lists: np.ndarray) -> np.ndarray:
         parts, _, width = self.codebooks.shape
-        left = _parts(unit - self.centroids[lists], parts, width)
+        left = _parts((unit - self.centroids[lists]) / self.scales[lists, None], parts, width)
         return np.stack([_nearest_centre(left[:, j], self.codebooks[j]) for j in range(parts)], axis=1).astype(np.uint8)
 
     def decode(self, codes: np.ndarray, at: int) -> np.ndarray:
         """Vectors of one list."""
         parts, _, width = self.codebooks.shape
         left = self.codebooks[np.arange(parts), codes].reshape(len(codes), parts * width)
-        return self.centroids[at] + left[:, : self.dim]
+        return self.centroids[at] + self.scales[at] * left[:, : self.dim]
 
     def probed(self, unit: np.ndarray) -> np.ndarray:
         return np.argsort(-(unit @ self.centroids.T), axis=1, kind="stable")[:, : self.probes]
 
     def table(self, spark: SparkSession) -> DataFrame:
         shape = [*self.centroids.shape, *self.codebooks.shape]
-        row = (shape, self.centroids.astype("<f8").tobytes(), self.codebooks.astype("<f8").tobytes(), self.probes)
-        return spark.createDataFrame([row], "shape array<int>, centroids binary, codebooks binary, probes int")
+        row = (shape, self.centroids.astype("<f8").tobytes(), self.scales.astype("<f8").tobytes(), self.codebooks.astype("<f8").tobytes(), self.probes)
+        return spark.createDataFrame([row], "shape array<int>, centroids binary, scales binary, codebooks binary, probes int")
 
     @classmethod
     def of(cls, table: DataFrame) -> Model:
         row = table.first()
         lists, dim, *book = row["shape"]
         centroids = np.frombuffer(row["centroids"], "<f8").reshape(lists, dim)
-        return cls(centroids, np.frombuffer(row["codebooks"], "<f8").reshape(book), row["probes"])
+        return cls(centroids, np.frombuffer(row["scales"], "<f8"), np.frombuffer(row["codebooks"], "<f8").reshape(book), row["probes"])
 
 
 def _parts(rows: np.ndarray, parts: int, width: int) -> np.ndarray:
@@ -120,13 +123,16 @@ def fit(items: DataFrame, k: int = 10, target: float = TARGET, sample: int = SAM
     lists = max(1, min(int(n**0.5), max(1, len(rows) // 16)))
     centroids = _kmeans(rows, lists, seed, spherical=True)
     parts = -(-rows.shape[1] // width)
-    some = rows[:CODE_SAMPLE]
-    left = _parts(some - centroids[_nearest_centre(some, centroids)], parts, width)
+    near = _nearest_centre(rows, centroids)
+    left = rows - centroids[near]
+    squares = np.bincount(near, (left**2).sum(axis=1), lists) / np.maximum(1, np.bincount(near, minlength=lists))
+    scales = np.maximum(np.sqrt(squares), LEAST_SCALE)
+    left = _parts((left / scales[near, None])[:CODE_SAMPLE], parts, width)
     books = np.zeros((parts, CODES, width))
     for j in range(parts):
         found = _kmeans(left[:, j], CODES, seed + j, spherical=False)
         books[j] = found[np.arange(CODES) % len(found)]
-    return Model(centroids, books, _probes(rows, centroids, k, target))
+    return Model(centroids, scales, books, _probes(rows, centroids, k, target))
 
 
 def _probes(rows: np.ndarray, centroids: np.ndarray, k: int, target: float) -> int:
@@ -196,7 +202,7 @@ def probes(queries: DataFrame, model: Model) -> DataFrame:
 
 
 def candidates(index: VectorIndex, queries: DataFrame, count: int) -> DataFrame:
-    """(query_id, item_id): the ``count`` best of each query by decoded score, on the lists it probes."""
+    """(query_id, item_id): of each query, the ``count`` items nearest to it as decoded, on the lists it probes."""
     asked, codes, model = probes(queries, index.model), index.codes, index.model
     lists = len(model.centroids)
     # Two numbers for each list, of which the model has a bounded number.
@@ -222,7 +228,10 @@ def candidates(index: VectorIndex, queries: DataFrame, count: int) -> DataFrame:
         else:
             stored = np.frombuffer(b"".join(c["code"]), np.uint8).reshape(len(c), -1)
             near = model.decode(stored, int(key[0]))
-            best = _best(q["query_id"].to_numpy(), _unit(list(q["vector"])), c["item_id"].to_numpy(), near, count)
+            # The dot product with the last number in place is 1 less half the squared distance.
+            near = np.column_stack([near, (1 - (near**2).sum(axis=1)) / 2])
+            asked_for = np.column_stack([_unit(list(q["vector"])), np.ones(len(q))])
+            best = _best(q["query_id"].to_numpy(), asked_for, c["item_id"].to_numpy(), near, count)
         return best.astype({"query_id": object, "item_id": object})
 
     schema = f"query_id {dict(queries.dtypes)['query_id']}, item_id {dict(codes.dtypes)['item_id']}, score double"
