@@ -41,6 +41,7 @@ RERANK = 4  # exact scores for so many times k
 PIECE = 50_000  # codes of a list that one task decodes, at most
 ASKED = 256  # queries that meet them at once
 ROUNDS = 10
+FORMAT = 2  # of the stored tables; an index of another format is built anew
 
 
 def _kmeans(rows: np.ndarray, k: int, seed: int, spherical: bool) -> np.ndarray:
@@ -178,12 +179,12 @@ def publish(items: DataFrame, root: str, **fitting) -> VectorIndex | None:
     model = fit(items, **fitting)
     if model is None:
         return None
-    snapshot.publish({"codes": encoded(items, model), "model": model.table(items.sparkSession)}, root)
+    snapshot.publish({"codes": encoded(items, model), "model": model.table(items.sparkSession)}, root, FORMAT)
     return load(items.sparkSession, root)
 
 
 def load(spark: SparkSession, root: str) -> VectorIndex | None:
-    found = snapshot.load(spark, root, ["codes", "model"])
+    found = snapshot.load(spark, root, ["codes", "model"], FORMAT)
     return found and VectorIndex(Model.of(found["model"]), found["codes"])
 
 
