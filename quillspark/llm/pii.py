@@ -13,7 +13,8 @@ Only texts with a trace of a disguise are rewritten; the traces are necessary fo
 the trace is that the rewrite changes them.
 
 Defined results: a null text is empty and has no spans. Every row has its own result, also where doc_id repeats or is null. Offsets are code
-points, ends exclusive. Spans of different kinds may overlap; masking joins those that do. An empty table gives an empty result.
+points, ends exclusive. Very long texts, runs without a space and texts of very many spans take time in proportion; a rewritten
+text holds 16 bytes of offsets per character. Spans of different kinds may overlap; masking joins those that do. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +23,10 @@ import functools
 import hashlib
 import re
 import unicodedata
+from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,6 +40,10 @@ EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+# The patterns for addresses read a run again from each of its characters. These read it once, with the same matches.
+_HOST = re.compile("@" + EMAIL.pattern.partition("@")[2])
+_IP_FROM_START = re.compile("(?<![0-9])" + IP.pattern)
+_NO_NAME = re.compile(r"[^A-Za-z0-9._%+-]")
 
 #: Letters that look like Latin ones. Fixed values.
 LOOK_ALIKE = {
@@ -102,14 +110,38 @@ def _digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
 
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of ``EMAIL``: each sign with the name before it, back to the last match at most, and the host after it."""
+    done, at = 0, text.find("@")
+    while at >= 0:
+        host = _HOST.match(text, at)
+        if host:
+            start = _name_start(text, done, at)
+            if start < at:
+                yield start, host.end()
+                done = host.end()
+        at = text.find("@", max(at + 1, done))
+
+
+def _name_start(text: str, least: int, end: int) -> int:
+    """Where the name that reaches ``end`` begins; looked for backwards in steps that double."""
+    width = 64
+    while True:
+        low = max(least, end - width)
+        breaks = [m.end() for m in _NO_NAME.finditer(text, low, end)]
+        if breaks or low == least:
+            return breaks[-1] if breaks else least
+        width *= 2
+
+
 def plain_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) by the fixed patterns, in the order of the kinds."""
     out: list[tuple[str, int, int]] = []
     if "@" in text:
-        out += [("email", *m.span()) for m in EMAIL.finditer(text)]
+        out += [("email", *span) for span in emails(text)]
     if "." in text:
         # Leading zeros don't make a part larger.
-        out += [("ip", *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p[-3:] if len(p) > 3 else p) <= 255 for p in m.groups())]
+        out += [("ip", *m.span()) for m in _IP_FROM_START.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p[-3:] if len(p) > 3 else p) <= 255 for p in m.groups())]
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 12 and 12 <= len(d := _digits(m[0])) <= 19 and luhn(d):
             out.append(("card", *m.span()))
@@ -121,12 +153,12 @@ def plain_spans(text: str) -> list[tuple[str, int, int]]:
 class Rewritten:
     """A text and, for each of its characters, the source span it stands for."""
 
-    def __init__(self, text: str, starts: list[int], ends: list[int]):
+    def __init__(self, text: str, starts: array, ends: array):
         self.text, self.starts, self.ends = text, starts, ends
 
     @classmethod
     def of(cls, text: str) -> Rewritten:
-        return cls(text, list(range(len(text))), list(range(1, len(text) + 1)))
+        return cls(text, array("q", range(len(text))), array("q", range(1, len(text) + 1)))
 
     def source(self, start: int, end: int) -> tuple[int, int]:
         return self.starts[start], self.ends[end - 1]
@@ -135,7 +167,7 @@ class Rewritten:
         """Spans ``(start, end, new)``, in order and apart: all characters of ``new`` stand for the whole span."""
         if not edits:
             return self
-        text, starts, ends, at = [], [], [], 0
+        text, starts, ends, at = [], array("q"), array("q"), 0
         for start, end, new in edits:
             text.append(self.text[at:start])
             starts += self.starts[at:start]
@@ -143,8 +175,8 @@ class Rewritten:
             if new:
                 text.append(new)
                 a, b = self.source(start, end)
-                starts += [a] * len(new)
-                ends += [b] * len(new)
+                starts += array("q", [a]) * len(new)
+                ends += array("q", [b]) * len(new)
             at = end
         text.append(self.text[at:])
         return Rewritten("".join(text), starts + self.starts[at:], ends + self.ends[at:])
@@ -257,17 +289,22 @@ def all_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, in
 def added_spans(text: str, plain: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     folded = fold_signs(fold_characters(Rewritten.of(text)))
     added: list[tuple[str, int, int]] = []
+    # Spans of a kind lie apart, so the last one that begins no later is the only one that can cover another.
+    known = {kind: [(s, e) for k, s, e in plain if k == kind] for kind in KINDS}
     for kind, start, end in plain_spans(folded.text):
         a, b = folded.source(start, end)
-        if not any(k == kind and s <= a and b <= e for k, s, e in plain):
+        before = bisect_right(known[kind], a, key=lambda span: span[0])
+        if not before or known[kind][before - 1][1] < b:
             added.append((kind, a, b))
     spelled = fold_digits(folded)
     if spelled is not folded:
         # Digit words next to an identifier that is found already are words.
-        taken = [*plain, *added]
+        taken = sorted((s, e) for _, s, e in [*plain, *added])
+        reach = list(accumulate((e for _, e in taken), max))
         for kind, start, end in plain_spans(spelled.text):
             a, b = spelled.source(start, end)
-            if not any(s < b and a < e for _, s, e in taken):
+            before = bisect_left(taken, b, key=lambda span: span[0])
+            if not before or reach[before - 1] <= a:
                 added.append((kind, a, b))
     return added
 
