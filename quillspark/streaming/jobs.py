@@ -6,14 +6,21 @@ driver replaces its own folder and nothing else.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from ..operators import capture, keyword
 from ..sources import notes as note_source
 
+#: Keys that hold what one session has seen.
+SEEN_SPREAD = 64
+
 
 def _batch_dir(root: str, table: str, batch_id: int) -> str:
     return f"{root.rstrip('/')}/{table}/batch={batch_id}"
@@ -186,39 +193,100 @@ def captured_notes(
 # --- suppression ----------------------------------------------------------------------------------
 
 
+class FirstShown(StatefulProcessor):
+    """Marks the rows whose path the state had not seen before this micro-batch.
+
+    The state maps a path to the time it was first shown and forgets it ``ttl_ms`` later on the clock (0: never).
+    """
+
+    def __init__(self, ttl_ms: int):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getMapState("seen", "path string", "ts timestamp", self.ttl_ms or None)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        # A path is asked for once per micro-batch, however many rows have it.
+        unseen: dict[str, bool] = {}
+        for row in rows:
+            path = row["path"]
+            if path is not None and path not in unseen:
+                unseen[path] = not self.seen.containsKey((path,))
+                if unseen[path]:
+                    self.seen.updateValue((path,), (row["ts"],))
+            yield Row(**row.asDict(), unseen=unseen.get(path, False))
+
+    def close(self) -> None:
+        pass
+
+
+#: Map state needs this store, and a clock would otherwise ask for empty batches without end.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
+
+
+def _start_stateful(spark: SparkSession, start: Callable[[], StreamingQuery]) -> StreamingQuery:
+    """Starts a query with ``STATE_CONF``, which it keeps; the session's own settings are put back."""
+    before = {name: spark.conf.get(name, None) for name in STATE_CONF}
+    try:
+        for name, value in STATE_CONF.items():
+            spark.conf.set(name, value)
+        return start()
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
 def suppress(
-    decisions: DataFrame, out: str, checkpoint: str, continuous: str | None = None
+    decisions: DataFrame, out: str, checkpoint: str, continuous: str | None = None, ttl_ms: int = 0
 ) -> StreamingQuery:
-    """Decision log with ``suppressed``. ``decisions``: session_id, prompt_id, ts, method, injected.
+    """Decision log with ``suppressed``. ``decisions``: session_id, prompt_id, ts, method, injected and others.
 
-    What a session has seen is a table keyed by (session, path), joined per batch: a session that
-    holds a third of all prompts is spread by path and never sits in one task. Inside a batch the
-    earliest prompt wins.
+    What a session has seen is keyed state of the query, spread over ``SEEN_SPREAD`` keys by path: a session that
+    holds a third of all prompts never sits in one task. A micro-batch is written once with the verdicts of the state;
+    the log is made from these rows alone, so nothing of earlier batches is read. Inside a batch the earliest prompt wins.
+    A null or empty list of paths is never suppressed.
     """
     spark = decisions.sparkSession
+    names = decisions.columns
+    place = F.posexplode_outer("injected").alias("place", "path")
+    # The list stays on the first row of a prompt alone.
+    rows = decisions.select("*", place).select(
+        *(F.when(F.coalesce("place", F.lit(0)) == 0, F.col(n)).alias(n) if n == "injected" else F.col(n) for n in names),
+        "place",
+        "path",
+        F.coalesce(F.pmod(F.xxhash64("path"), F.lit(SEEN_SPREAD)), F.lit(0)).alias("part"),
+    )
+    marked = rows.groupBy("session_id", "part").transformWithState(
+        FirstShown(ttl_ms), StructType([*rows.schema, StructField("unseen", BooleanType())]), "Append", "ProcessingTime" if ttl_ms else "None"
+    )
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        shown = batch.select("session_id", "prompt_id", "ts", F.explode("injected").alias("path"))
-        first = shown.groupBy("session_id", "path").agg(
-            F.min(F.struct("ts", "prompt_id")).alias("first")
-        )
-        seen = read_batches(spark, out, "seen", before=batch_id)
-        if seen is not None:
-            first = first.join(seen.select("session_id", "path"), ["session_id", "path"], "left_anti")
-        _write(first.select("session_id", "path", F.col("first.prompt_id").alias("prompt_id")), out, "seen", batch_id)
-        fresh = spark.read.parquet(_batch_dir(out, "seen", batch_id))
-        flag = fresh.select("session_id", "prompt_id").distinct().withColumn("fresh", F.lit(True))
-        log = batch.join(flag, ["session_id", "prompt_id"], "left").select(
-            *batch.columns,
+        # One action on the stateful plan per batch.
+        _write(batch, out, "shown", batch_id)
+        shown = spark.read.schema(batch.schema).parquet(_batch_dir(out, "shown", batch_id))
+        first = shown.where("unseen").groupBy("session_id", "path").agg(F.min(F.struct("ts", "prompt_id")).alias("first"))
+        flag = first.select(
+            F.col("session_id").alias("of_session"), F.col("first.prompt_id").alias("of_prompt"), F.lit(True).alias("fresh")
+        ).distinct()
+        prompts = shown.where(F.coalesce("place", F.lit(0)) == 0)
+        same = F.col("session_id").eqNullSafe(F.col("of_session")) & F.col("prompt_id").eqNullSafe(F.col("of_prompt"))
+        log = prompts.join(flag, same, "left").select(
+            *names,
             (
-                (F.size("injected") > 0)
+                (F.coalesce(F.size("injected"), F.lit(0)) > 0)
                 & F.col("fresh").isNull()
                 & (F.coalesce("method", F.lit("")) != "direct_map")
             ).alias("suppressed"),
         )
         _write(log, out, "decisions", batch_id)
 
-    return _start(decisions, handle, checkpoint, continuous)
+    return _start_stateful(spark, lambda: _start(marked, handle, checkpoint, continuous))
 
 
 def first_shown(decisions: DataFrame, delay: str) -> DataFrame:

@@ -251,6 +251,35 @@ def test_suppression_stream_over_batches(spark, tmp_path):
     assert got == batch == {1: False, 2: True, 3: True, 4: False, 5: False, 6: False, 7: False}
 
 
+def test_suppression_state_expires_and_spreads_a_session(spark, tmp_path):
+    src = tmp_path / "in"
+    schema = "session_id string, prompt_id int, ts timestamp, method string, injected array<string>, note string"
+
+    def add(first):
+        rows = [("hot", first + i, "2026-01-01 00:00:00", "tag_search", [f"p{i}", f"q{i % 3}"], "kept") for i in range(90)]
+        rows += [(None, first + 90, "2026-01-01 00:00:00", None, ["p1"], None), ("hot", first + 91, "2026-01-01 00:00:00", None, None, "none"), ("hot", first + 92, None, None, [], "empty")]
+        df = spark.createDataFrame(rows, schema.replace("timestamp", "string")).withColumn("ts", F.col("ts").cast("timestamp"))
+        df.coalesce(1).write.mode("append").parquet(str(src))
+
+    def suppressed(first, ttl_ms):
+        out = str(tmp_path / f"out{ttl_ms}")
+        run(jobs.suppress(spark.readStream.schema(schema).parquet(str(src)), out, str(tmp_path / f"cp{ttl_ms}"), ttl_ms=ttl_ms))
+        log = jobs.read_batches(spark, out, "decisions").where(F.col("prompt_id").between(first, first + 99))
+        assert log.where("note = 'kept'").count() == 90
+        return {r.prompt_id - first for r in log.collect() if r.suppressed}
+
+    provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    add(0)
+    assert suppressed(0, 3_600_000) == suppressed(0, 1) == set()
+    add(100)
+    # What was shown outlives a micro-batch, unless its time is over.
+    assert suppressed(100, 3_600_000) == {*range(91)}
+    assert suppressed(100, 1) == set()
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == provider
+    parts = spark.read.parquet(str(tmp_path / "out1" / "shown")).where("session_id = 'hot'").select("part").distinct().count()
+    assert parts > 20
+
+
 def test_capture_stream_resumes_a_session(spark, tmp_path):
     src = tmp_path / "in"
     schema = "session_id string, cwd string, pos int, line string"
