@@ -5,8 +5,10 @@ payload of at least ``min_revisit`` bytes. The HTTP body has chunked transfer fr
 are cut: the first segment is the response record, the others are ``continuation`` records that name it by
 ``WARC-Segment-Origin-ID``; the last one has ``WARC-Segment-Total-Length``. A segment may lie in any file.
 
-Reading. The archives are read as text with the version line as the separator: one row per record, split
-over tasks like any text file. The writer never lets the version line appear inside a block: a chunk or a segment ends
+Every record has the time at which its archives were begun as WARC-Date.
+
+Reading. The archives are read as text with the version line as the separator: one row per record. A gzip file is read
+by one task, so files are bounded: ``max_records`` records of at most ``segment_bytes`` and their headers. The writer never lets the version line appear inside a block: a chunk or a segment ends
 within it. Continuation records are grouped by their origin (one group holds one page), ordered by segment number, their
 total length is verified, and the chunked framing is decoded. A record whose length or digest doesn't hold has
 ``problem`` set and keeps its row.
@@ -21,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,7 +33,7 @@ from quillspark.llm.common import bounded_batches, pick
 from quillspark.session import work_dir
 
 VERSION = b"WARC/1.1\r\n"
-MIN_REVISIT, SEGMENT_BYTES, CHUNK_BYTES = 1000, 16384, 4096
+MIN_REVISIT, SEGMENT_BYTES, CHUNK_BYTES, MAX_RECORDS = 1000, 16384, 4096, 8192
 _END = b"\r\n\r\n"
 
 
@@ -77,14 +80,17 @@ def _record(headers: list[tuple[str, object]], block: bytes) -> bytes:
     return VERSION + f"{lines}Content-Length: {len(block)}\r\n\r\n".encode() + block
 
 
-def records(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, segment_bytes: int) -> list[bytes]:
-    """The records of one page."""
+def records(
+    page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, segment_bytes: int, date: str
+) -> list[bytes]:
+    """The records of one page; ``date`` as in ``2026-01-31T12:00:00Z``."""
     digest = hashlib.sha1(payload, usedforsecurity=False).hexdigest()
     own = f"<urn:uuid:{uuid.uuid4()}>"
     url = url.replace("\r", "%0D").replace("\n", "%0A") if url is not None else None
     head = [
         ("WARC-Type", "response" if refers_to is None else "revisit"),
         ("WARC-Record-ID", own),
+        ("WARC-Date", date),
         ("WARC-Target-URI", url.replace("WARC/1.1", "WARC%2F1.1") if url is not None else None),
         ("WARC-Page-ID", page_id),
         ("WARC-Payload-Digest", f"sha1:{digest}"),
@@ -94,6 +100,7 @@ def records(page_id: int | None, url: str | None, payload: bytes, refers_to: int
         head += [
             ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
             ("WARC-Refers-To-Page-ID", refers_to),
+            ("WARC-Refers-To-Date", date),
         ]
         return [_record(head, b"HTTP/1.1 200 OK\r\nContent-Length: %d\r\n\r\n" % len(payload))]
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
@@ -110,6 +117,7 @@ def records(page_id: int | None, url: str | None, payload: bytes, refers_to: int
             names = [
                 ("WARC-Type", "continuation"),
                 ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"),
+                ("WARC-Date", date),
                 ("WARC-Segment-Origin-ID", own),
                 ("WARC-Segment-Number", number),
                 ("WARC-Segment-Total-Length", last),
@@ -145,10 +153,12 @@ def write_archives(
     html: str = "html",
     min_revisit: int = MIN_REVISIT,
     segment_bytes: int = SEGMENT_BYTES,
-    max_records: int = 100_000,
+    max_records: int = MAX_RECORDS,
 ) -> None:
     """Write ``pages`` as gzip-compressed WARC files below ``path``."""
     bounded_batches(pages.sparkSession, 500)
+    # One value for all tasks, also for those that run again.
+    date = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     rows = pick(pages, page_id=page_id, url=url, html=html)
     body = F.coalesce(F.col("html"), F.lit(""))
     slim = rows.select("page_id", F.sha1(body.cast("binary")).alias("digest"), F.octet_length(body).alias("size"))
@@ -179,7 +189,7 @@ def write_archives(
                 if owners:  # a repeated id may stand for several payloads
                     digest = hashlib.sha1(payload, usedforsecurity=False).hexdigest()
                     refers = next((o["owner"] for o in owners if o["digest"] == digest), None)
-                out += records(one, address, payload, refers, segment_bytes)
+                out += records(one, address, payload, refers, segment_bytes, date)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
     # The cast keeps the bytes as they are.
@@ -262,7 +272,8 @@ def reassemble(found: DataFrame) -> DataFrame:
             F.col("origin_id").alias("record_id"),
             F.lit(None).cast("long").alias("refers_to"),
             "digest",
-            F.expr("aggregate(pieces, cast('' AS binary), (a, p) -> a || coalesce(p.block, cast('' AS binary)))").alias("block"),
+            # Joined at once, as strings: the casts keep the bytes as they are.
+            F.expr("cast(array_join(transform(pieces, p -> cast(p.block AS string)), '') AS binary)").alias("block"),
             F.expr(
                 "CASE WHEN exists(pieces, p -> p.problem IS NOT NULL) THEN 'length' "
                 "WHEN transform(pieces, p -> p.segment) <> sequence(1, size(pieces)) THEN 'segments' "

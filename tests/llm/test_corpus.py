@@ -189,6 +189,17 @@ def test_warc_against_brute_force(spark, pages):
     assert warc.query(df.limit(0)).collect() == []
 
 
+def test_a_page_of_very_many_segments(spark):
+    # Segments end within characters, and a page of 32 MB has 2000 of them.
+    path = work_dir(spark, "warc-long")
+    df = spark.range(1).selectExpr("id AS page_id", "'u' AS url", "repeat('a\u00e9\u4e2d\U0001f600', 3355443) AS html")
+    warc.write_archives(df, path)
+    found = warc.read_records(spark, path)
+    assert found.count() > 2000 and found.where("record_type = 'response'").count() == 1
+    got = warc.read_archives(spark, path).select("page_id", "payload_bytes", "problem", "payload_digest").first()
+    assert tuple(got) == (0, 33554430, None, df.selectExpr("sha1(cast(html AS binary)) AS d").first().d)
+
+
 def test_archives_are_warc_files_and_payloads_come_back(spark, pages):
     path = work_dir(spark, "warc-test")
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
@@ -202,6 +213,7 @@ def test_archives_are_warc_files_and_payloads_come_back(spark, pages):
         while data:  # a plain reader that goes by Content-Length
             head, _, rest = data.partition(b"\r\n\r\n")
             assert head.startswith(b"WARC/1.1\r\nWARC-Type: ")
+            assert len(re.findall(rb"\r\nWARC-Date: \d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ(?=\r\n)", head)) == 1
             size = int(re.search(rb"\r\nContent-Length: (\d+)", head)[1])
             assert rest[size : size + 4] == b"\r\n\r\n"
             data, n = rest[size + 4 :], n + 1
@@ -212,7 +224,7 @@ def test_archives_are_warc_files_and_payloads_come_back(spark, pages):
 
 
 def test_broken_segments_are_named(spark):
-    long = warc.records(1, "u", b"x" * 3000, None, 1000)
+    long = warc.records(1, "u", b"x" * 3000, None, 1000, "2026-01-31T12:00:00Z")
     cases = {"segments": [long[0], long[2], long[3]], "total length": long[:-1], "length": [long[0][:-5], *long[1:]], None: long[::-1]}
     for problem, kept in cases.items():
         path = work_dir(spark, "warc-broken")
