@@ -1,4 +1,6 @@
+import hashlib
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -171,6 +173,38 @@ def test_bootstrap_matches_the_sequential_generator(spark):
     assert evals.bootstrap_ci(df.limit(0), ["g"], "i", "v").count() == 0
 
 
+def weighted_bootstrap(keys, values, iters, seed):
+    cdf = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(30)]
+    states = [int(hashlib.md5(f"{seed}:{k}".encode()).hexdigest()[:8], 16) for k in keys]
+    means = []
+    for _ in range(iters):
+        states = [(s * 1664525 + 1013904223) % 2**32 for s in states]
+        w = [next(k for k, top in enumerate(cdf) if s < math.floor(top * 2**32)) for s in states]
+        means.append(sum(a * b for a, b in zip(w, values)) / sum(w) if sum(w) else sum(values) / len(values))
+    means.sort()
+    return means[int(iters * 0.025)], means[int(iters * 0.975)]
+
+
+def test_weighted_bootstrap_in_one_pass(spark):
+    data = {"g": [0.0, 1.0, 1.0, 0.0, 0.5, 1.0, 0.0], None: [3.0], "many": [float(i % 2) for i in range(400)]}
+    rows = [(g, i, v) for g, vs in data.items() for i, v in enumerate(vs)]
+    df = spark.createDataFrame([*rows, ("g", 99, None)], "g string, i int, v double")
+    out = evals.bootstrap_weighted(df, ["g"], "i", "v", iters=300)
+    got = {r.g: (r.n, r.mean, r.lo, r.hi) for r in out.collect()}
+    for g, vs in data.items():
+        assert got[g][:2] == (len(vs), pytest.approx(sum(vs) / len(vs)))
+        assert got[g][2:] == pytest.approx(weighted_bootstrap(range(len(vs)), vs, 300, 42))
+    # As wide as the drawn intervals, and the sums are combined before the first exchange.
+    drawn = {r.g: (r.lo, r.hi) for r in evals.bootstrap_ci(df.where("g = 'many'"), ["g"], "i", "v", iters=300).collect()}
+    assert got["many"][2:] == pytest.approx(drawn["many"], abs=0.02)
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan and "Window" not in plan
+    alone = evals.bootstrap_weighted(df.where("g = 'many'"), [], "i", "v", iters=300).first()
+    assert tuple(alone) == pytest.approx(got["many"])
+    assert evals.bootstrap_weighted(df.limit(0), ["g"], "i", "v").count() == 0
+    assert evals.bootstrap_weighted(df.limit(0), [], "i", "v").count() == 0
+
+
 def test_pin_harm(spark):
     cases = spark.createDataFrame([(i, False, "x") for i in (1, 2, 3)] + [(4, True, None)], "case_id int, negative boolean, expected_brief string")
     expected = spark.createDataFrame([(1, "x"), (2, "x"), (3, "x")], "case_id int, path string")
