@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -292,13 +294,63 @@ def _advance(state: Column, jump: Column) -> Column:
     return (_times(state, jump["a"]) + jump["c"]) % LCG_M
 
 
+VALUE_BLOCK = 1 << 20  # values of a group that one task holds
+DRAWS_PER_TASK = 1 << 27
+_RUN = 1 << 16  # draws that are taken at once
+
+
+def steps_taken(k: int) -> tuple[int, int]:
+    """(a, c) of ``k`` steps of the generator."""
+    a, c = 1, 0
+    for j, (step_a, step_c) in enumerate(lcg_steps()):
+        if k >> j & 1:
+            a, c = a * step_a % LCG_M, (c * step_a + step_c) % LCG_M
+    return a, c
+
+
+def _drawn(table: pa.Table, names: list[str], iters: int, seed: int) -> pa.Table:
+    """Per iteration of one share, the sum of the drawn values among those of one block, and how many of these are not null."""
+    n, share, shares = (table[c][0].as_py() for c in ("n", "share", "shares"))
+    ix, v = table["ix"].to_numpy(), table["v"].to_numpy()
+    low, known = ix.min(), np.zeros(ix.max() - ix.min() + 1)
+    values = known.copy()
+    there = np.asarray(table["v"].is_valid())
+    values[ix[there] - low], known[ix[there] - low] = v[there], 1
+    whole = bool(known.all()) and len(known) == n
+    first, last = share * iters // shares, (share + 1) * iters // shares
+    # uint32 wraps like the generator: what 1, 2, ... steps do to a state.
+    a = np.cumprod(np.full(_RUN, LCG_A, np.uint32), dtype=np.uint32)
+    c = np.cumsum(np.append(np.uint32(1), a[:-1]), dtype=np.uint32) * np.uint32(LCG_C)
+    total, seen = np.zeros(last - first), np.zeros(last - first)
+    jump_a, jump_c = steps_taken(first * n)
+    state = (seed % LCG_M * jump_a + jump_c) % LCG_M
+    for start in range(first * n, last * n, _RUN):
+        size = min(_RUN, last * n - start)
+        states = a[:size] * np.uint32(state) + c[:size]
+        state = int(states[-1])
+        at = (states / float(LCG_M) * n).astype(np.int64) - low
+        it = np.arange(start, start + size) // n - first
+        if not whole:
+            inside = (at >= 0) & (at < len(values))
+            at, it = at[inside], it[inside]
+        if len(it):
+            base = it[0]
+            span = slice(base, it[-1] + 1)
+            total[span] += np.bincount(it - base, values[at])
+            seen[span] += np.bincount(it - base, known[at])
+    rows = last - first
+    columns = [table[c].take(pa.array(np.zeros(rows, np.int64))) for c in names]
+    columns += [pa.array(np.arange(first, last, dtype=np.int32)), pa.array(total), pa.array(seen.astype(np.int64)), pa.array(np.full(rows, n))]
+    return pa.table(columns, names=[*names, "it", "total", "seen", "n"])
+
+
 def bootstrap_ci(
     values: DataFrame, group: list[str], order: str, value: str, iters: int = 1000, seed: int = 42
 ) -> DataFrame:
     """95 % interval of the mean per group: (group…, n, mean, lo, hi).
 
-    Resamples are rows: draw i of iteration t jumps straight to its place in the generator, and
-    the value is fetched by an equi-join on its position.
+    Draw i of iteration t is number t * n + i of the generator, which tasks jump straight to; the value is that at the
+    drawn position. Null values count as rows and add nothing.
     """
     if not group:
         one = values.withColumn("_all", F.lit(0))
@@ -321,33 +373,26 @@ def bootstrap_ci(
     sizes = numbered.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n"), F.min("g_ix").alias("g0"), F.avg(value).alias("mean")
     )
-    # Jumps are worked out once per iteration and once per position, not once per draw.
-    firsts = F.transform(
-        F.sequence(F.lit(0).cast("long"), F.lit(iters - 1).cast("long")),
-        lambda it: _advance(F.lit(seed % LCG_M).cast("long"), lcg_jump(it * F.col("n"))),
-    )
-    at = numbered.join(sizes.withColumn("firsts", firsts), group).select(
-        *group,
+    # The draws of a group are one run of the generator, n for each iteration. Each task holds one block of a group's values,
+    # takes the draws of some iterations and adds up those that fall on its block; draws are never rows.
+    shares = F.least(F.lit(iters), F.ceil(F.col("n") * iters / DRAWS_PER_TASK)).cast("int")
+    at = numbered.join(sizes, group).select(
+        *[F.col(c).alias(f"g{i}") for i, c in enumerate(group)],
         (F.col("g_ix") - F.col("g0")).alias("ix"),
         F.col(value).cast("double").alias("v"),
         "n",
-        "firsts",
+        shares.alias("shares"),
     )
-    stepped = at.withColumn("jump", lcg_jump(F.col("ix") + 1))
-    draws = stepped.select(*group, "n", "jump", F.posexplode("firsts").alias("it", "state")).select(
-        *group,
-        "it",
-        F.floor(_advance(F.col("state"), F.col("jump")) / F.lit(float(LCG_M)) * F.col("n"))
-        .cast("long")
-        .alias("ix"),
+    names = [f"g{i}" for i in range(len(group))]
+    dealt = at.withColumn("block", F.floor(F.col("ix") / VALUE_BLOCK).cast("long")).withColumn(
+        "share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))
     )
-    # The same position is drawn many times in one iteration: count it once.
-    counted = draws.groupBy(*group, "it", "ix").agg(F.count(F.lit(1)).alias("times"))
-    means = (
-        counted.join(at.select(*group, "ix", "v"), [*group, "ix"])
-        .groupBy(*group, "it")
-        .agg((F.sum(F.col("v") * F.col("times")) / F.sum("times")).alias("m"))
+    kinds = ", ".join(f"{n} {kind}" for n, kind in dealt.select(*names).dtypes)
+    sums = dealt.groupBy(*names, "block", "share").applyInArrow(
+        lambda table: _drawn(table, names, iters, seed), f"{kinds}, it int, total double, seen bigint, n bigint"
     )
+    total = F.when(F.sum("seen") > 0, F.sum("total"))
+    means = sums.groupBy(*[F.col(x).alias(c) for x, c in zip(names, group, strict=True)], "it").agg((total / F.max("n")).alias("m"))
     w = Window.partitionBy(*group).orderBy("m")
     ranked = means.withColumn("r", F.row_number().over(w) - 1)
     lo, hi = int(iters * 0.025), int(iters * 0.975)
