@@ -21,6 +21,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,10 +33,10 @@ from . import keyword
 from .keyword import FIELD_BOOSTS, SCORE_DIGITS, KeywordParams
 
 RANGE = 1024  # notes per block range
-SHARD_NOTES = 1 << 16  # a shard's notes are held by one task
+SHARD_NOTES, SHARD_BYTES = 1 << 13, 1 << 25  # a shard's notes are held by one task
 QUERY_BLOCK = 256  # queries that are searched in one pass over the shards
 KEPT_ASKS = 8  # sets of asked words whose expansion is kept
-BROADCAST_ASKS = 1_000_000  # (word, asked word) pairs of some 50 bytes that are broadcast
+BROADCAST_ASKS = 50_000  # (word, asked word) pairs that are broadcast: some 100 bytes each, with the word
 FIELDS = tuple(FIELD_BOOSTS)
 
 
@@ -54,8 +55,9 @@ def shard_labels(spark: SparkSession, shards: int) -> list[int]:
 
 
 def shard_count(notes: DataFrame) -> int:
-    """One for each 65 536 notes, and enough for all cores."""
-    return max(-(-notes.count() // SHARD_NOTES), notes.sparkSession.sparkContext.defaultParallelism)
+    """So many that a shard has about 8192 notes and 32 MB of text at most, and enough for all cores."""
+    row = notes.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("content")).alias("bytes")).first()
+    return max(-(-row["n"] // SHARD_NOTES), -(-(row["bytes"] or 0) // SHARD_BYTES), notes.sparkSession.sparkContext.defaultParallelism)
 
 
 def _dealt(notes: DataFrame, labels: list[int], columns: dict[str, Column]) -> DataFrame:
@@ -81,25 +83,57 @@ def documents(notes: DataFrame, labels: list[int]) -> DataFrame:
     return _dealt(notes, labels, facts | lengths)
 
 
+_POSTING = pa.struct([(name, pa.int32()) for name in ("doc", *[f"tf_{f}" for f in FIELDS])])
+_BLOCK = pa.schema(
+    [("shard", pa.int32()), ("term", pa.string()), ("range", pa.int32()), ("docs", pa.list_(_POSTING))]
+    + [(f"{name}_{f}", pa.int32()) for name in ("max", "least", "n") for f in FIELDS]
+)
+_BLOCK_DDL = "shard int, term string, range int, docs array<struct<{}>>, {}".format(
+    ", ".join(f"{x.name}:int" for x in _POSTING), ", ".join(f"{x.name} int" for x in list(_BLOCK)[4:])
+)
+
+
 def blocks(notes: DataFrame, labels: list[int], notes_per_range: int = RANGE) -> DataFrame:
-    """(shard, term, range, docs, max_*, least_*, n_*): bodies are shuffled once, by shard; all counting stays within."""
-    dealt = _dealt(notes, labels, {"path": F.col("path")} | {f"t_{f}": tokens for f, tokens in _tokens().items()})
-    sized = dealt.withColumns({f"len_{f}": F.size(F.array_distinct(f"t_{f}")) for f in FIELDS})
-    each = F.array(*[F.struct(F.lit(i).alias("field"), F.col(f"t_{f}").alias("tokens")) for i, f in enumerate(FIELDS)])
-    lengths = [f"len_{f}" for f in FIELDS]
-    rows = sized.select("shard", "doc", *lengths, F.explode(each).alias("f")).select("shard", "doc", *lengths, "f.field", F.explode("f.tokens").alias("term"))
-    counted = rows.groupBy("shard", "doc", "term").agg(
-        *[F.count_if(F.col("field") == i).cast("int").alias(f"tf_{f}") for i, f in enumerate(FIELDS)],
-        *[F.max(n).alias(n) for n in lengths],
-    )
-    posting = F.struct("doc", *[f"tf_{f}" for f in FIELDS])
-    in_field = {f: F.when(F.col(f"tf_{f}") > 0, F.col(f"len_{f}")) for f in FIELDS}
-    return counted.groupBy("shard", "term", F.floor(F.col("doc") / notes_per_range).cast("int").alias("range")).agg(
-        F.sort_array(F.collect_list(posting)).alias("docs"),
-        *[F.max(f"tf_{f}").alias(f"max_{f}") for f in FIELDS],
-        *[F.coalesce(F.min(in_field[f]), F.lit(0)).alias(f"least_{f}") for f in FIELDS],
-        *[F.count(in_field[f]).cast("int").alias(f"n_{f}") for f in FIELDS],
-    )
+    """(shard, term, range, docs, max_*, least_*, n_*): bodies are shuffled once, by shard, as text; a shard's words are counted as arrays."""
+    dealt = _dealt(notes, labels, {c: F.col(c) for c in ("path", "title", "tags", "content")})
+    words = dealt.select("shard", "doc", *[tokens.alias(f"t_{f}") for f, tokens in _tokens().items()])
+    return words.groupBy("shard").applyInArrow(lambda table: _blocks_of(table, notes_per_range), _BLOCK_DDL)
+
+
+def _blocks_of(table: pa.Table, size: int) -> pa.Table:
+    """The blocks of one shard; ``table``: its notes with the words of each field."""
+    table = table.combine_chunks()
+    shard, doc, n = table["shard"][0].as_py(), table["doc"].to_numpy(), table.num_rows
+    flat, at, field = [], [], []
+    for i, f in enumerate(FIELDS):
+        for words in table[f"t_{f}"].chunks:
+            flat.append(words.flatten())
+            at.append(np.repeat(doc, pc.fill_null(pc.list_value_length(words), 0).to_numpy()))
+            field.append(np.full(len(flat[-1]), i))
+    coded = pa.concat_arrays(flat).dictionary_encode()
+    if not len(coded):
+        return _BLOCK.empty_table()
+    # Words and notes in one number, in the order of the result.
+    met, place = np.unique(coded.indices.to_numpy().astype(np.int64) * n + np.concatenate(at), return_inverse=True)
+    tf = np.bincount(place * len(FIELDS) + np.concatenate(field), minlength=len(met) * len(FIELDS)).reshape(len(met), len(FIELDS))
+    term, doc = np.divmod(met, n)
+    part = term * (n // size + 1) + doc // size
+    starts = np.flatnonzero(np.diff(part, prepend=-1))
+    docs = pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in (doc, *tf.T)], fields=list(_POSTING))
+    columns = {
+        "shard": np.full(len(starts), shard),
+        "term": coded.dictionary.take(pa.array(term[starts])),
+        "range": doc[starts] // size,
+        "docs": pa.ListArray.from_arrays(pa.array(np.append(starts, len(met)).astype(np.int32)), docs),
+    }
+    for f, times in zip(FIELDS, tf.T, strict=True):
+        has = times > 0
+        length = np.bincount(doc[has], minlength=n)[doc]  # different words of the field
+        least = np.minimum.reduceat(np.where(has, length, n + len(met)), starts)
+        columns[f"max_{f}"] = np.maximum.reduceat(times, starts)
+        columns[f"n_{f}"] = np.add.reduceat(has.astype(np.int64), starts)
+        columns[f"least_{f}"] = np.where(columns[f"n_{f}"] > 0, least, 0)
+    return pa.table([pa.array(columns[x.name]).cast(x.type) for x in _BLOCK], schema=_BLOCK)
 
 
 def publish(notes: DataFrame, root: str, shards: int | None = None, notes_per_range: int = RANGE) -> StoredIndex:
@@ -108,21 +142,23 @@ def publish(notes: DataFrame, root: str, shards: int | None = None, notes_per_ra
     labels = shard_labels(spark, shards or shard_count(notes))
     base = f"{root.rstrip('/')}/parts/{uuid.uuid4().hex}"
     for name, table in (("documents", documents(notes, labels)), ("blocks", blocks(notes, labels, notes_per_range))):
-        _bucketed(spark, table, f"{base}/{name}", len(labels))
+        _bucketed(table, f"{base}/{name}", len(labels))
     stored = spark.read.parquet(f"{base}/blocks")
     dictionary = stored.groupBy("term").agg(*[F.sum(f"n_{f}").alias(f"df_{f}") for f in FIELDS])
     facts = spark.read.parquet(f"{base}/documents").agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"len_{f}").alias(f) for f in FIELDS])
     stats = facts.select(F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col("n").alias("n_notes"), F.col(f).alias("avg_len")) for f in FIELDS])))
-    _bucketed(spark, keyword.spelling_parts(dictionary.select("term")), f"{base}/spellings", len(labels), keyword.SPELLING_KEY)
+    parts = keyword.spelling_parts(dictionary.select("term")).repartition(len(labels), *keyword.SPELLING_KEY)
+    _bucketed(parts, f"{base}/spellings", len(labels), keyword.SPELLING_KEY)
     places = spark.createDataFrame([(base, len(labels), notes_per_range)], "base string, shards int, notes_per_range int")
     snapshot.publish({"dictionary": dictionary, "field_stats": stats, "spread": places}, root)
     return load(spark, root)
 
 
-def _bucketed(spark: SparkSession, table: DataFrame, path: str, shards: int, by: tuple[str, ...] = ("shard",)) -> None:
+def _bucketed(table: DataFrame, path: str, shards: int, by: tuple[str, ...] = ("shard",)) -> None:
+    """``table`` has the rows of a bucket in one task, so a bucket is one file."""
     name = f"quillspark_{uuid.uuid4().hex}"
-    table.repartition(shards, *by).write.bucketBy(shards, *by).sortBy(*by).option("path", path).saveAsTable(name)
-    spark.sql(f"DROP TABLE {name}")  # the files stay, as the table is external
+    table.write.bucketBy(shards, *by).sortBy(*by).option("path", path).saveAsTable(name)
+    table.sparkSession.sql(f"DROP TABLE {name}")  # the files stay, as the table is external
 
 
 def load(spark: SparkSession, root: str) -> StoredIndex | None:
@@ -211,13 +247,16 @@ class StoredIndex:
             pairs = pairs.join(F.broadcast(source), "source_term")
         else:
             pairs = source.select("source_term", "sid", F.col("source_term").alias("term"), F.lit(1.0).alias("w"))
+        # The dictionary is never broadcast: in memory it is many times its file.
+        pairs = _written(pairs, "pairs")
+        few = pairs.count() <= BROADCAST_ASKS
         weights = []
         for f, boost in p.boosts.items():
             df = F.col(f"df_{f}")
             idf = F.log(1 + (F.lit(float(stats[f][0])) - df + 0.5) / (df + 0.5))
             weights.append((F.col("w") * float(boost) * idf).alias(f"w_{f}"))
         asks = _written(
-            pairs.join(self.dictionary, "term")
+            self.dictionary.join(pairs.hint("broadcast" if few else "merge"), "term")
             .select("term", F.struct("sid", *weights).alias("ask"))
             .groupBy("term")
             .agg(F.sort_array(F.collect_list("ask")).alias("asks")),
@@ -235,8 +274,9 @@ class StoredIndex:
         number = {w: i for i, w in enumerate(words)}
         stats = {row["field"]: (row["n_notes"], row["avg_len"]) for row in self.field_stats.collect()}
         asks, small = self._asks(words, expand, p, stats)
-        # Broadcast behind a check of its size, so that blocks stay where they lie; else the join shuffles the asked blocks.
-        found = self.blocks.join(F.broadcast(asks) if small else asks, "term").select(
+        # Broadcast behind a check of its size, so that blocks stay where they lie; else blocks and asks are shuffled by word.
+        # Asks are lists: the size of their files says little of that in memory, so they are never broadcast by it.
+        found = self.blocks.join(asks.hint("broadcast" if small else "merge"), "term").select(
             "shard", "term", "range", "docs", *[f"{b}_{f}" for b in ("max", "least") for f in FIELDS], "asks"
         )
         allowed = F.lit(True)

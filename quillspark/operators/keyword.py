@@ -23,6 +23,8 @@ SESSION_BOOST, DIGEST_BOOST = 0.3, 1.5
 
 SCORE_DIGITS = 6
 
+BROADCAST_WORDS = 100_000  # asked words that are broadcast to the dictionary
+
 
 @dataclass(frozen=True)
 class KeywordParams:
@@ -217,10 +219,18 @@ def exact_terms(terms: DataFrame) -> DataFrame:
     )
 
 
+def _by_size(words: DataFrame) -> DataFrame:
+    """Asked words as the side that is broadcast, if they are counted to be few; else both sides are sorted. Without this Spark
+    may broadcast the prefixes of the whole dictionary, which it takes to be as small as the dictionary's file."""
+    few = words.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS
+    return words.hint("broadcast" if few else "merge")
+
+
 def prefix_matches(source_terms: DataFrame, terms: DataFrame) -> DataFrame:
     """(source_term, term) for dictionary terms that extend a query word.
 
-    Every dictionary term is exploded into its proper prefixes, so this is an equi-join.
+    Every dictionary term is exploded into its proper prefixes, so this is an equi-join. The prefixes are not
+    shuffled while the query words are few.
     """
     prefixes = terms.where(F.length("term") > 1).select(
         "term",
@@ -230,7 +240,7 @@ def prefix_matches(source_terms: DataFrame, terms: DataFrame) -> DataFrame:
             )
         ).alias("source_term"),
     )
-    return prefixes.join(source_terms.select("source_term").distinct(), "source_term").select(
+    return prefixes.join(_by_size(source_terms.select("source_term").distinct()), "source_term").select(
         "source_term", "term"
     )
 
