@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,31 +59,63 @@ def _mark_named(text: Column, strict: bool) -> Column:
     return F.regexp_replace(marked, _EXEMPT, "$1$2")
 
 
+# What a text must hold for a rule to match: found much faster than the rule itself.
+SIGNS = {
+    "neon_api": ("napi_",),
+    "neon_password": ("npg_",),
+    "github_pat": ("github_pat_",),
+    "github_token": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"),
+    "slack_token": ("xox",),
+    "sk_key": ("sk-",),
+    "akia": ("AKIA",),
+    "asia": ("ASIA",),
+    "jwt_three_part": ("eyJ",),
+    "jwt_two_part": ("eyJ",),
+    "jwt_blob": ("eyJ",),
+    "url_password": ("://",),
+    "private_key": ("-----BEGIN ",),
+}
+_NAME_SIGN = r"""(?i)(?:KEY|TOKEN|SECRET|PASSWORD|PASSWD|CREDENTIAL)S?["']?\s*[:=]"""
+
+
+def _may_hold(t: Column, name: str) -> Column:
+    return functools.reduce(operator.or_, (F.contains(t, F.lit(sign)) for sign in SIGNS[name]))
+
+
+def _may_name(t: Column) -> Column:
+    return F.rlike(t, F.lit(_NAME_SIGN)) | F.contains(t, F.lit(_OPEN))
+
+
+def _where(c: Column, may: Callable[[Column], Column], change: Callable[[Column], Column]) -> Column:
+    """``change`` where it ``may`` do anything. ``c`` is written once, so rules can follow each other."""
+    return F.transform(F.array(c), lambda t: F.when(may(t), change(t)).otherwise(t))[0]
+
+
 def redact_secrets(text: ColumnOrName, strict: bool = False) -> Column:
     """Text with credentials cut. Vendor patterns run first, so their label survives."""
     # A text that holds the marks of the last rule already would confuse it.
     out = F.regexp_replace(col(text), f"[{_OPEN}{_MID}{_CLOSE}]", "\ufffd")
-    for _, pattern, replacement in RULES:
-        out = F.regexp_replace(out, ascii_boundary(pattern), replacement)
-    return F.regexp_replace(_mark_named(out, strict), _REST, "$1[REDACTED]")
+    for name, rule, replacement in RULES:
+        cut = functools.partial(F.regexp_replace, pattern=ascii_boundary(rule), replacement=replacement)
+        out = _where(out, functools.partial(_may_hold, name=name), cut)
+    return _where(out, _may_name, lambda t: F.regexp_replace(_mark_named(t, strict), _REST, "$1[REDACTED]"))
 
 
 def redaction_counts(df: DataFrame, text: str, strict: bool = False) -> DataFrame:
     """Add ``redacted`` and ``hits``: array<struct<rule,hits>> with the rules that fired.
 
-    One column per step keeps every intermediate text computed once.
+    One column per step keeps every intermediate text computed once; only texts that a rule hits are changed by it.
     """
     step = df.withColumn("_t", F.col(text))
+    t = F.col("_t")
     for name, rule, replacement in RULES:
-        pattern = ascii_boundary(rule)
-        step = step.withColumn(f"_n_{name}", F.regexp_count("_t", F.lit(pattern))).withColumn(
-            "_t", F.regexp_replace("_t", pattern, replacement)
-        )
-    step = (
-        step.withColumn("_t", _mark_named(F.col("_t"), strict))
-        .withColumn("_n_named_value", F.regexp_count("_t", F.lit(_REST)))
-        .withColumn("_t", F.regexp_replace("_t", _REST, "$1[REDACTED]"))
-    )
+        pattern, n = ascii_boundary(rule), f"_n_{name}"
+        step = step.withColumn(n, F.when(_may_hold(t, name), F.regexp_count(t, F.lit(pattern))).otherwise(0))
+        step = step.withColumn("_t", F.when(F.col(n) > 0, F.regexp_replace(t, pattern, replacement)).otherwise(t))
+    marked = F.contains(t, F.lit(_OPEN))
+    step = step.withColumn("_t", F.when(_may_name(t), _mark_named(t, strict)).otherwise(t))
+    step = step.withColumn("_n_named_value", F.when(marked, F.regexp_count(t, F.lit(_REST))).otherwise(0))
+    step = step.withColumn("_t", F.when(F.col("_n_named_value") > 0, F.regexp_replace(t, _REST, "$1[REDACTED]")).otherwise(t))
     hits = F.filter(
         F.array(
             *[

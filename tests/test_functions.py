@@ -245,3 +245,17 @@ def test_cosine(spark):
     df = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0]), ([0.0], [1.0])], "a array<double>, b array<double>")
     got = [r[0] for r in df.select(text.cosine("a", "b")).collect()]
     assert got[0] == pytest.approx(0.70710678) and got[1] == 0.0
+
+
+def test_rules_are_tried_only_where_their_signs_are(spark):
+    hits = [
+        "napi_" + "a1" * 12, "npg_abcdefgh1", "github_pat_" + "a" * 22, "ghs_" + "Z" * 20, "xoxb-1234567890a", "sk-" + "k" * 20, "AKIA" + "A1" * 8, "ASIA" + "B2" * 8,
+        "eyJabcde.abcde.x", "eyJ" + "a" * 20 + ".bcdef", "eyJ" + "a" * 37, "Postgres://me:pw@host", "-----BEGIN RSA PRIVATE KEY-----\nx\n-----END RSA PRIVATE KEY-----",
+        "my_Token = abcdefghij", 'API_KEYS": "abcdefghij"',
+    ]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*hits, "plain text", "", None, "the key is here"])], "i int, t string")
+    got = {r.i: (r.redacted, [h.rule for h in r.hits]) for r in redact.redaction_counts(df, "t").collect()}
+    assert [got[i][1] for i in range(13)] == [[n] for n in redact.RULE_NAMES[:13]] and got[13][1] == got[14][1] == ["named_value"]
+    once = {r.i: r.out for r in df.select("i", redact.redact_secrets("t").alias("out")).collect()}
+    assert once == {i: text for i, (text, _) in got.items()} and once[17] is None
+    assert set(redact.SIGNS) == set(redact.RULE_NAMES) - {"named_value"}
