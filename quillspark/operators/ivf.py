@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..sources import snapshot
-from .vector import SCORE_DIGITS, _best, _unit
+from .vector import CHUNK_STEP, QUERY_STEP, SCORE_DIGITS, _best, _unit
 
 SAMPLE = 16_384  # rows that centroids, codebooks and the number of probes are fitted on
 CODE_SAMPLE = 4_096  # of these, for the codebooks
@@ -227,12 +227,14 @@ def candidates(index: VectorIndex, queries: DataFrame, count: int) -> DataFrame:
         if q.empty or c.empty:
             best = pd.DataFrame({"query_id": [], "item_id": [], "score": []})
         else:
+            c = c.sort_values("item_id", kind="stable", ignore_index=True)
             stored = np.frombuffer(b"".join(c["code"]), np.uint8).reshape(len(c), -1)
             near = model.decode(stored, int(key[0]))
             # The dot product with the last number in place is 1 less half the squared distance.
             near = np.column_stack([near, (1 - (near**2).sum(axis=1)) / 2])
             asked_for = np.column_stack([_unit(list(q["vector"])), np.ones(len(q))])
-            best = _best(q["query_id"].to_numpy(), asked_for, c["item_id"].to_numpy(), near, count)
+            row, col, score = _best(asked_for, near, count, QUERY_STEP, CHUNK_STEP)
+            best = pd.DataFrame({"query_id": q["query_id"].to_numpy()[row], "item_id": c["item_id"].to_numpy()[col], "score": score})
         return best.astype({"query_id": object, "item_id": object})
 
     schema = f"query_id {dict(queries.dtypes)['query_id']}, item_id {dict(codes.dtypes)['item_id']}, score double"

@@ -17,6 +17,7 @@ DIM = 64
 SCORE_DIGITS = 6
 QUERY_BLOCK = 2048
 CHUNK_BLOCK = 50_000
+QUERY_STEP, CHUNK_STEP = 256, 8192  # products that are held at once
 
 Embedder = Callable[[pd.Series], "list[np.ndarray]"]
 
@@ -119,23 +120,32 @@ def _unit(rows: list) -> np.ndarray:
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
-def _best(
-    qids: np.ndarray, q: np.ndarray, ids: np.ndarray, c: np.ndarray, k: int
-) -> pd.DataFrame:
-    """Best k of one block pair by (rounded score, id)."""
-    scores = np.round(q @ c.T, SCORE_DIGITS) + 0.0
-    frames = []
-    for i, qid in enumerate(qids):
-        s = scores[i]
-        if len(s) > k:
+def _best(q: np.ndarray, c: np.ndarray, k: int, query_step: int, item_step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, item, score): row numbers of the best k by (rounded score, item), a small block of products at a time."""
+    found = []
+    for a in range(0, len(q), query_step):
+        rows, cols, scores = [], [], []
+        for b in range(0, len(c), item_step):
+            s = np.round(q[a : a + query_step] @ c[b : b + item_step].T, SCORE_DIGITS) + 0.0
             # Everything that ties with the k-th score stays in until ids decide.
-            edge = np.partition(s, len(s) - k)[len(s) - k]
-            keep = np.flatnonzero(s >= edge)
-        else:
-            keep = np.arange(len(s))
-        f = pd.DataFrame({"query_id": qid, "item_id": ids[keep], "score": s[keep]})
-        frames.append(f.sort_values(["score", "item_id"], ascending=[False, True]).head(k))
-    return pd.concat(frames, ignore_index=True)
+            edge = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k, None] if s.shape[1] > k else -np.inf
+            row, col = np.nonzero(s >= edge)
+            rows.append(row)
+            cols.append(col + b)
+            scores.append(s[row, col])
+            if sum(map(len, rows)) > 4 * query_step * max(item_step, k):
+                rows, cols, scores = ([x] for x in _first(np.concatenate(rows), np.concatenate(cols), np.concatenate(scores), k))
+        row, col, score = _first(np.concatenate(rows), np.concatenate(cols), np.concatenate(scores), k)
+        found.append((row + a, col, score))
+    return tuple(map(np.concatenate, zip(*found, strict=True)))
+
+
+def _first(row: np.ndarray, col: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The best k of each row."""
+    order = np.lexsort((col, -score, row))
+    row = row[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[keep], col[order][keep], score[order][keep]
 
 
 def nearest(
@@ -147,9 +157,10 @@ def nearest(
 ) -> DataFrame:
     """(query_id, item_id, score, rank): exact top-k by cosine.
 
-    Queries and items are hashed into blocks of about the given sizes and each pair of blocks is one group: no task
-    holds more than one block of either side, and k rows per query and block pair are shuffled. Few queries are one
-    block, and then no item is copied.
+    Queries and items are hashed into tiles and each pair of tiles is one group: no task holds more than one tile of either
+    side, and k rows per query and tile pair are shuffled. Few queries are one tile, and then no item is copied. A tile
+    has as many blocks as fit into the usual size, so small blocks cost no more copies; their products are taken block by
+    block, and 256 by 8192 numbers are held at most.
     """
     id_type = dict(items.dtypes)["item_id"]
     q_type = dict(queries.dtypes)["query_id"]
@@ -162,10 +173,10 @@ def nearest(
 def _block_join(
     queries: DataFrame, items: DataFrame, k: int, schema: str, query_block: int, item_block: int
 ) -> DataFrame:
-    q_blocks = max(1, -(-queries.count() // query_block))
-    # At least one block per core, so that few items keep all cores busy.
+    q_blocks = max(1, -(-queries.count() // max(query_block, QUERY_BLOCK)))
+    # At least one tile per core, so that few items keep all cores busy.
     cores = queries.sparkSession.sparkContext.defaultParallelism
-    c_blocks = max(cores, -(-items.count() // item_block))
+    c_blocks = max(cores, -(-items.count() // max(item_block, CHUNK_BLOCK)))
     q = queries.select(
         F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).alias("qb"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(c_blocks - 1).cast("long"))).alias("cb"),
@@ -183,13 +194,11 @@ def _block_join(
         if left.empty or right.empty:
             best = pd.DataFrame({"query_id": [], "item_id": [], "score": []})
         else:
-            best = _best(
-                left["query_id"].to_numpy(),
-                _unit(list(left["vector"])),
-                right["item_id"].to_numpy(),
-                _unit(list(right["vector"])),
-                k,
+            right = right.sort_values("item_id", kind="stable", ignore_index=True)
+            row, col, score = _best(
+                _unit(list(left["vector"])), _unit(list(right["vector"])), k, min(query_block, QUERY_STEP), min(item_block, CHUNK_STEP)
             )
+            best = pd.DataFrame({"query_id": left["query_id"].to_numpy()[row], "item_id": right["item_id"].to_numpy()[col], "score": score})
         # Plain objects: a frame of Arrow-backed strings can't be put into one batch with the others.
         return best.astype({"query_id": object, "item_id": object})
 

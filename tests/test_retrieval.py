@@ -471,3 +471,44 @@ def test_near_spellings_against_all_pairs(spark):
     words, terms = (spark.createDataFrame([(w,) for w in sorted(x)], f"{n} string") for x, n in ((asked, "source_term"), (known, "term")))
     for parts in (None, keyword.spelling_parts(terms)):
         assert set(map(tuple, keyword.fuzzy_matches(words, terms, parts=parts).collect())) == want
+
+
+def test_the_dictionary_is_not_broadcast_as_prefixes(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(w,) for w in ("rank", "ranking", "ranked", "note")], "term string").write.parquet(f"{tmp_path}/t")
+    terms, words = spark.read.parquet(f"{tmp_path}/t"), spark.createDataFrame([("rank",), ("n",)], "source_term string")
+    want = {("rank", "ranking"), ("rank", "ranked"), ("n", "note")}
+    for bound in (100, 0):
+        monkeypatch.setattr(keyword, "BROADCAST_WORDS", bound)
+        out = keyword.prefix_matches(words, terms)
+        assert {tuple(r) for r in out.collect()} == want
+        sent = out._jdf.queryExecution().sparkPlan().toString()
+        assert ("SortMergeJoin" if bound == 0 else "BroadcastHashJoin") in sent and "BuildLeft" not in sent
+
+
+def test_blocks_of_a_shard_are_counted_as_arrays(spark, tmp_path, monkeypatch):
+    body = ["rank fusion rank", "", None, "ranking notes"]
+    rows = [(f"kb/n{i}.md", None if i % 5 == 0 else f"rank {i}", ["type/note"], body[i % 4]) for i in range(40)]
+    notes = spark.createDataFrame(rows, "path string, title string, tags array<string>, content string").withColumn("created_at", F.lit("2026-01-01").cast("timestamp"))
+    labels = blockmax.shard_labels(spark, 3)
+    plan = blockmax.blocks(notes, labels, 4)._jdf.queryExecution().sparkPlan().toString()
+    assert "collect_list" not in plan and plan.count("Generate") == 0
+    plain, stored = keyword.build_index(notes), blockmax.publish(notes, str(tmp_path), shards=3, notes_per_range=4)
+    columns = ["path", "term", *[f"tf_{f}" for f in blockmax.FIELDS]]
+    assert sorted(map(tuple, stored.postings.select(*columns).collect())) == sorted(map(tuple, plain.postings.select(*columns).collect()))
+    # More asked words than are broadcast: the same hits by a shuffle.
+    monkeypatch.setattr(blockmax, "BROADCAST_ASKS", 0)
+    asked = spark.createDataFrame([(1, "rank fusion"), (2, "rankin nots")], "query_id long, query string")
+    want = sorted(map(tuple, keyword.search(plain, asked, NOW, limit=4).collect()))
+    assert sorted(map(tuple, stored.search(asked, NOW, limit=4).collect())) == want
+
+
+def test_small_blocks_cost_no_copies_of_the_items(spark):
+    rnd = np.random.default_rng(5)
+    rows = [(i, rnd.integers(-2, 3, 4).astype(float).tolist()) for i in range(60)]
+    items = spark.createDataFrame(rows, "item_id long, vector array<double>")
+    queries = spark.createDataFrame(rows[::2], "query_id long, vector array<double>")
+    out = vector.nearest(queries, items, 5, query_block=3, item_block=7)
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, vector.nearest(queries, items, 5).collect()))
+    copies = vector._block_join(queries, items, 5, "query_id long, item_id long, score double", 3, 7)
+    # Few queries are one tile, however small the blocks: no item is copied.
+    assert "sequence(0, 0, " in copies._jdf.queryExecution().analyzed().toString().replace("cast(0 as bigint)", "0")
