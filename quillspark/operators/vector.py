@@ -17,6 +17,7 @@ DIM = 64
 SCORE_DIGITS = 6
 QUERY_BLOCK = 2048
 CHUNK_BLOCK = 50_000
+KEPT_WORDS = 1 << 18  # words whose place a task remembers
 QUERY_STEP, CHUNK_STEP = 256, 8192  # products that are held at once
 
 Embedder = Callable[[pd.Series], "list[np.ndarray]"]
@@ -46,20 +47,26 @@ def chunk_table(notes: DataFrame, curated_only: bool = False) -> DataFrame:
 def hash_embedder(dim: int = DIM) -> Embedder:
     """Offline stand-in for a model: signed feature hashing of the words, unit length."""
 
-    def slot(word: str) -> tuple[int, float]:
+    seen: dict[str, int] = {}
+
+    def slot(word: str) -> int:
+        """Twice the place, and 1 more for a word that counts negative."""
         h = hashlib.md5(word.encode("utf-8")).hexdigest()
-        return int(h[:4], 16) % dim, 1.0 if int(h[4], 16) < 8 else -1.0
+        return 2 * (int(h[:4], 16) % dim) + (int(h[4], 16) >= 8)
 
     def embed(texts: pd.Series) -> list[np.ndarray]:
-        seen: dict[str, tuple[int, float]] = {}
         out = []
         for t in texts:
-            v = np.zeros(dim)
+            if len(seen) > KEPT_WORDS:
+                seen.clear()
+            slots = []
             for w in filter(None, (t or "").split(" ")):
-                if w not in seen:
-                    seen[w] = slot(w)
-                i, sign = seen[w]
-                v[i] += sign
+                at = seen.get(w)
+                if at is None:
+                    at = seen[w] = slot(w)
+                slots.append(at)
+            both = np.bincount(np.array(slots, np.intp), minlength=2 * dim)
+            v = (both[0::2] - both[1::2]).astype(float)
             n = np.linalg.norm(v)
             out.append(v / n if n else v)
         return out

@@ -512,3 +512,21 @@ def test_small_blocks_cost_no_copies_of_the_items(spark):
     copies = vector._block_join(queries, items, 5, "query_id long, item_id long, score double", 3, 7)
     # Few queries are one tile, however small the blocks: no item is copied.
     assert "sequence(0, 0, " in copies._jdf.queryExecution().analyzed().toString().replace("cast(0 as bigint)", "0")
+
+
+def test_offline_embedder_counts_signed_words():
+    import hashlib
+
+    import pandas as pd
+
+    texts = ["rank fusion rank", "", None, "vector note vector rank " * 20]
+    embed = vector.hash_embedder(16)
+    for _ in range(2):  # words met before have the same place
+        got = embed(pd.Series(texts))
+        for t, v in zip(texts, got, strict=True):
+            want = np.zeros(16)
+            for w in (t or "").split():
+                h = hashlib.md5(w.encode()).hexdigest()
+                want[int(h[:4], 16) % 16] += 1.0 if int(h[4], 16) < 8 else -1.0
+            assert np.allclose(v, want / (np.linalg.norm(want) or 1.0))
+    assert vector.KEPT_WORDS > 0
