@@ -23,7 +23,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import bounded_batches, pick, utf8, written
@@ -134,6 +134,10 @@ def query(docs: DataFrame) -> DataFrame:
 # --- near copies by similarity ------------------------------------------------------------------------------
 
 NEAR_SHINGLE, SIMILARITY, SAMPLES, SAMPLE = 5, 0.8, 10, 4
+#: Hashes of so many texts of one batch are taken for frequent; so many of these at most come last in the order of the prefixes, which changes its speed alone.
+FREQUENT, FREQUENT_KEPT = 3, 1 << 17
+#: Longs of a set's parities.
+PARITIES = 8
 #: Odd multipliers of the sample orders, from a fixed seed.
 _ORDERS = np.random.default_rng(SEED).integers(0, 1 << 63, SAMPLES, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -173,25 +177,35 @@ def sampled(hashes: np.ndarray, size: int = SAMPLE) -> list[int]:
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
-    """``doc_id, set, fp, samples``: a digest of each row's set of shingles, its SimHash and those of the samples."""
+    """``doc_id, set, fp, samples, often``: a digest of each row's set of shingles, its SimHash and those of the samples; the first row of a batch has
+    the hashes that are frequent in it."""
     from hashlib import md5
 
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets, fps, samples = [], [], []
+            sets, fps, samples, some = [], [], [], [np.zeros(0, np.uint64)]
             for value in utf8(batch["text"]):
                 hashes = shingle_hashes(value)
+                some.append(hashes)
                 sets.append(md5(hashes.tobytes()).digest())
                 fps.append(majority(hashes))
                 samples.append(np.array(sampled(hashes), np.uint64).view(np.int64))
+            met, times = np.unique(np.concatenate(some), return_counts=True)
+            often = [met[times >= FREQUENT].view(np.int64), *[None] * batch.num_rows][: batch.num_rows]
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(sets, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(samples, pa.list_(pa.int64()))],
-                names=["doc_id", "set", "fp", "samples"],
+                [
+                    batch["doc_id"],
+                    pa.array(sets, pa.binary()),
+                    pa.array(np.array(fps, np.uint64).view(np.int64)),
+                    pa.array(samples, pa.list_(pa.int64())),
+                    pa.array(often, pa.list_(pa.int64())),
+                ],
+                names=["doc_id", "set", "fp", "samples", "often"],
             )
 
-    return pick(docs, doc_id="doc_id", text="text").mapInArrow(run, "doc_id long, set binary, fp long, samples array<long>")
+    return pick(docs, doc_id="doc_id", text="text").mapInArrow(run, "doc_id long, set binary, fp long, samples array<long>, often array<long>")
 
 
 def _alike(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
@@ -228,12 +242,88 @@ def _alike(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     return both.mapInArrow(judged, "a binary, b binary")
 
 
+def prefix_sizes(n: Column, similarity: float) -> tuple[Column, Column]:
+    """Of a set of ``n`` hashes in one order for all sets: how many of the first ones meet one of each set that is as similar; and each larger set."""
+    least = lambda share: F.ceil(n * F.lit(share - 1e-9)).cast("int")
+    return n - least(similarity) + 1, n - least(2 * similarity / (1 + similarity)) + 1
+
+
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """Whether the number of hashes in each of 512 places is odd: two sets differ in as many hashes at least as in places."""
+    odd = np.bincount((hashes >> np.uint64(8)) % np.uint64(64 * PARITIES), minlength=64 * PARITIES) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
+
+
+def in_order(hashes: np.ndarray, frequent: np.ndarray, nth: np.ndarray) -> np.ndarray:
+    """Sorted hashes with the frequent ones last, the most frequent at the end. ``frequent``: sorted, ``nth``: their places from 1."""
+    if not len(frequent) or not len(hashes):
+        return hashes
+    at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
+    return hashes[np.argsort(np.where(frequent[at] == hashes, nth[at], 0), kind="stable")]
+
+
+def _prefixes(docs: DataFrame, similarity: float, often: DataFrame) -> DataFrame:
+    """``set, size, prefix, odd`` per set. ``often``: hashes (h), once for each batch in which they are frequent; any choice gives the same links."""
+    bounded_batches(docs.sparkSession)
+    kept = often.groupBy("h").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "h").limit(FREQUENT_KEPT).select("h").toArrow()
+    most = np.array(kept["h"].to_numpy(), np.int64).view(np.uint64)  # the most frequent first
+    by = np.argsort(most)
+    shared = docs.sparkSession.sparkContext.broadcast((most[by], len(most) - by))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from hashlib import md5
+
+        for batch in batches:
+            sets, sizes, firsts, odd = [], [], [], []
+            for value in utf8(batch["text"]):
+                hashes = shingle_hashes(value)
+                sets.append(md5(hashes.tobytes()).digest())
+                sizes.append(len(hashes))
+                most = len(hashes) - int(np.ceil(len(hashes) * (similarity - 1e-9))) + 1
+                firsts.append(in_order(hashes, *shared.value)[:most].view(np.int64))
+                odd.append(parities(hashes))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(sets, pa.binary()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))],
+                names=["set", "size", "prefix", "odd"],
+            )
+
+    return pick(docs, text="text").mapInArrow(run, "set binary, size int, prefix array<long>, odd array<long>").dropDuplicates(["set"])
+
+
+def _between(docs: DataFrame, rooted: DataFrame, often: DataFrame, similarity: float) -> DataFrame:
+    """``a, a_doc, b, b_doc``: all pairs of sets in different groups of ``rooted`` (set, least, root) that may be that similar.
+
+    Prefix filter: with the hashes of all sets in one order, two sets that are that similar share a hash among the first ones of each. Only hashes of two groups
+    or more are joined. Sizes, places and parities, which bound what two sets have in common, leave out pairs that can't be as similar, and no other.
+    """
+    sets = _prefixes(docs, similarity, often).join(rooted, "set").withColumns({"id": F.monotonically_increasing_id(), "root": F.xxhash64("root")})
+    sets = written(sets.select("id", "set", "least", "root", "size", "prefix", "odd"), "near-prefixes")
+    met = sets.select("id", "root", "size", F.posexplode("prefix").alias("at", "h")).withColumn("early", F.col("at") < prefix_sizes(F.col("size"), similarity)[1])
+    of_hash = Window.partitionBy("h")
+    over = {"least_root": F.min("root").over(of_hash), "last_root": F.max("root").over(of_hash), "any_early": F.max("early").over(of_hash)}
+    met = written(met.withColumns(over).where("any_early AND least_root <> last_root").drop(*over), "near-met")
+    one, other = (met.select("h", *[F.col(c).alias(f"{x}_{c}") for c in ("id", "root", "size", "at", "early")]) for x in "ab")
+    a, b = F.col("a_size"), F.col("b_size")
+    common = F.least("a_at", "b_at") + F.least(a - F.col("a_at"), b - F.col("b_at"))
+    # The smaller set is a; of two of one size, that with the smaller id.
+    smaller = F.col("a_early") & (F.col("a_root") != F.col("b_root")) & ((a < b) | ((a == b) & (F.col("a_id") < F.col("b_id")))) & (a >= b * F.lit(similarity - 1e-9))
+    enough = common >= (a + b) * F.lit(similarity / (1 + similarity) - 1e-9)
+    met_once = one.join(other, "h").where(smaller & enough).select("a_id", "b_id").distinct()
+    facts = [sets.select(*[F.col(c).alias(f"{x}_{c}") for c in ("id", "set", "least", "size", "odd")]) for x in "ab"]
+    apart = sum((F.bit_count(F.col("a_odd")[i].bitwiseXOR(F.col("b_odd")[i])) for i in range(PARITIES)), F.lit(0))
+    near = apart <= (a + b) * F.lit((1 - similarity) / (1 + similarity) + 1e-9)
+    return met_once.join(facts[0], "a_id").join(facts[1], "b_id").where(near).select(
+        F.col("a_set").alias("a"), F.col("a_least").alias("a_doc"), F.col("b_set").alias("b"), F.col("b_least").alias("b_doc")
+    )
+
+
 def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``doc_id, component_id`` per row: groups linked by a Jaccard similarity of five-word shingles of at least ``similarity``.
+    """``doc_id, component_id`` per row: groups linked by a Jaccard similarity of five-word shingles of at least ``similarity``, all of them.
 
-    Rows with one set of shingles are one node, so copies never meet in a join. Candidates are nodes whose SimHashes are within three bits, by the grid join
-    above, and nodes that share the SimHash of a sample: those of one sample are held against one of them, another one for each sample, so the work grows
-    with the nodes however many share it. Each candidate is judged by the exact sets. Texts without words are one group.
+    Rows with one set of shingles are one node, so copies never meet in a join. The first candidates are nodes whose SimHashes are within three bits, by the
+    grid join above, and nodes that share the SimHash of a sample: those of one sample are held against one of them, another one for each sample, so the work grows
+    with the nodes however many share it. Their links make groups; then all pairs between groups that a prefix filter leaves are candidates, so no link that
+    would join two groups is lost. Each candidate is judged by the exact sets. Texts without words are one group.
     """
     rows = written(_sketches(docs), "near-rows")
     nodes = written(rows.groupBy("set").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("samples").alias("samples")), "near-nodes")
@@ -254,7 +344,13 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     pairs = written(by_sample.unionByName(by_bits).where("a <> b").distinct(), "near-pairs")
     alike = written(_alike(docs, pairs, similarity), "near-links")
     roots = connected(alike).select(F.col("a").alias("set"), F.col("b").alias("root"))
-    rooted = nodes.select("set", "least").join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
+    rooted = written(nodes.select("set", "least").join(roots, "set", "left").withColumn("root", F.coalesce("root", "set")), "near-roots")
+    often = rows.where("often IS NOT NULL").select(F.explode("often").alias("h"))
+    more = _alike(docs, written(_between(docs, rooted, often, similarity), "near-between"), similarity)
+    for end in "ab":
+        more = more.join(rooted.select(F.col("set").alias(end), F.col("root").alias(f"{end}_root")), end)
+    joined = connected(more.select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))).select(F.col("a").alias("root"), F.col("b").alias("top"))
+    rooted = rooted.join(joined, "root", "left").select("set", "least", F.coalesce("top", "root").alias("root"))
     least = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "near-least")
     named = written(rooted.join(least, "root").select("set", "component_id"), "near-names")
     return rows.join(named, "set").select("doc_id", "component_id")
