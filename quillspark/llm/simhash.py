@@ -136,8 +136,8 @@ def query(docs: DataFrame) -> DataFrame:
 NEAR_SHINGLE, SIMILARITY, SAMPLES, SAMPLE = 5, 0.8, 10, 4
 #: Hashes of so many texts of one batch are taken for frequent; so many of these at most come last in the order of the prefixes, which changes its speed alone.
 FREQUENT, FREQUENT_KEPT = 3, 1 << 17
-#: Longs of a set's parities.
-PARITIES = 8
+#: Longs of a set's parities: enough to tell sets of some 4000 hashes apart.
+PARITIES = 32
 #: Odd multipliers of the sample orders, from a fixed seed.
 _ORDERS = np.random.default_rng(SEED).integers(0, 1 << 63, SAMPLES, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -249,7 +249,7 @@ def prefix_sizes(n: Column, similarity: float) -> tuple[Column, Column]:
 
 
 def parities(hashes: np.ndarray) -> np.ndarray:
-    """Whether the number of hashes in each of 512 places is odd: two sets differ in as many hashes at least as in places."""
+    """Whether the number of hashes in each of 2048 places is odd: two sets differ in as many hashes at least as in places."""
     odd = np.bincount((hashes >> np.uint64(8)) % np.uint64(64 * PARITIES), minlength=64 * PARITIES) & 1
     return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
 
