@@ -24,6 +24,7 @@ SESSION_BOOST, DIGEST_BOOST = 0.3, 1.5
 SCORE_DIGITS = 6
 
 BROADCAST_WORDS = 100_000  # asked words that are broadcast to the dictionary
+PART_BYTES = 1 << 22  # text that is counted in one task, see ``parts_of``
 
 
 @dataclass(frozen=True)
@@ -107,6 +108,18 @@ def _fields(notes: DataFrame) -> DataFrame:
     )
 
 
+def parts_of(notes: DataFrame) -> int:
+    """Parts of some 4 MB of text: a power of two, so that two states of the same notes mostly get as many."""
+    size = notes.agg(F.sum(F.octet_length("content")).alias("n")).first()["n"] or 0
+    return 1 << (size // PART_BYTES).bit_length()
+
+
+def by_path(notes: DataFrame, parts: int) -> DataFrame:
+    """Notes shuffled once by path, as text, which is a fraction of their postings. Counts by note and word and joins
+    by path then shuffle no postings. A part is small, as its postings are counted in one task's memory."""
+    return notes.select("path", "title", "tags", "content", "created_at").repartition(parts, "path")
+
+
 def _token_rows(notes: DataFrame) -> DataFrame:
     return _fields(notes).withColumn("term", F.explode("tokens")).drop("tokens")
 
@@ -145,10 +158,10 @@ def dictionary(notes: DataFrame, only_terms: DataFrame | None = None) -> DataFra
     )
 
 
-def build_index(notes: DataFrame, only_terms: DataFrame | None = None) -> KeywordIndex:
+def build_index(notes: DataFrame, only_terms: DataFrame | None = None, parts: int | None = None) -> KeywordIndex:
     """Build the inverted index. ``only_terms`` (term) restricts it to a query vocabulary:
-    tokens outside it are dropped before anything is shuffled."""
-    rows = _token_rows(notes)
+    tokens outside it are dropped before anything is shuffled. With ``parts`` notes are shuffled in place of postings."""
+    rows = _token_rows(by_path(notes, parts) if parts else notes)
     if only_terms is not None:
         rows = rows.join(only_terms, "term", "left_semi")
     return KeywordIndex(
@@ -166,10 +179,12 @@ def update_index(
 
     Term counts move by the difference: old postings of touched notes are taken off, new ones added.
     """
-    gone = changed.select("path").unionByName(removed_paths.select("path")).distinct()
+    # A part of the paths is hashed in each task, so that postings are not sorted to meet them.
+    parts = parts_of(changed)
+    gone = changed.select("path").unionByName(removed_paths.select("path")).repartition(parts, "path").distinct().hint("shuffle_hash")
     old = index.postings.join(gone, "path", "left_semi")
     kept = index.postings.join(gone, "path", "left_anti")
-    fresh = _count_postings(_token_rows(changed))
+    fresh = _count_postings(_token_rows(by_path(changed, parts)))
 
     def counts(postings: DataFrame, sign: int) -> DataFrame:
         return postings.groupBy("term").agg(

@@ -257,7 +257,7 @@ def index_incremental(c: Corpus) -> DataFrame:
     older = c.notes.where(F.col("created_at") < "2024-03-10").withColumn(
         "content", F.concat("content", F.lit(" old"))
     )
-    old_ix = keyword.build_index(older)
+    old_ix = keyword.build_index(older, parts=keyword.parts_of(older))
     removed = c.notes.select("path").limit(0)
     new_ix = keyword.update_index(old_ix, c.notes, removed, c.notes)
     return _per_field(new_ix)

@@ -125,6 +125,23 @@ def test_update_equals_rebuild(vault, spark):
         assert rows(a) == rows(b), name
 
 
+def test_update_shuffles_no_postings(vault, spark, capsys):
+    v1 = vault({"a.md": "alpha beta alpha", "b.md": "beta gamma", "c.md": "gone words"})
+    # Paths may come twice or be missing: their words are counted together, as without the shuffle by path.
+    odd = v1.unionByName(v1.where("path = 'a.md'")).unionByName(v1.where("path = 'b.md'").withColumn("path", F.lit(None).cast("string")))
+    rows = lambda d: sorted(map(str, d.select(*sorted(d.columns)).collect()))
+    for name, table in keyword.build_index(odd, parts=3).tables().items():
+        assert rows(table) == rows(keyword.build_index(odd).tables()[name]), name
+    changed, removed = odd.where("path = 'a.md'"), v1.where("path = 'c.md'").select("path")
+    new = keyword.update_index(keyword.build_index(odd, parts=3), changed, removed, odd)
+    before = keyword.update_index(keyword.build_index(odd), changed, removed, odd)
+    assert rows(new.postings) == rows(before.postings) and rows(new.dictionary) == rows(before.dictionary)
+    new.postings.agg(F.sum("tf_content")).explain()
+    plan = capsys.readouterr().out
+    assert "hashpartitioning(path" in plan and not [x for x in plan.split("hashpartitioning(")[1:] if "term" in x.split(")")[0]]
+    assert "SortMergeJoin" not in plan
+
+
 def test_snapshot_diff(spark):
     t = "path string, modified_at string, size long"
     known = spark.createDataFrame([("a", "1", 1), ("b", "1", 1), ("c", "1", 1), ("e", "1", 1)], t)
