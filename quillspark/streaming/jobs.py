@@ -18,8 +18,8 @@ from pyspark.sql.types import BooleanType, StructField, StructType
 from ..operators import capture, keyword
 from ..sources import notes as note_source
 
-#: Keys that hold what one session has seen.
-SEEN_SPREAD = 64
+#: Keys of the state of what sessions have seen, over all sessions: a key costs several calls and an Arrow batch in each micro-batch.
+SEEN_PARTS = 8192
 
 
 def _batch_dir(root: str, table: str, batch_id: int) -> str:
@@ -194,27 +194,30 @@ def captured_notes(
 
 
 class FirstShown(StatefulProcessor):
-    """Marks the rows whose path the state had not seen before this micro-batch.
+    """Marks the rows whose path the state had not seen in their session before this micro-batch.
 
-    The state maps a path to the time it was first shown and forgets it ``ttl_ms`` later on the clock (0: never).
+    The state maps a session and path to the time the path was first shown and forgets it ``ttl_ms`` later on the clock (0: never).
     """
 
     def __init__(self, ttl_ms: int):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getMapState("seen", "path string", "ts timestamp", self.ttl_ms or None)
+        self.seen = handle.getMapState("seen", "session_id string, path string", "ts timestamp", self.ttl_ms or None)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        # A path is asked for once per micro-batch, however many rows have it.
-        unseen: dict[str, bool] = {}
+        # A path is asked for once per session and micro-batch, however many rows have it, and not at all where the key holds nothing yet.
+        held = self.seen.exists()
+        unseen: dict[tuple, bool] = {}
+        marked = None
         for row in rows:
-            path = row["path"]
-            if path is not None and path not in unseen:
-                unseen[path] = not self.seen.containsKey((path,))
-                if unseen[path]:
-                    self.seen.updateValue((path,), (row["ts"],))
-            yield Row(**row.asDict(), unseen=unseen.get(path, False))
+            marked = marked or Row(*row.__fields__, "unseen")
+            of = (row["session_id"], row["path"])
+            if of[1] is not None and of not in unseen:
+                unseen[of] = not (held and self.seen.containsKey(of))
+                if unseen[of]:
+                    self.seen.updateValue(of, (row["ts"],))
+            yield marked(*row, unseen.get(of, False))
 
     def close(self) -> None:
         pass
@@ -247,8 +250,8 @@ def suppress(
 ) -> StreamingQuery:
     """Decision log with ``suppressed``. ``decisions``: session_id, prompt_id, ts, method, injected and others.
 
-    What a session has seen is keyed state of the query, spread over ``SEEN_SPREAD`` keys by path: a session that
-    holds a third of all prompts never sits in one task. A micro-batch is written once with the verdicts of the state;
+    What sessions have seen is keyed state of the query, ``SEEN_PARTS`` keys by session and path: a session that
+    holds a third of all prompts never sits in one task, and small sessions share a key. A micro-batch is written once with the verdicts of the state;
     the log is made from these rows alone, so nothing of earlier batches is read. Inside a batch the earliest prompt wins.
     A null or empty list of paths is never suppressed.
     """
@@ -260,9 +263,10 @@ def suppress(
         *(F.when(F.coalesce("place", F.lit(0)) == 0, F.col(n)).alias(n) if n == "injected" else F.col(n) for n in names),
         "place",
         "path",
-        F.coalesce(F.pmod(F.xxhash64("path"), F.lit(SEEN_SPREAD)), F.lit(0)).alias("part"),
+        # Prompts that show nothing have no state; they only have to be spread.
+        F.pmod(F.when(F.col("path").isNull(), F.xxhash64("session_id", "prompt_id")).otherwise(F.xxhash64("session_id", "path")), F.lit(SEEN_PARTS)).alias("part"),
     )
-    marked = rows.groupBy("session_id", "part").transformWithState(
+    marked = rows.groupBy("part").transformWithState(
         FirstShown(ttl_ms), StructType([*rows.schema, StructField("unseen", BooleanType())]), "Append", "ProcessingTime" if ttl_ms else "None"
     )
 

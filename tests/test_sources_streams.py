@@ -2,6 +2,7 @@ import json
 
 import pytest
 from conftest import note
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from quillspark.operators import context, keyword
@@ -280,6 +281,43 @@ def test_suppression_state_expires_and_spreads_a_session(spark, tmp_path):
     assert parts > 20
 
 
+def test_suppression_state_is_shared_by_small_sessions(spark, tmp_path):
+    class Seen(dict):
+        asked = 0
+
+        def exists(self):
+            return bool(self)
+
+        def containsKey(self, key):
+            self.asked += 1
+            return key in self
+
+        updateValue = dict.__setitem__
+
+    first, seen = jobs.FirstShown(0), Seen()
+    first.seen = seen
+    row = Row("session_id", "path", "ts")
+    mark = lambda *pairs: [r.unseen for r in first.handleInputRows((0,), iter([row(s, p, None) for s, p in pairs]), None)]
+    assert mark(("a", "x"), ("b", "x"), (None, "x"), ("a", "x"), ("a", None)) == [True, True, True, True, False]
+    assert seen.asked == 0
+    assert mark(("b", "x"), ("b", "x"), ("b", "y"), (None, "x"), (None, "y")) == [False, False, True, False, True]
+    assert seen.asked == 4
+
+    # Many sessions meet in as many keys as there are, one session and prompts without a path in many.
+    schema = "session_id string, prompt_id int, ts string, method string, injected array<string>"
+    rows = [(f"s{i}", i, "2026-01-01 00:00:00", "tag_search", [f"p{i % 7}"]) for i in range(400)]
+    rows += [("hot", 1000 + i, "2026-01-01 00:00:00", "tag_search", [] if i % 2 else [f"p{i}"]) for i in range(200)]
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    df = spark.createDataFrame(rows, schema).withColumn("ts", F.col("ts").cast("timestamp"))
+    df.coalesce(1).write.parquet(src)
+    run(jobs.suppress(spark.readStream.schema(df.schema).parquet(src), out, str(tmp_path / "cp")))
+    shown = spark.read.parquet(f"{out}/shown")
+    keys = lambda cond: shown.where(cond).select("part").distinct().count()
+    assert keys("session_id = 'hot' AND path IS NULL") > 50 and keys("session_id = 'hot' AND path IS NOT NULL") > 50
+    assert shown.agg(F.max("part")).first()[0] < jobs.SEEN_PARTS and shown.where("unseen").count() == 500
+    assert jobs.read_batches(spark, out, "decisions").where("suppressed").count() == 0
+
+
 def test_capture_stream_resumes_a_session(spark, tmp_path):
     src = tmp_path / "in"
     schema = "session_id string, cwd string, pos int, line string"
