@@ -3,7 +3,7 @@
 Notes are dealt to shards by a hash of their path, and everything about a note is in its shard: its row of
 ``documents`` and its postings in ``blocks``, one row for each word and range of 1024 notes, with the greatest
 count and the least length of each field in it. Both tables are bucketed by shard, so a search reads the
-blocks of the asked words and meets their notes without a shuffle.
+blocks without a shuffle. Asked words go to them: by broadcast while they are few, else to the shards that have them.
 
 A shard is searched range by range. From the blocks' greatest counts and least lengths follows how much a word
 can give to any note of a range, and from these how much a query can get there; ranges that can't reach a
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.dates import clock
-from ..session import work_dir
+from ..session import written
 from ..sources import snapshot
 from . import keyword
 from .keyword import FIELD_BOOSTS, SCORE_DIGITS, KeywordParams
@@ -230,7 +230,7 @@ class StoredIndex:
         if out is None:
             out = queries.sparkSession.createDataFrame([], f"query_id {kind}, path string, score double")
         # k rows per query, which callers read more than once.
-        return _written(keyword.top_k(out, limit), "hits")
+        return written(keyword.top_k(out, limit), "hits")
 
     def _asks(self, words: list[str], expand: bool, p: KeywordParams, stats: dict) -> tuple[DataFrame, bool]:
         """(term, asks): dictionary words and the asked words they answer, with weights; and whether they are few.
@@ -248,14 +248,14 @@ class StoredIndex:
         else:
             pairs = source.select("source_term", "sid", F.col("source_term").alias("term"), F.lit(1.0).alias("w"))
         # The dictionary is never broadcast: in memory it is many times its file.
-        pairs = _written(pairs, "pairs")
+        pairs = written(pairs, "pairs")
         few = pairs.count() <= BROADCAST_ASKS
         weights = []
         for f, boost in p.boosts.items():
             df = F.col(f"df_{f}")
             idf = F.log(1 + (F.lit(float(stats[f][0])) - df + 0.5) / (df + 0.5))
             weights.append((F.col("w") * float(boost) * idf).alias(f"w_{f}"))
-        asks = _written(
+        asks = written(
             self.dictionary.join(pairs.hint("broadcast" if few else "merge"), "term")
             .select("term", F.struct("sid", *weights).alias("ask"))
             .groupBy("term")
@@ -274,11 +274,10 @@ class StoredIndex:
         number = {w: i for i, w in enumerate(words)}
         stats = {row["field"]: (row["n_notes"], row["avg_len"]) for row in self.field_stats.collect()}
         asks, small = self._asks(words, expand, p, stats)
-        # Broadcast behind a check of its size, so that blocks stay where they lie; else blocks and asks are shuffled by word.
-        # Asks are lists: the size of their files says little of that in memory, so they are never broadcast by it.
-        found = self.blocks.join(asks.hint("broadcast" if small else "merge"), "term").select(
-            "shard", "term", "range", "docs", *[f"{b}_{f}" for b in ("max", "least") for f in FIELDS], "asks"
-        )
+        found = self.blocks.select("shard", "term", "range", "docs", *[f"{b}_{f}" for b in ("max", "least") for f in FIELDS])
+        if small:
+            # Asks are lists: the size of their files says little of that in memory, so they are broadcast by their count alone.
+            found = found.join(asks.hint("broadcast"), "term")
         allowed = F.lit(True)
         if tags:
             allowed = F.arrays_overlap("tags", F.array(*[F.lit(t.lower()) for t in tags]))
@@ -291,10 +290,16 @@ class StoredIndex:
             "shard", "doc", "path", *[f"len_{f}" for f in FIELDS], boost(False).alias("boost"), boost(True).alias("boost_asked"),
             F.coalesce(allowed, F.lit(False)).alias("allowed"), *(["tags"] if by_row else []),
         )
+        if not small:
+            # Blocks stay where they lie here too: asks go to the shards that have their word, beside the notes.
+            places = self.blocks.select("shard", "term").distinct()
+            facts = facts.unionByName(places.join(asks.hint("merge"), "term"), allowMissingColumns=True)
         shared = spark.sparkContext.broadcast([_Query.of(row, number, bool(tags) and text.SESSION_TAG in tags) for row in block])
         average, size = {f: float(stats[f][1] or 1.0) for f in FIELDS}, self.notes_per_range
 
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            if not small:
+                left, right = _asked_blocks(left, right)
             rows = _Shard(left, right, average, p, size).search(shared.value, limit, len(words)) if left.num_rows and right.num_rows else []
             ids, paths, scores = zip(*rows, strict=True) if rows else ((), (), ())
             return pa.table({"query_id": pa.array(ids, _arrow(kind)), "path": pa.array(paths, pa.string()), "score": pa.array(scores, pa.float64())})
@@ -302,10 +307,15 @@ class StoredIndex:
         return found.groupBy("shard").cogroup(facts.groupBy("shard")).applyInArrow(run, f"query_id {kind}, path string, score double")
 
 
-def _written(df: DataFrame, purpose: str) -> DataFrame:
-    path = work_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def _asked_blocks(left: pa.Table, right: pa.Table) -> tuple[pa.Table, pa.Table]:
+    """Blocks of asked words with what asks them, and the notes; ``right`` has rows of both kinds."""
+    note = pc.is_valid(right["doc"])
+    asks = right.filter(pc.invert(note)).select(["term", "asks"]).combine_chunks()
+    left = left.combine_chunks()
+    at = pc.index_in(left["term"], value_set=asks["term"])
+    met = pc.is_valid(at)
+    rows = left.filter(met)
+    return rows.append_column("asks", asks["asks"].take(at.filter(met))), right.filter(note)
 
 
 def _arrow(kind: str) -> pa.DataType:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..functions.base import ascii_boundary, rstrip
+from ..functions.base import rstrip
+from ..session import few, written
 
 DEFAULT_CONTEXT_TOKENS = 8000
 MAX_CONTEXT_TOKENS = 20_000
@@ -138,12 +139,9 @@ def shares_content(prompt: Column, title: Column, content: Column) -> Column:
     """One prompt word in the title, or two distinct ones as whole words in the body."""
     words = F.array_distinct(text.routing_tokens(prompt))
     in_title = F.arrays_overlap(words, text.routing_tokens(title))
-    body = F.lower(content)
-    edge = ascii_boundary(r"\b")
-    found = F.filter(
-        words,
-        lambda w: F.contains(body, w) & F.rlike(body, F.concat(F.lit(edge), w, F.lit(edge))),
-    )
+    # Prompt words are ASCII letters and digits: between word boundaries they are whole runs of word characters.
+    runs = F.split(F.lower(F.coalesce(content, F.lit(""))), r"\W+")
+    found = F.array_intersect(words, runs)
     return in_title | (F.size(found) >= 2)
 
 
@@ -207,8 +205,9 @@ def recall(
         F.substring("content", 1, budget + 1).alias("content"),
         F.length("content").alias("full_len"),
     )
+    # Routes and hits are rows per prompt: while these are few, no body is shuffled to meet them.
     briefs = (
-        routes.where(F.col("path").isNotNull() & text.is_curated("path"))
+        few(routes.where(F.col("path").isNotNull() & text.is_curated("path")))
         .join(bodies, "path")
         .select("query_id", "method", "path", "title", "content", "full_len")
     )
@@ -226,9 +225,9 @@ def recall(
     # Hits: on-domain prompts only, curated notes that share real content words, best three.
     eligible = base.where("eligible").select("query_id", "prompt")
     gated = eligible.join(on_domain(eligible, vocabulary), "query_id", "left_semi")
+    asked = written(fused.where(text.is_curated("path")).join(gated, "query_id"), "asked")
     cand = (
-        fused.where(text.is_curated("path"))
-        .join(gated, "query_id")
+        few(asked)
         .join(notes.select("path", "title", "tags", "content"), "path")
         .where(shares_content(F.col("prompt"), F.col("title"), F.col("content")))
         .select("query_id", "path", "rank", "title", text.snippet("content", "tags", "prompt").alias("s"))

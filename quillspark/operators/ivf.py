@@ -6,10 +6,11 @@ neighbours lie. Nothing else is sampled: every vector is put on the list of its
 ``WIDTH`` numbers of what is left of it, divided by the usual length of that on its list: vectors that lie close together
 (near copies) are told apart as well as others.
 
-Searching. A query meets the codes of the lists it probes; a list larger than four times the mean is cut into pieces, and so
-are the queries of a list that many ask, so a vector that a third of the rows or queries share is spread over tasks. Each
-piece gives the best ``rerank`` by distance to the decoded vectors, the best ``rerank`` of a query get exact scores, k stay. No pair of a query
-and a list it doesn't probe is made.
+Searching. Codes are dealt to tiles of a bounded number: lists next to each other, or a piece of a list larger than that. A query
+goes once to each tile that has lists it probes, with their numbers, however many these are; queries of a tile are taken in blocks
+by a hash of their ids, so a vector that a third of the rows or queries share is spread over tasks. Each tile gives the best
+``rerank`` by distance to the decoded vectors, the best ``rerank`` of a query get exact scores, k stay. No pair of a query
+and a list it doesn't probe is decoded for it.
 
 Defined results: rows without a vector are left out on both sides. Copies of a vector have one code, so ties go to the
 smaller id as in ``vector.nearest``. A vector of zeros scores 0 with everything. Repeated query ids are one query's vectors
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..sources import snapshot
-from .vector import CHUNK_STEP, QUERY_STEP, SCORE_DIGITS, _best, _unit
+from .vector import CHUNK_STEP, QUERY_STEP, SCORE_DIGITS, _best, _first, _unit
 
 SAMPLE = 16_384  # rows that centroids, codebooks and the number of probes are fitted on
 CODE_SAMPLE = 4_096  # of these, for the codebooks
@@ -38,8 +39,9 @@ WIDTH = 2  # numbers that share a byte
 CODES = 256
 LEAST_SCALE = 1e-6  # lists of copies of one vector
 RERANK = 4  # exact scores for so many times k
-PIECE = 50_000  # codes of a list that one task decodes, at most
-ASKED = 256  # queries that meet them at once
+PIECE = 50_000  # codes of a tile, which one task decodes list by list
+ASKED = 2048  # queries that meet them at once
+PROBED = 1024  # queries whose rows for tiles are made at once
 ROUNDS = 10
 FORMAT = 2  # of the stored tables; an index of another format is built anew
 
@@ -188,62 +190,127 @@ def load(spark: SparkSession, root: str) -> VectorIndex | None:
     return found and VectorIndex(Model.of(found["model"]), found["codes"])
 
 
-def probes(queries: DataFrame, model: Model) -> DataFrame:
-    """(query_id, vector, list_id): a row for each list that a query asks."""
+@dataclass(frozen=True)
+class Tiles:
+    """Codes are dealt to tiles: a tile has lists ``low`` to ``high`` - 1, or one of several pieces of one large list."""
+
+    first: np.ndarray  # of each list, its first tile
+    pieces: np.ndarray  # of each list, how many tiles it has; none without items
+    low: np.ndarray
+    high: np.ndarray
+
+    @classmethod
+    def of(cls, sizes: np.ndarray, most: int) -> Tiles:
+        """Lists in their order, as many in a tile as have ``most`` items together."""
+        first, pieces, low, high, room = np.zeros(len(sizes), int), -(-sizes // most), [], [], 0
+        for at, size in enumerate(sizes.tolist()):
+            if size == 0:
+                continue
+            if size > room:
+                count = int(pieces[at])
+                low, high = low + [at] * count, high + [at + 1] * count
+                room = most - size if count == 1 else 0
+                first[at] = len(low) - count
+            else:
+                room, high[-1], first[at] = room - size, at + 1, len(low) - 1
+        return cls(first, pieces, np.array(low, int), np.array(high, int))
+
+
+def probes(queries: DataFrame, model: Model, tiles: Tiles) -> DataFrame:
+    """(query_id, vector, tile, lists): a row for each tile that has lists a query asks, with these. ``PROBED`` queries at a time,
+    so that what is held doesn't depend on the number of queries or probes in a batch of Spark's."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
-                lists = model.probed(_unit(list(b["vector"])))
-                at = np.repeat(np.arange(len(b)), lists.shape[1])
-                yield b.iloc[at].assign(list_id=lists.ravel().astype("int32"))
+        for whole in batches:
+            for a in range(0, len(whole), PROBED):
+                b = whole.iloc[a : a + PROBED]
+                asked = np.zeros((len(b), len(model.centroids)), bool)
+                np.put_along_axis(asked, model.probed(_unit(list(b["vector"]))), True, axis=1)
+                at, tile, lists = [], [], []
+                for t, (low, high) in enumerate(zip(tiles.low, tiles.high, strict=True)):
+                    rows = np.flatnonzero(asked[:, low:high].any(axis=1))
+                    at.append(rows)
+                    tile.append(np.full(len(rows), t))
+                    lists += [(np.flatnonzero(asked[r, low:high]) + low).astype("int32") for r in rows]
+                    if sum(map(len, at)) >= PROBED:
+                        yield b.iloc[np.concatenate(at)].assign(tile=np.concatenate(tile), lists=lists)
+                        at, tile, lists = [], [], []
+                if lists:
+                    yield b.iloc[np.concatenate(at)].assign(tile=np.concatenate(tile), lists=lists)
 
     rows = queries.where(F.col("vector").isNotNull()).select("query_id", F.col("vector").cast("array<double>").alias("vector"))
-    return rows.mapInPandas(run, f"query_id {dict(queries.dtypes)['query_id']}, vector array<double>, list_id int")
+    return rows.mapInPandas(run, f"query_id {dict(queries.dtypes)['query_id']}, vector array<double>, tile long, lists array<int>")
 
 
 def candidates(index: VectorIndex, queries: DataFrame, count: int) -> DataFrame:
     """(query_id, item_id): of each query, the ``count`` items nearest to it as decoded, on the lists it probes."""
-    asked, codes, model = probes(queries, index.model), index.codes, index.model
-    lists = len(model.centroids)
-    # Two numbers for each list, of which the model has a bounded number.
-    sizes = codes.groupBy("list_id").agg(F.count(F.lit(1)).alias("size"))
-    piece = max(1.0, min(PIECE, 4 * codes.count() / lists))
-    sizes = sizes.select("list_id", F.ceil(F.col("size") / piece).alias("pieces"))
-    blocks = asked.groupBy("list_id").agg(F.ceil(F.count(F.lit(1)) / ASKED).alias("blocks"))
-    grid = F.broadcast(sizes.join(blocks, "list_id"))
-
-    def spread(n: str):
-        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-
-    left = asked.join(grid, "list_id").select(
-        "list_id", F.pmod(F.xxhash64("query_id"), F.col("blocks")).alias("block"), spread("pieces").alias("piece"), "query_id", "vector"
+    codes, model = index.codes, index.model
+    spark = codes.sparkSession
+    # One number for each list, of which the model has a bounded number.
+    sizes = np.zeros(len(model.centroids), int)
+    for row in codes.groupBy("list_id").count().collect():
+        sizes[row["list_id"]] = row["count"]
+    cores = spark.sparkContext.defaultParallelism
+    tiles = Tiles.of(sizes, max(1, min(PIECE, -(-int(sizes.sum()) // cores))))
+    asked = probes(queries, model, tiles)
+    blocks = max(1, -(-queries.count() // ASKED))
+    grid = spark.createDataFrame(
+        [(at, int(tiles.first[at]), int(tiles.pieces[at])) for at in np.flatnonzero(sizes).tolist()], "list_id int, first long, pieces long"
     )
-    right = codes.join(grid, "list_id").select(
-        "list_id", F.pmod(F.xxhash64("item_id"), F.col("pieces")).alias("piece"), spread("blocks").alias("block"), "item_id", "code"
+    left = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    right = codes.join(F.broadcast(grid), "list_id").select(
+        (F.col("first") + F.pmod(F.xxhash64("item_id"), F.col("pieces"))).alias("tile"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"),
+        "item_id",
+        "list_id",
+        "code",
     )
 
     def meet(key: tuple, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if q.empty or c.empty:
             best = pd.DataFrame({"query_id": [], "item_id": [], "score": []})
         else:
-            c = c.sort_values("item_id", kind="stable", ignore_index=True)
-            stored = np.frombuffer(b"".join(c["code"]), np.uint8).reshape(len(c), -1)
-            near = model.decode(stored, int(key[0]))
-            # The dot product with the last number in place is 1 less half the squared distance.
-            near = np.column_stack([near, (1 - (near**2).sum(axis=1)) / 2])
-            asked_for = np.column_stack([_unit(list(q["vector"])), np.ones(len(q))])
-            row, col, score = _best(asked_for, near, count, QUERY_STEP, CHUNK_STEP)
-            best = pd.DataFrame({"query_id": q["query_id"].to_numpy()[row], "item_id": c["item_id"].to_numpy()[col], "score": score})
+            row, place, score = _in_tile(model, q, c := c.sort_values("item_id", kind="stable", ignore_index=True), count)
+            best = pd.DataFrame({"query_id": q["query_id"].to_numpy()[row], "item_id": c["item_id"].to_numpy()[place], "score": score})
         return best.astype({"query_id": object, "item_id": object})
 
     schema = f"query_id {dict(queries.dtypes)['query_id']}, item_id {dict(codes.dtypes)['item_id']}, score double"
-    key = ["list_id", "piece", "block"]
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(meet, schema)
+    found = left.groupBy("tile", "block").cogroup(right.groupBy("tile", "block")).applyInPandas(meet, schema)
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "item_id")
     return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= count).select("query_id", "item_id")
 
 
+def _in_tile(model: Model, q: pd.DataFrame, c: pd.DataFrame, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, item, score): row numbers of the best of each query, decoded list by list; ``c`` is in the order of its items."""
+    lists = c["list_id"].to_numpy()
+    low = lists.min()
+    asks = np.zeros((len(q), lists.max() - low + 1), bool)
+    for row, named in enumerate(q["lists"]):
+        named = np.asarray(named)
+        asks[row, named[(named >= low) & (named <= lists.max())] - low] = True
+    stored = np.frombuffer(b"".join(c["code"]), np.uint8).reshape(len(c), -1)
+    asked_for = np.column_stack([_unit(list(q["vector"])), np.ones(len(q))])
+    order = np.argsort(lists, kind="stable")
+    found, held = [], 0
+    for members in np.split(order, np.flatnonzero(np.diff(lists[order])) + 1):
+        at = int(lists[members[0]])
+        rows = np.flatnonzero(asks[:, at - low])
+        if not len(rows):
+            continue
+        near = model.decode(stored[members], at)
+        # The dot product with the last number in place is 1 less half the squared distance.
+        near = np.column_stack([near, (1 - (near**2).sum(axis=1)) / 2])
+        row, col, score = _best(asked_for[rows], near, count, QUERY_STEP, CHUNK_STEP)
+        found.append((rows[row], members[col], score))
+        held += len(row)
+        if held > 8 * len(q) * count:
+            found = [_first(*map(np.concatenate, zip(*found, strict=True)), count)]
+            held = len(found[0][0])
+    if not found:
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+    return _first(*map(np.concatenate, zip(*found, strict=True)), count)
+
+
 def search(index: VectorIndex, queries: DataFrame, items: DataFrame, k: int, rerank: int = RERANK) -> DataFrame:
     """(query_id, item_id, score, rank): the best k of ``rerank * k`` candidates by exact cosine; ``items`` has the vectors."""
     pairs = (

@@ -134,13 +134,16 @@ def _best(q: np.ndarray, c: np.ndarray, k: int, query_step: int, item_step: int)
         rows, cols, scores = [], [], []
         for b in range(0, len(c), item_step):
             s = np.round(q[a : a + query_step] @ c[b : b + item_step].T, SCORE_DIGITS) + 0.0
-            # Everything that ties with the k-th score stays in until ids decide.
+            # What ties with the k-th score is decided by ids; of many ties at once, so that few are held.
             edge = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k, None] if s.shape[1] > k else -np.inf
             row, col = np.nonzero(s >= edge)
+            score = s[row, col]
+            if len(row) > 4 * len(s) * k:
+                row, col, score = _first(row, col, score, k)
             rows.append(row)
             cols.append(col + b)
-            scores.append(s[row, col])
-            if sum(map(len, rows)) > 4 * query_step * max(item_step, k):
+            scores.append(score)
+            if sum(map(len, rows)) > 16 * len(s) * k:
                 rows, cols, scores = ([x] for x in _first(np.concatenate(rows), np.concatenate(cols), np.concatenate(scores), k))
         row, col, score = _first(np.concatenate(rows), np.concatenate(cols), np.concatenate(scores), k)
         found.append((row + a, col, score))
@@ -164,19 +167,48 @@ def nearest(
 ) -> DataFrame:
     """(query_id, item_id, score, rank): exact top-k by cosine.
 
-    Queries and items are hashed into tiles and each pair of tiles is one group: no task holds more than one tile of either
-    side, and k rows per query and tile pair are shuffled. Few queries are one tile, and then no item is copied. A tile
+    Queries of one tile go to the items, wherever these are: items are read once and not shuffled, and k rows per query and task
+    are. More queries and items are hashed into tiles and each pair of tiles is one group: no task holds more than one tile of either
+    side, and k rows per query and tile pair are shuffled. A tile
     has as many blocks as fit into the usual size, so small blocks cost no more copies; their products are taken block by
     block, and 256 by 8192 numbers are held at most.
     """
     id_type = dict(items.dtypes)["item_id"]
     q_type = dict(queries.dtypes)["query_id"]
     schema = f"query_id {q_type}, item_id {id_type}, score double"
-    local = _block_join(queries, items, k, schema, query_block, item_block)
+    held = queries.select("query_id", "vector").limit(QUERY_BLOCK + 1).collect()
+    if len(held) > QUERY_BLOCK:
+        local = _block_join(queries, items, k, schema, query_block, item_block)
+    else:
+        local = _beside_items(held, items, k, schema, query_block, item_block)
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "item_id")
     return local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _beside_items(held: list, items: DataFrame, k: int, schema: str, query_block: int, item_block: int) -> DataFrame:
+    """The best k of each task's items for the queries ``held``, batch by batch."""
+    if not held:
+        return items.sparkSession.createDataFrame([], schema)
+    ids, asked = np.array([r["query_id"] for r in held], object), _unit([r["vector"] for r in held])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = None
+        for b in batches:
+            if b.empty:
+                continue
+            b = b.sort_values("item_id", kind="stable", ignore_index=True)
+            row, col, score = _best(asked, _unit(list(b["vector"])), k, min(query_block, QUERY_STEP), min(item_block, CHUNK_STEP))
+            found = pd.DataFrame({"row": row, "item_id": b["item_id"].to_numpy()[col], "score": score})
+            if best is not None:
+                found = pd.concat([best, found]).sort_values(["row", "score", "item_id"], ascending=[True, False, True], kind="stable", ignore_index=True)
+                found = found[found.groupby("row").cumcount() < k]
+            best = found
+        if best is not None:
+            yield pd.DataFrame({"query_id": ids[best["row"].to_numpy()], "item_id": best["item_id"].to_numpy(), "score": best["score"].to_numpy()})
+
+    return items.select("item_id", "vector").mapInPandas(run, schema)
+
+
 def _block_join(
     queries: DataFrame, items: DataFrame, k: int, schema: str, query_block: int, item_block: int
 ) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +26,7 @@ from ..operators import (
     routing,
     vector,
 )
-from ..session import apply_conf, shared_root, work_dir
+from ..session import apply_conf, shared_root, work_dir, written
 from ..sources import driver_tables as D
 from ..sources import files as log_files
 from ..sources import notes as note_source
@@ -58,6 +58,13 @@ class Corpus:
 
     spark: SparkSession
     sf_dir: str
+    kept: dict = field(default_factory=dict, compare=False, repr=False)
+
+    def once(self, name: str, rows: Callable[[], DataFrame]) -> DataFrame:
+        """What a query reads several times and is small beside the notes: planned once, stored and read from there."""
+        if name not in self.kept:
+            self.kept[name] = written(rows(), name)
+        return self.kept[name]
 
     def table(self, name: str) -> DataFrame:
         return D.table(self.spark, self.sf_dir, name)
@@ -70,17 +77,17 @@ class Corpus:
     def queries(self) -> DataFrame:
         return D.queries(self.spark, self.sf_dir)
 
-    @cached_property
+    @property
     def gold(self) -> DataFrame:
-        return D.gold(self.spark, self.sf_dir)
+        return self.once("gold", lambda: D.gold(self.spark, self.sf_dir))
 
     @cached_property
     def cases(self) -> DataFrame:
         return D.cases(self.spark, self.sf_dir, self.gold)
 
-    @cached_property
+    @property
     def brief_map(self) -> DataFrame:
-        return routing.build_map(routing.note_keywords(self.notes), D.file_map(self.cases))
+        return self.once("map", lambda: routing.build_map(routing.note_keywords(self.notes), D.file_map(self.cases)))
 
     @cached_property
     def index_root(self) -> str:
@@ -113,8 +120,11 @@ class Corpus:
         vectors = vector.embed_new(c, None, vector.hash_embedder(), "words")
         return vector.embedded_chunks(self.chunks.select("path", "chunk_ix", "hash"), vectors)
 
-    @cached_property
+    @property
     def semantic(self) -> DataFrame:
+        return self.once("semantic", self._semantic)
+
+    def _semantic(self) -> DataFrame:
         q = self.queries.select("query_id", vector.word_text("query").alias("text"))
         hits = vector.semantic_search(q, self.embedded, vector.hash_embedder(), 3 * K)
         return vector.first_hit_per_note(hits)
@@ -125,7 +135,8 @@ class Corpus:
         return routing.candidates(topics, self.brief_map, top2, self.notes.select("path", "title"))
 
     def routes(self, column: str) -> DataFrame:
-        return routing.decide(self.topic_candidates(column), F.lit(routing.FLOOR), F.lit(routing.MARGIN))
+        decided = lambda: routing.decide(self.topic_candidates(column), F.lit(routing.FLOOR), F.lit(routing.MARGIN))
+        return self.once(f"routes-{column}", decided)
 
     @cached_property
     def links(self) -> DataFrame:

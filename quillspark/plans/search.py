@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import context, evals, fusion, keyword, routing, vector
+from ..session import written
 
 DEFAULT_LIMIT, MAX_LIMIT = 8, 25
 
@@ -96,6 +97,7 @@ def recall_prompts(
     q = prompts.select("query_id", F.col("prompt").alias("query"))
     topics = prompts.select("query_id", F.col("prompt").alias("topic"))
     routes = routing.route_topics(index, topics, brief_map, notes, as_of, expand=expand)
+    routes = written(routes, "routes")  # read for the notes and for the decisions
     kw = keyword.search(index, q, as_of, limit=3 * context.RECALL_HITS, expand=expand)
     fused = hybrid_ranks(kw, semantic, None, None)
     vocabulary = context.domain_vocabulary(notes, brief_map)

@@ -6,7 +6,10 @@ import functools
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+FEW = 20_000  # rows with a passage or a prompt that are broadcast
 
 # UTC keeps every date cut-off independent of the machine; the rest lets AQE
 # pick join strategies and split skewed partitions at run time.
@@ -60,6 +63,18 @@ def shared_root(spark: SparkSession) -> str:
     return f"{(root or _local_root()).rstrip('/')}/quillspark"
 
 
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """Rows that are read more than once, stored in the shared work folder and read from there."""
+    path = work_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def few(rows: DataFrame, most: int = FEW) -> DataFrame:
+    """``rows`` as the side of a join that is broadcast, if they are counted to be few; else Spark chooses."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
 @functools.cache
 def _local_root() -> str:
     return tempfile.mkdtemp(prefix="quillspark-")

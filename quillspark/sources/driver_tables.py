@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.base import first_words
 from ..schema import FRONTMATTER
+from ..session import few, written
 
 AS_OF = "2024-03-25 00:00:00"
 
@@ -264,10 +265,11 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
         )["w"].alias("word"),
     )
     words = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word"))
-    pairs = words.join(keyed, "word").select("doc_id", "case_id", "passage")
+    # Passages, and documents that hold their word, are counted: while they are few, no text is shuffled to meet them.
+    pairs = written(words.join(few(keyed), "word").select("doc_id", "case_id", "passage"), "candidates")
     return (
         docs.select("doc_id", "path", "text")
-        .join(pairs, "doc_id")
+        .join(few(pairs), "doc_id")
         .where(F.contains("text", F.col("passage")))
         .select("case_id", "path")
     )
